@@ -1,6 +1,7 @@
 """Queries of this subpackage and the SQL that DuckDB can run for them."""
 
 from millrace.llm.language import op10_language_id
+from millrace.llm.tokens import op6_token_counts
 
-QUERIES = {"op10_language_id": op10_language_id}
+QUERIES = {f.__name__: f for f in (op6_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {}

@@ -1,8 +1,9 @@
 """Queries of this subpackage and the SQL that DuckDB can run for them."""
 
+from millrace.llm.decontaminate import op9_decontaminate
 from millrace.llm.language import op10_language_id
 from millrace.llm.simhash import op7_simhash
 from millrace.llm.tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op6_token_counts, op7_simhash, op9_decontaminate, op10_language_id)}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,42 @@ def whole_texts(docs: DataFrame, *more: str) -> DataFrame:
 def crc_bucket(doc_id: Column, buckets: int = 4) -> Column:
     """crc32 of the id as text, modulo ``buckets``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(buckets)
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Adds ``_id`` (the id, the least long for null) and ``_h`` (hash of the text): what a document row is joined by."""
+    least = F.lit(-(1 << 63)).cast("long")
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), least)).withColumn("_h", F.xxhash64("text"))
+
+
+#: Marks of hashes are 2 ** MARK_BITS bits, so 2 MB at most, however many hashes there are.
+MARK_BITS = 24
+
+
+def mark_words(hashes: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a bit for the leading ``MARK_BITS`` of each hash; at most 2 ** (MARK_BITS - 6) rows."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - MARK_BITS)
+    marks = hashes.where(F.col(column).isNotNull()).select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    return marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def marks(hashes: DataFrame, column: str) -> np.ndarray:
+    """The marks as an array of 64-bit words, of a fixed size."""
+    found = mark_words(hashes, column).toArrow()
+    words = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (as unsigned 64-bit) may be among those marked; none that is gets lost."""
+    slot = hashes.view(np.uint64) >> np.uint64(64 - MARK_BITS)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def split_by_marks(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``_h`` may be marked, and the rest. words: of mark_words, so small enough to broadcast."""
+    slot = F.shiftrightunsigned(F.col("_h"), 64 - MARK_BITS)
+    bit = F.call_function("shiftright", F.col("bits"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = (F.shiftright(slot, 6) == F.col("word")) & bit
+    return docs.join(F.broadcast(words), met, "left_semi"), docs.join(F.broadcast(words), met, "left_anti")

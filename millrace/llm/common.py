@@ -77,17 +77,17 @@ def row_keys(docs: DataFrame) -> DataFrame:
 MARK_BITS = 24
 
 
-def mark_words(hashes: DataFrame, column: str) -> DataFrame:
-    """(word, bits): a bit for the leading ``MARK_BITS`` of each hash; at most 2 ** (MARK_BITS - 6) rows."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - MARK_BITS)
+def mark_words(hashes: DataFrame, column: str, bits: int = MARK_BITS) -> DataFrame:
+    """(word, bits): a bit for the leading ``bits`` of each hash; at most 2 ** (bits - 6) rows."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
     marks = hashes.where(F.col(column).isNotNull()).select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     return marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def marks(hashes: DataFrame, column: str) -> np.ndarray:
+def marks(hashes: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
     """The marks as an array of 64-bit words, of a fixed size."""
-    found = mark_words(hashes, column).toArrow()
-    words = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    found = mark_words(hashes, column, bits).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return words
 
@@ -98,9 +98,9 @@ def marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def split_by_marks(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``_h`` may be marked, and the rest. words: of mark_words, so small enough to broadcast."""
-    slot = F.shiftrightunsigned(F.col("_h"), 64 - MARK_BITS)
+def split_by_marks(docs: DataFrame, words: DataFrame, column: str = "_h") -> tuple[DataFrame, DataFrame]:
+    """Rows whose hash may be marked, and the rest. words: of mark_words, so small enough to broadcast."""
+    slot = F.shiftrightunsigned(F.col(column), 64 - MARK_BITS)
     bit = F.call_function("shiftright", F.col("bits"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
     met = (F.shiftright(slot, 6) == F.col("word")) & bit
     return docs.join(F.broadcast(words), met, "left_semi"), docs.join(F.broadcast(words), met, "left_anti")

@@ -3,8 +3,10 @@
 from millrace.llm.decontaminate import op9_decontaminate
 from millrace.llm.language import op10_language_id
 from millrace.llm.simhash import op7_simhash
+from millrace.llm.substrings import op3_substring_dedup
+from millrace.llm.suffix_array import op4_suffix_dedup
 from millrace.llm.templates import op8_line_templates
 from millrace.llm.tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_suffix_dedup, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
 ORACLES: dict[str, str] = {}

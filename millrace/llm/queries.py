@@ -5,10 +5,11 @@ from millrace.llm.language import op10_language_id
 from millrace.llm import mixing
 from millrace.llm.mixing import op1_mixing
 from millrace.llm.simhash import op7_simhash
+from millrace.llm.spotsigs import op2_spotsigs
 from millrace.llm.substrings import op3_substring_dedup
 from millrace.llm.suffix_array import op4_suffix_dedup
 from millrace.llm.templates import op8_line_templates
 from millrace.llm.tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_substring_dedup, op4_suffix_dedup, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_substring_dedup, op4_suffix_dedup, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}

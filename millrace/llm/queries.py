@@ -1,6 +1,7 @@
 """Queries of this subpackage and the SQL that DuckDB can run for them."""
 
 from millrace.llm.decontaminate import op9_decontaminate
+from millrace.llm.html_blocks import op5_html_blocks
 from millrace.llm.language import op10_language_id
 from millrace.llm import mixing
 from millrace.llm.mixing import op1_mixing
@@ -11,5 +12,5 @@ from millrace.llm.suffix_array import op4_suffix_dedup
 from millrace.llm.templates import op8_line_templates
 from millrace.llm.tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_substring_dedup, op4_suffix_dedup, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_substring_dedup, op4_suffix_dedup, op5_html_blocks, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}

@@ -1,5 +1,6 @@
 """Queries of this subpackage and the SQL that DuckDB can run for them."""
 
+import corpus_pipeline
 from millrace.llm.decontaminate import op9_decontaminate
 from millrace.llm.html_blocks import op5_html_blocks
 from millrace.llm.language import op10_language_id
@@ -12,5 +13,7 @@ from millrace.llm.suffix_array import op4_suffix_dedup
 from millrace.llm.templates import op8_line_templates
 from millrace.llm.tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_substring_dedup, op4_suffix_dedup, op5_html_blocks, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_substring_dedup, op4_suffix_dedup, op5_html_blocks, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,0 +1,147 @@
+"""SimHash near-duplicates at a given similarity: wide fingerprints, blocks, Hamming verification.
+
+Texts of similarity s (Jaccard, on word shingles) differ in arccos(2 s / (1 + s)) / pi of their SimHash bits: 15 % at 0.8, more than
+whole blocks of a 64-bit fingerprint survive. So ``LONGS`` words of 64 bits are taken, split into 16-bit
+blocks; a pair at 0.8 shares one of the 64 blocks with a chance of 0.99. What meets is verified by the Hamming distance of the first
+128 bits, with two standard deviations of room: pairs somewhat below the similarity may link too.
+
+Defined cases: as in ``simhash``. Equal texts are one node, so copies make no pairs.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.functions.workers import map_arrow, map_pandas
+from millrace.llm.common import Scratch, whole_texts
+from millrace.llm.components import components
+
+LONGS, VERIFIED = 16, 2
+#: Members of a meeting up to which all are compared; beyond, links grow as trees from one member at a time.
+SMALL = 64
+_ODD = np.random.default_rng(64).integers(0, 1 << 62, LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """``LONGS`` words of majority bits of the text's shingles; zeros for no words."""
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.zeros(LONGS, np.uint64)
+    joined = b" ".join(found)
+    n = max(1, len(found) - words + 1)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[min(words, len(found)) - 1 :].tolist()
+    digest = xxhash.xxh64_digest
+    hashes = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends, strict=True)]), np.uint64)
+    counts = np.zeros(64 * LONGS, np.int64)
+    for i in range(0, n, 255):  # sums of 255 bits fit in a byte
+        spread = hashes[i : i + 255, None] * _ODD
+        spread = (spread ^ (spread >> np.uint64(32))) * _MIX
+        counts += np.add.reduce(np.unpackbits(spread.view(np.uint8).reshape(len(spread), -1), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n).view(np.uint64)
+
+
+def limit(similarity: float) -> int:
+    """Differing bits of the verified ones that pairs of this similarity hardly exceed."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * VERIFIED
+    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def _prints(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [fingerprint(t, words).tobytes() for t in batch["text"]]
+            nodes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes.view(np.int64), "print": found})
+
+    return map_pandas(whole_texts(docs), run, "doc_id long, node long, print binary")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (key, node, a, b) for each block of each print."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            part = batch.slice(i, 2048)
+            raw = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint64).reshape(-1, LONGS)
+            if not len(raw):
+                continue
+            blocks = raw.view(np.uint16)
+            keys = blocks.astype(np.int64) + (np.arange(blocks.shape[1], dtype=np.int64) << 16)
+            node = part.column("node").to_numpy(zero_copy_only=False)
+            each = blocks.shape[1]
+            columns = [keys.ravel(), *(np.repeat(x, each) for x in (node, raw[:, 0].view(np.int64), raw[:, 1].view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "a", "b"])
+
+
+def _meet(most: int):
+    """Streams rows sorted by key; gives links that connect what is linked in each meeting."""
+
+    def near(a: np.ndarray, b: np.ndarray, x: np.ndarray | np.uint64, y: np.ndarray | np.uint64) -> np.ndarray:
+        return np.bitwise_count(a ^ x).astype(np.int64) + np.bitwise_count(b ^ y) <= most
+
+    def settle(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        left, right = [], []
+        stop = np.repeat(starts + sizes, sizes)
+        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+        lag = 1
+        while len(at := at[at + lag < stop[at]]):
+            hit = at[near(a[at], b[at], a[at + lag], b[at + lag])]
+            left.append(node[hit])
+            right.append(node[hit + lag])
+            lag += 1
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            rest, grown = np.arange(s, s + n), []
+            while len(rest):
+                one = grown.pop() if grown else rest[0]
+                rest = rest[rest != one]
+                hit = near(a[rest], b[rest], a[one], b[one])
+                left.append(np.full(int(hit.sum()), node[one]))
+                right.append(node[rest[hit]])
+                grown += rest[hit].tolist()
+                rest = rest[~hit]
+        ends = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = [*new[:2], new[2].view(np.uint64), new[3].view(np.uint64)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield settle(*(c[:last] for c in held))
+                held = [c[last:] for c in held]
+        if held is not None and len(held[0]):
+            yield settle(*held)
+
+    return run
+
+
+def similar(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): component_id is the least id reachable over links of near-duplicates."""
+    prints = scratch.save(_prints(docs, words), "wide")
+    nodes = prints.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("first"))
+    nodes = scratch.save(nodes, "nodes")
+    spread = map_arrow(nodes.select("node", "print"), _spread, "key long, node long, a long, b long")
+    links = map_arrow(spread.repartition("key").sortWithinPartitions("key"), _meet(limit(similarity)), "a long, b long")
+    roots = components(scratch.save(links.distinct(), "met"), scratch)
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", "component_id")

@@ -3,41 +3,26 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the cluster names none (tests, a single machine) a local one is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get() if own.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+        self.path = fresh_path(spark, name)
         atexit.register(self.drop)
 
     def save(self, frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -4,19 +4,21 @@ A window is a number of consecutive symbols (words or bytes) of one document; it
 earlier (smaller id, or same document and earlier start). Every window is sent by its least gram hash (its minimizer), so equal
 windows meet in one shard, and a shard never needs another's text:
 
-1. minimizers are counted, and those that stand in two places at least marked in a bitmap of fixed size;
-2. runs of windows with one marked minimizer are cut out as segments; equal segments of a batch leave
-   one copy, the others are repeats outright;
+1. around each minimizer stand half of a window's other symbols at least, on its left or its right, inside the
+   window: these two extensions are counted, and those that stand in two places marked in a bitmap of fixed size;
+2. runs of windows with one minimizer of a marked extension are cut out as segments; equal segments of a
+   batch leave one copy, the others are repeats outright;
 3. in each shard, blocks of segments are indexed and the segments streamed through the index: a window whose
    interval holds an earlier start is a repeat. Minimizers with very many segments have theirs
    dealt out as single windows first, so that no shard takes an unbounded group.
 
-The bitmap only saves work: an unmarked minimizer can't repeat, and one marked by chance costs a
-segment. Ids are ordered as numbers, null first; rows with equal id and text are one document.
+The bitmap only saves work: a window without a marked extension can't repeat, and one marked by chance costs
+a segment. Ids are ordered as numbers, null first; rows with equal id and text are one document.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,14 +34,16 @@ from millrace.llm.common import Scratch, mark_words, marks, row_keys, split_by_m
 from millrace.llm.suffixes import Matches
 
 #: Bytes of text handled at once, and symbols of an indexed block.
-AT_ONCE, BLOCK = 1 << 20, 1 << 21
+AT_ONCE, BLOCK = 1 << 20, 1 << 18
+#: Windows of one segment; longer runs are cut.
+MOST_WINDOWS = 256
 #: Segments of one minimizer beyond which they are dealt out as windows.
 CROWD = 20_000
-#: Bits of the minimizers' bitmap: 16 MB.
+#: Bits of the extensions' bitmap: 16 MB.
 BITS = 27
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SPANS = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
-_CUTS = pa.schema([("m", pa.int64()), ("segment", pa.binary()), *_SPANS])
+_CUTS = pa.schema([("m", pa.int64()), ("segment", pa.binary()), *_SPANS, ("again", pa.bool_())])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -103,26 +107,54 @@ class Batch:
         self.windows = np.where(whole, least, np.uint64(0))
 
     def selected(self, kind: Symbols) -> np.ndarray:
-        """Gram hashes at the places that are some window's least."""
+        """Places of grams that are some window's least."""
         if not len(self.windows):
-            return self.windows
+            return np.empty(0, np.int64)
         reach = kind.window - kind.gram
         edge = np.zeros(reach, np.uint64)
         most = sliding(np.concatenate((edge, self.windows, edge)), reach + 1, np.maximum)
-        return mixed(self.grams[most == self.grams])
-
-    def runs(self, marked: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, windows, minimizer) of runs with one marked minimizer."""
+        return np.flatnonzero(most == self.grams)
+
+    def extensions(self, kind: Symbols, places: np.ndarray) -> np.ndarray:
+        """Hashes of the grams at ``places`` with their left and right extension: (2, places), 0 beyond a text."""
+        reach = -(-(kind.window - kind.gram) // 2)
+        text = np.searchsorted(self.stops, places)
+        begin, end = np.concatenate(([0], self.stops[:-1] + 1))[text], self.stops[text]
+        out = np.zeros((2, len(places)), np.uint64)
+        for side, first in enumerate((places - reach, places)):
+            inside = (first >= begin) & (first + reach + kind.gram <= end)
+            at, h = first[inside], np.full(int(inside.sum()), side + 1, np.uint64)
+            for step in (*range(0, reach, kind.gram), reach):
+                h = mixed(h + self.grams[at + step])
+            out[side, inside] = h
+        return out
+
+    def runs(self, kind: Symbols, marked: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, windows, minimizer, again) of runs with one minimizer near a marked extension.
+
+        again: the minimizer may stand in the run more than once, so the run may repeat itself.
+        """
         m = self.windows
         if not len(m):
-            return np.empty(0, np.int64), np.empty(0, np.int64), m
+            return np.empty(0, np.int64), np.empty(0, np.int64), m, np.empty(0, bool)
+        places = self.selected(kind)
+        sides = self.extensions(kind, places)
+        hits = np.concatenate(([0], np.cumsum((marked(sides[0]) & (sides[0] != 0)) | (marked(sides[1]) & (sides[1] != 0)))))
         first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
         size = np.diff(np.append(first, len(m)))
-        keep = m[first] != 0
-        first, size = first[keep], size[keep]
-        m = mixed(m[first])  # least hashes crowd near zero
-        keep = marked(m)
-        return first[keep], size[keep], m[keep]
+        low, high = np.searchsorted(places, first), np.searchsorted(places, first + size + kind.window - kind.gram)
+        keep = (m[first] != 0) & (hits[high] > hits[low])
+        first, size, low, high = first[keep], size[keep], low[keep], high[keep]
+        here, times = np.append(self.grams[places], np.uint64(0)), np.zeros(len(first), np.int64)
+        for k in range(8):
+            times += (low + k < high) & (here[np.minimum(low + k, len(places))] == m[first])
+        again = (times > 1) | (high - low > 8)
+        pieces = -(-size // MOST_WINDOWS)
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(first, pieces) + step * MOST_WINDOWS
+        size = np.minimum(MOST_WINDOWS, np.repeat(first + size, pieces) - begin)
+        # Least hashes crowd near zero: mixed, they spread over shards.
+        return begin, size, mixed(m[begin]), np.repeat(again | (pieces > 1), pieces)
 
 
 def _groups(batch: pa.RecordBatch, kind: Symbols) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -142,19 +174,21 @@ def _groups(batch: pa.RecordBatch, kind: Symbols) -> Iterator[tuple[list[int], l
 
 
 def _counted(docs: DataFrame, kind: Symbols) -> DataFrame:
-    """(m): minimizers that stand in two places at least."""
+    """(m): extensions of minimizers that stand in two places at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in _groups(batch, kind):
-                m, n = np.unique(Batch(kind, texts).selected(kind), return_counts=True)
+                found = Batch(kind, texts)
+                sides = found.extensions(kind, found.selected(kind))
+                m, n = np.unique(sides[sides != 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int32))], ["m", "n"])
 
     return map_arrow(docs, run, "m long, n int").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
 
 
-def _first_copies(rows: list[tuple[int, bytes, int, int, int, int]]) -> tuple[list, list]:
-    """Splits (m, segment, _id, _h, start, windows) into first copies and the others."""
+def _first_copies(rows: list[tuple]) -> tuple[list, list]:
+    """Splits (m, segment, _id, _h, start, windows, again) into first copies and the others."""
     first: dict[bytes, tuple] = {}
     others = []
     for row in rows:
@@ -169,8 +203,8 @@ def _first_copies(rows: list[tuple[int, bytes, int, int, int, int]]) -> tuple[li
 
 def _emit(first: list, others: list, width: int) -> pa.RecordBatch:
     """Segments to index, then spans that repeat outright (without m and segment)."""
-    rows = [*((m, s, i, h, at, n) for m, s, i, h, at, n in first), *((None, None, i, h, at, n + width - 1) for _, _, i, h, at, n in others)]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    rows = [*first, *((None, None, i, h, at, n + width - 1, None) for _, _, i, h, at, n, _ in others)]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUTS, strict=True)], schema=_CUTS)
 
 
@@ -187,19 +221,19 @@ def _cut(docs: DataFrame, kind: Symbols, busy: np.ndarray) -> DataFrame:
             rows, size = [], 0
             for ids, hs, texts in _groups(batch, kind):
                 found = Batch(kind, texts)
-                first, count, m = found.runs(marked)
+                first, count, m, again = found.runs(kind, marked)
                 text = np.searchsorted(found.stops, first)
                 origin = np.concatenate(([0], found.stops[:-1] + 1))[text]
                 begin, end = found.begin[first], found.end[first + count + kind.window - 2]
-                for x in zip(m.view(np.int64).tolist(), begin.tolist(), end.tolist(), text.tolist(), (first - origin).tolist(), count.tolist(), strict=True):
-                    rows.append((x[0], found.joined[x[1] : x[2]], ids[x[3]], hs[x[3]], x[4], x[5]))
+                for x in zip(m.view(np.int64).tolist(), begin.tolist(), end.tolist(), text.tolist(), (first - origin).tolist(), count.tolist(), again.tolist(), strict=True):
+                    rows.append((x[0], found.joined[x[1] : x[2]], ids[x[3]], hs[x[3]], x[4], x[5], x[6]))
                 size += sum(map(len, texts))
                 if size > 16 * AT_ONCE:
                     yield _emit(*_first_copies(rows), kind.window)
                     rows, size = [], 0
             yield _emit(*_first_copies(rows), kind.window)
 
-    return map_arrow(docs, run, "m long, segment binary, _id long, _h long, start long, size long")
+    return map_arrow(docs, run, "m long, segment binary, _id long, _h long, start long, size long, again boolean")
 
 
 def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
@@ -212,13 +246,13 @@ def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
                 begin, end = kind.bounds(r["segment"] + b"\x00")
                 for n in range(r["size"]):
                     part = r["segment"][begin[n] : end[n + kind.window - 1]]
-                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, r["_id"], r["_h"], r["start"] + n, 1))
+                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, r["_id"], r["_h"], r["start"] + n, 1, False))
                 if len(rows) > 200_000:
                     yield _emit(*_first_copies(rows), kind.window)
                     rows = []
             yield _emit(*_first_copies(rows), kind.window)
 
-    return map_arrow(crowded, run, "m long, segment binary, _id long, _h long, start long, size long")
+    return map_arrow(crowded, run, "m long, segment binary, _id long, _h long, start long, size long, again boolean")
 
 
 def repeated_windows(kind: Symbols, segments: list[bytes], ids: np.ndarray, hs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,9 +292,14 @@ def _indexed(segments: DataFrame, kind: Symbols) -> DataFrame:
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         first, others = _first_copies(rows)
         if others:
-            ids, hs, starts, counts = (np.array(c, np.int64) for c in zip(*(r[2:] for r in others), strict=True))
+            ids, hs, starts, counts = (np.array(c, np.int64) for c in zip(*(r[2:6] for r in others), strict=True))
             step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             yield _merged(np.repeat(ids, counts), np.repeat(hs, counts), np.repeat(starts, counts) + step, kind.window)
+        # A segment whose minimizer stands nowhere else holds no window that another segment has.
+        shared = Counter(r[0] for r in first)
+        first = [r for r in first if r[6] or shared[r[0]] > 1]
+        if not first:
+            return
         ids, hs, starts = (np.array(c, np.int64) for c in list(zip(*(r[2:5] for r in first), strict=True)))
         which, offset = repeated_windows(kind, [r[1] for r in first], ids, hs, starts)
         yield _merged(ids[which], hs[which], starts[which] + offset, kind.window)
@@ -307,7 +346,7 @@ def with_spans(docs: DataFrame, kind: Symbols, scratch: Scratch) -> DataFrame:
     found = scratch.save(found, "spans")
     touched, rest = split_by_marks(keyed, mark_words(found, "_h"))
     none = F.lit(None).cast("array<struct<start:long,size:long>>")
-    return touched.join(found, ["_id", "_h"], "left").unionByName(rest.withColumn("spans", none))
+    return touched.join(found.hint("merge"), ["_id", "_h"], "left").unionByName(rest.withColumn("spans", none))
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:

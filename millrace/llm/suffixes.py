@@ -55,7 +55,8 @@ class Matches:
         self.starts, self.group = starts, group
         counts = np.bincount(symbols, minlength=int(symbols.max(initial=0)) + 1)
         self.before = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        self.index(symbols[self.order - 1])  # the last symbol is a separator, and stands before the first
+        self.bwt = symbols[self.order - 1]  # the last symbol is a separator, and stands before the first
+        self.index(self.bwt)
 
     def index(self, bwt: np.ndarray) -> None:
         """Builds what ``rank`` needs from the Burrows-Wheeler transform."""
@@ -78,10 +79,14 @@ class Matches:
         while len(live):
             symbol = symbols[at[live]].astype(np.int64)
             known = symbol < len(self.before)
-            first = self.before[np.where(known, symbol, 0)]
-            k = len(live)
-            both = self.rank(np.tile(np.where(known, symbol, 0), 2), np.concatenate((low[live], high[live])))
-            new_low, new_high = first + both[:k], first + both[k:]
+            symbol = np.where(known, symbol, 0)
+            first, low_, high_ = self.before[symbol], low[live], high[live]
+            # An interval of one suffix goes on with the symbol before it, or ends: one count will do.
+            wide = np.flatnonzero(high_ - low_ > 1)
+            ranks = self.rank(np.concatenate((symbol, symbol[wide])), np.concatenate((low_, high_[wide])))
+            new_low = first + ranks[: len(live)]
+            new_high = new_low + (self.bwt[low_] == symbol)
+            new_high[wide] = first[wide] + ranks[len(live) :]
             lost = (new_low >= new_high) | ~known
             low[live], high[live] = np.where(lost, 0, new_low), np.where(lost, self.n, new_high)
             length[live] = np.where(lost, 0, length[live] + 1)

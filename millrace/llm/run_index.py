@@ -15,6 +15,9 @@ class RunIndex(Matches):
         self.symbols = bwt[self.heads].astype(np.int64)
         lengths = np.diff(np.append(self.heads, self.n))
         self.samples = self.order[self.heads + lengths - 1]
+        # A separator's place among separators is not its sequence's: suffixes that begin one are sampled as well.
+        self.first = np.flatnonzero(bwt == 0)
+        self.first_samples = self.order[self.first]
         by_symbol = np.argsort(self.symbols, kind="stable")
         self.keys = self.symbols[by_symbol] * (self.n + 1) + self.heads[by_symbol]
         self.lengths = lengths[by_symbol]
@@ -38,7 +41,9 @@ class RunIndex(Matches):
             run = int(np.searchsorted(self.heads, at, "right")) - 1
             end = (int(self.heads[run + 1]) if run + 1 < len(self.heads) else self.n) - 1
             if at == end:
-                return (int(self.samples[run]) + steps) % self.n
+                return int(self.samples[run]) + steps
             symbol = self.symbols[run : run + 1]
+            if symbol[0] == 0:
+                return int(self.first_samples[np.searchsorted(self.first, at)]) + steps
             at = int(self.before[symbol[0]] + self.rank(symbol, np.array([at]))[0])
             steps += 1

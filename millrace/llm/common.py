@@ -53,9 +53,9 @@ def crc_bucket(doc_id: Column, buckets: int = 4) -> Column:
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """Adds ``_id`` (the id, the least long for null) and ``_h`` (hash of the text): what a document row is joined by."""
+    """Adds ``__id`` (the id, the least long for null) and ``__h`` (hash of the text): what a document row is joined by."""
     least = F.lit(-(1 << 63)).cast("long")
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), least)).withColumn("_h", F.xxhash64("text"))
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), least)).withColumn("__h", F.xxhash64("text"))
 
 
 #: Marks of hashes are 2 ** MARK_BITS bits, so 2 MB at most, however many hashes there are.
@@ -63,17 +63,17 @@ MARK_BITS = 24
 
 
 def mark_words(hashes: DataFrame, column: str, bits: int = MARK_BITS) -> DataFrame:
-    """(word, bits): a bit for the leading ``bits`` of each hash; at most 2 ** (bits - 6) rows."""
+    """(__word, __bits): a bit for the leading ``bits`` of each hash; at most 2 ** (bits - 6) rows."""
     slot = F.shiftrightunsigned(F.col(column), 64 - bits)
-    marks = hashes.where(F.col(column).isNotNull()).select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    return marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marks = hashes.where(F.col(column).isNotNull()).select(F.shiftright(slot, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    return marks.groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
 
 
 def marks(hashes: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
     """The marks as an array of 64-bit words, of a fixed size."""
     found = mark_words(hashes, column, bits).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    words[found["__word"].to_numpy()] = found["__bits"].to_numpy().view(np.uint64)
     return words
 
 
@@ -83,9 +83,9 @@ def marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def split_by_marks(docs: DataFrame, words: DataFrame, column: str = "_h") -> tuple[DataFrame, DataFrame]:
+def split_by_marks(docs: DataFrame, words: DataFrame, column: str = "__h") -> tuple[DataFrame, DataFrame]:
     """Rows whose hash may be marked, and the rest. words: of mark_words, so small enough to broadcast."""
     slot = F.shiftrightunsigned(F.col(column), 64 - MARK_BITS)
-    bit = F.call_function("shiftright", F.col("bits"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    met = (F.shiftright(slot, 6) == F.col("word")) & bit
+    bit = F.call_function("shiftright", F.col("__bits"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = (F.shiftright(slot, 6) == F.col("__word")) & bit
     return docs.join(F.broadcast(words), met, "left_semi"), docs.join(F.broadcast(words), met, "left_anti")

@@ -48,10 +48,10 @@ def register(text: Column, n_words: Column) -> Column:
 
 
 def cells_of(docs: DataFrame, topic: str | None = None) -> DataFrame:
-    """Adds ``_source``, ``_lang``, ``topic`` and ``n_words`` to the documents."""
+    """Adds ``__source``, ``__lang``, ``topic`` and ``n_words`` to the documents."""
     kept = docs.drop(*(c for c in ADDED if c != topic)).withColumn("n_words", words(F.col("text")))
     kind = F.col(topic).cast("string") if topic else register(F.coalesce(F.col("text"), F.lit("")), F.col("n_words"))
-    return kept.withColumn("topic", F.coalesce(kind, F.lit(NONE))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(NONE))).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit(NONE)))
+    return kept.withColumn("topic", F.coalesce(kind, F.lit(NONE))).withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(NONE))).withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit(NONE)))
 
 
 def _tempered(totals: Mapping[str, float], given: Mapping[str, float] | None) -> dict[str, float]:
@@ -67,26 +67,26 @@ def _dot(weights: Column, factors: list[float]) -> Column:
 
 
 def rake(cells: DataFrame, scratch: Scratch, sources: Mapping[str, float] | None = None, langs: Mapping[str, float] | None = None, topics: Mapping[str, float] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> tuple[DataFrame, dict[tuple[str, str], float]]:
-    """Sampling rates from cells (_source, _lang, topic, weight).
+    """Sampling rates from cells (__source, __lang, topic, weight).
 
-    Gives (_source, rate) and a rate for each (language, topic): their product, cut at one, is the cell's probability.
+    Gives (__source, rate) and a rate for each (language, topic): their product, cut at one, is the cell's probability.
     """
     cells = scratch.save(cells, "cells")
-    pairs = [(r._lang, r.topic, float(r.w)) for r in cells.groupBy("_lang", "topic").agg(F.sum("weight").alias("w")).orderBy("_lang", "topic").collect()]
+    pairs = [(r["__lang"], r.topic, float(r.w)) for r in cells.groupBy("__lang", "topic").agg(F.sum("weight").alias("w")).orderBy("__lang", "topic").collect()]
     if not pairs:
-        return cells.select("_source", F.lit(0.0).alias("rate")), {}
+        return cells.select("__source", F.lit(0.0).alias("__rate")), {}
     by_lang, by_topic = ({k: sum(p[2] for p in pairs if p[at] == k) for k in sorted({p[at] for p in pairs})} for at in (0, 1))
     want_lang, want_topic = _tempered(by_lang, langs), _tempered(by_topic, topics)
     place = F.create_map(*(F.lit(x) for n, p in enumerate(pairs) for x in (f"{p[0]}\x1f{p[1]}", n)))
-    keyed = cells.select("_source", F.element_at(place, F.concat_ws("\x1f", "_lang", "topic")).alias("at"), F.col("weight").cast("double").alias("w"))
+    keyed = cells.select("__source", F.element_at(place, F.concat_ws("\x1f", "__lang", "topic")).alias("at"), F.col("weight").cast("double").alias("w"))
     entries = F.map_from_entries(F.collect_list(F.struct("at", "w")))
-    rows = keyed.groupBy("_source").agg(entries.alias("m"), F.sum("w").alias("total"))
+    rows = keyed.groupBy("__source").agg(entries.alias("m"), F.sum("w").alias("total"))
     weights = F.transform(F.sequence(F.lit(0), F.lit(len(pairs) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     if sources is None:
         wanted = F.pow("total", F.lit(TEMPER))
     else:
-        wanted = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in sources.items() for x in (k, float(v)))), F.col("_source")), F.lit(0.0)) if sources else F.lit(0.0)
-    rows = scratch.save(rows.select("_source", weights.alias("w"), wanted.alias("wanted")), "sources")
+        wanted = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in sources.items() for x in (k, float(v)))), F.col("__source")), F.lit(0.0)) if sources else F.lit(0.0)
+    rows = scratch.save(rows.select("__source", weights.alias("w"), wanted.alias("wanted")), "sources")
     scale = rows.agg(F.sum("wanted")).first()[0] or 1.0
     total = sum(p[2] for p in pairs)
     of_lang, of_topic = dict.fromkeys(by_lang, 1.0), dict.fromkeys(by_topic, 1.0)
@@ -115,7 +115,7 @@ def rake(cells: DataFrame, scratch: Scratch, sources: Mapping[str, float] | None
         r = fitted.agg(F.sum(F.when(over, F.col("x")).otherwise(0.0)).alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("x") * F.col("g"))).alias("part")).first()
         if r.part and r.part > 0 and budget > r.full:
             up = (budget - r.full) / r.part
-    return rows.select("_source", (factor * (budget * up)).alias("rate")), {(p[0], p[1]): f for p, f in zip(pairs, raked, strict=True)}
+    return rows.select("__source", (factor * (budget * up)).alias("__rate")), {(p[0], p[1]): f for p, f in zip(pairs, raked, strict=True)}
 
 
 def draw(doc_id: Column, salt: str = "mix") -> Column:
@@ -127,13 +127,13 @@ def draw(doc_id: Column, salt: str = "mix") -> Column:
 def mix(docs: DataFrame, scratch: Scratch, topic: str | None = None, **targets) -> DataFrame:
     """The documents with ``topic``, ``n_words``, ``probability`` and ``kept``."""
     marked = cells_of(docs, topic)
-    cells = marked.groupBy("_source", "_lang", "topic").agg(F.sum("n_words").alias("weight"))
+    cells = marked.groupBy("__source", "__lang", "topic").agg(F.sum("n_words").alias("weight"))
     rates, pairs = rake(cells, scratch, **targets)
-    of_pair = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for (a, b), f in pairs.items() for x in (f"{a}\x1f{b}", f))), F.concat_ws("\x1f", "_lang", "topic")), F.lit(0.0)) if pairs else F.lit(0.0)
+    of_pair = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for (a, b), f in pairs.items() for x in (f"{a}\x1f{b}", f))), F.concat_ws("\x1f", "__lang", "topic")), F.lit(0.0)) if pairs else F.lit(0.0)
     # Sources are as few or many as the data has: Spark broadcasts their rates only if their size allows.
-    met = marked.join(rates, "_source", "left")
-    p = F.least(F.lit(1.0), F.coalesce(F.col("rate"), F.lit(0.0)) * of_pair)
-    return met.withColumn("probability", p).withColumn("kept", draw(F.col("doc_id")) < F.col("probability")).drop("_source", "_lang", "rate")
+    met = marked.join(rates, "__source", "left")
+    p = F.least(F.lit(1.0), F.coalesce(F.col("__rate"), F.lit(0.0)) * of_pair)
+    return met.withColumn("probability", p).withColumn("kept", draw(F.col("doc_id")) < F.col("probability")).drop("__source", "__lang", "__rate")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

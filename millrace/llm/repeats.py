@@ -39,10 +39,12 @@ AT_ONCE, BLOCK = 1 << 20, 1 << 18
 MOST_WINDOWS = 256
 #: Segments of one minimizer beyond which they are dealt out as windows.
 CROWD = 20_000
+#: Bytes of text whose equal segments leave one copy before any shuffle.
+TOGETHER = 64 << 20
 #: Bits of the extensions' bitmap: 16 MB.
 BITS = 27
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_SPANS = pa.schema([("_id", pa.int64()), ("_h", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
+_SPANS = pa.schema([("__id", pa.int64()), ("__h", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
 _CUTS = pa.schema([("m", pa.int64()), ("segment", pa.binary()), *_SPANS, ("again", pa.bool_())])
 
 
@@ -160,7 +162,7 @@ class Batch:
 def _groups(batch: pa.RecordBatch, kind: Symbols) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Ids, hashes and bytes of about ``AT_ONCE`` bytes of texts."""
     ids, hs, texts, size = [], [], [], 0
-    for i, h, text in zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist(), batch.column("text"), strict=True):
+    for i, h, text in zip(batch.column("__id").to_pylist(), batch.column("__h").to_pylist(), batch.column("text"), strict=True):
         raw = kind.tidy(text.as_py())
         ids.append(i)
         hs.append(h)
@@ -188,7 +190,7 @@ def _counted(docs: DataFrame, kind: Symbols) -> DataFrame:
 
 
 def _first_copies(rows: list[tuple]) -> tuple[list, list]:
-    """Splits (m, segment, _id, _h, start, windows, again) into first copies and the others."""
+    """Splits (m, segment, __id, __h, start, windows, again) into first copies and the others."""
     first: dict[bytes, tuple] = {}
     others = []
     for row in rows:
@@ -217,8 +219,8 @@ def _cut(docs: DataFrame, kind: Symbols, busy: np.ndarray) -> DataFrame:
             slot = m >> np.uint64(64 - BITS)
             return (sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+        rows, size = [], 0
         for batch in batches:
-            rows, size = [], 0
             for ids, hs, texts in _groups(batch, kind):
                 found = Batch(kind, texts)
                 first, count, m, again = found.runs(kind, marked)
@@ -228,12 +230,12 @@ def _cut(docs: DataFrame, kind: Symbols, busy: np.ndarray) -> DataFrame:
                 for x in zip(m.view(np.int64).tolist(), begin.tolist(), end.tolist(), text.tolist(), (first - origin).tolist(), count.tolist(), again.tolist(), strict=True):
                     rows.append((x[0], found.joined[x[1] : x[2]], ids[x[3]], hs[x[3]], x[4], x[5], x[6]))
                 size += sum(map(len, texts))
-                if size > 16 * AT_ONCE:
+                if size > TOGETHER:
                     yield _emit(*_first_copies(rows), kind.window)
                     rows, size = [], 0
-            yield _emit(*_first_copies(rows), kind.window)
+        yield _emit(*_first_copies(rows), kind.window)
 
-    return map_arrow(docs, run, "m long, segment binary, _id long, _h long, start long, size long, again boolean")
+    return map_arrow(docs, run, "m long, segment binary, __id long, __h long, start long, size long, again boolean")
 
 
 def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
@@ -246,13 +248,13 @@ def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
                 begin, end = kind.bounds(r["segment"] + b"\x00")
                 for n in range(r["size"]):
                     part = r["segment"][begin[n] : end[n + kind.window - 1]]
-                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, r["_id"], r["_h"], r["start"] + n, 1, False))
+                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, r["__id"], r["__h"], r["start"] + n, 1, False))
                 if len(rows) > 200_000:
                     yield _emit(*_first_copies(rows), kind.window)
                     rows = []
             yield _emit(*_first_copies(rows), kind.window)
 
-    return map_arrow(crowded, run, "m long, segment binary, _id long, _h long, start long, size long, again boolean")
+    return map_arrow(crowded, run, "m long, segment binary, __id long, __h long, start long, size long, again boolean")
 
 
 def repeated_windows(kind: Symbols, segments: list[bytes], ids: np.ndarray, hs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,15 +319,15 @@ def _indexed(segments: DataFrame, kind: Symbols) -> DataFrame:
         if rows:
             yield from solve(rows)
 
-    return map_arrow(segments.repartition("m").sortWithinPartitions("m"), run, "_id long, _h long, start long, size long")
+    return map_arrow(segments.repartition("m").sortWithinPartitions("m"), run, "__id long, __h long, start long, size long")
 
 
 def find_repeats(docs: DataFrame, kind: Symbols, scratch: Scratch) -> DataFrame:
-    """(_id, _h, start, size): spans of symbols that repeated windows cover. docs: with row_keys.
+    """(__id, __h, start, size): spans of symbols that repeated windows cover. docs: with row_keys.
 
     Spans of one document may overlap.
     """
-    texts = docs.select("_id", "_h", "text")
+    texts = docs.select("__id", "__h", "text")
     busy = marks(_counted(texts, kind), "m", BITS)
     cuts = scratch.save(_cut(texts, kind, busy), "cuts")
     segments = cuts.where("m is not null")
@@ -336,17 +338,17 @@ def find_repeats(docs: DataFrame, kind: Symbols, scratch: Scratch) -> DataFrame:
         windows = scratch.save(_dealt(hot.drop("_k"), kind), "windows")
         segments = calm.drop("_k").unionByName(windows.where("m is not null"))
         cuts = cuts.unionByName(windows.where("m is null"))
-    return cuts.where("m is null").select("_id", "_h", "start", "size").unionByName(_indexed(segments, kind))
+    return cuts.where("m is null").select("__id", "__h", "start", "size").unionByName(_indexed(segments, kind))
 
 
 def with_spans(docs: DataFrame, kind: Symbols, scratch: Scratch) -> DataFrame:
     """The documents with row_keys and ``spans``, an array of (start, size), or null where nothing repeats."""
     keyed = row_keys(docs)
-    found = find_repeats(keyed, kind, scratch).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    found = find_repeats(keyed, kind, scratch).groupBy("__id", "__h").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     found = scratch.save(found, "spans")
-    touched, rest = split_by_marks(keyed, mark_words(found, "_h"))
+    touched, rest = split_by_marks(keyed, mark_words(found, "__h"))
     none = F.lit(None).cast("array<struct<start:long,size:long>>")
-    return touched.join(found.hint("merge"), ["_id", "_h"], "left").unionByName(rest.withColumn("spans", none))
+    return touched.join(found.hint("merge"), ["__id", "__h"], "left").unionByName(rest.withColumn("spans", none))
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:

@@ -1,11 +1,15 @@
-"""SimHash near-duplicates at a given similarity: wide fingerprints, blocks, Hamming verification.
+"""Near-duplicates at a given similarity: an exact join of shingle sets.
 
-Texts of similarity s (Jaccard, on word shingles) differ in arccos(2 s / (1 + s)) / pi of their SimHash bits: 15 % at 0.8, more than
-whole blocks of a 64-bit fingerprint survive. So ``LONGS`` words of 64 bits are taken, split into 16-bit
-blocks; a pair at 0.8 shares one of the 64 blocks with a chance of 0.99. What meets is verified by the Hamming distance of the first
-128 bits, with two standard deviations of room: pairs somewhat below the similarity may link too.
+Texts are similar if their sets of word shingles have a Jaccard of ``similarity`` or more. Under any one order of all shingles, two such
+texts share a shingle among the first n - ceil(similarity n) + 1 of each (n: shingles of the text), so those that share one of these meet, and no
+pair is missed. The order puts shingles last that stand in many texts. What meets is first held against an upper bound of the overlap (shingles
+counted in ``BUCKETS`` buckets), and what passes is verified with the whole sets.
 
-Defined cases: as in ``simhash``. Equal texts are one node, so copies make no pairs.
+Links need to connect groups, not to name all pairs: crowds of more than ``SMALL`` texts first grow trees, and after these
+are verified, all pairs of texts that are not connected yet are compared.
+
+Defined cases: as in ``simhash``. Texts without words are alike; texts of fewer words than a shingle are one shingle. Texts of equal words
+are one node, so copies make no pairs.
 """
 
 from __future__ import annotations
@@ -21,127 +25,255 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.workers import map_arrow, map_pandas
-from millrace.llm.common import Scratch, whole_texts
+from millrace.llm.common import Scratch, marked, marks, whole_texts
 from millrace.llm.components import components
 
-LONGS, VERIFIED = 16, 2
-#: Members of a meeting up to which all are compared; beyond, links grow as trees from one member at a time.
+#: Texts with a shingle from which on it is ordered last; only the work depends on it.
+COMMON = 32
+#: Members of a meeting up to which all are compared at once.
 SMALL = 64
-_ODD = np.random.default_rng(64).integers(0, 1 << 62, LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """``LONGS`` words of majority bits of the text's shingles; zeros for no words."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.zeros(LONGS, np.uint64)
-    joined = b" ".join(found)
-    n = max(1, len(found) - words + 1)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[min(words, len(found)) - 1 :].tolist()
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends, strict=True)]), np.uint64)
-    counts = np.zeros(64 * LONGS, np.int64)
-    for i in range(0, n, 255):  # sums of 255 bits fit in a byte
-        spread = hashes[i : i + 255, None] * _ODD
-        spread = (spread ^ (spread >> np.uint64(32))) * _MIX
-        counts += np.add.reduce(np.unpackbits(spread.view(np.uint8).reshape(len(spread), -1), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > n).view(np.uint64)
-
-
-def limit(similarity: float) -> int:
-    """Differing bits of the verified ones that pairs of this similarity hardly exceed."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * VERIFIED
-    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
-
-
-def _prints(docs: DataFrame, words: int) -> DataFrame:
+BUCKETS = 128
+_ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def _node(tokens: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(tokens))
+
+
+def shingles(tokens: list[bytes], words: int = 5) -> np.ndarray:
+    """The text's set of shingles as ordered 64-bit hashes; a zero for no words."""
+    if not tokens:
+        return np.zeros(1, np.uint64)
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    n = max(1, len(tokens) - words + 1)
+    found = np.zeros(n, np.uint64)
+    for i in range(min(words, len(tokens))):
+        found += codes[i : i + n] * np.uint64(pow(_ODD, i + 1, 1 << 64))
+    return np.unique((found ^ (found >> np.uint64(32))) * _MIX)
+
+
+def leading(n: int, similarity: float) -> int:
+    """How many first shingles of n hold one of every similar text."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Shingles in each bucket; full buckets all over where one of them overflows, so that bounds stay upper bounds."""
+    counts = np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return np.full(BUCKETS, 255, np.uint8) if counts.max() > 255 else counts.astype(np.uint8)
+
+
+def _per_text(docs: DataFrame, function, schema: str) -> DataFrame:
+    """Rows that ``function(tokens)`` gives for texts, in columns."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 2000):
+                rows = [r for t in batch["text"].iloc[i : i + 2000] if (r := function(_tokens(t))) is not None]
+                if rows:
+                    yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+
+    return map_pandas(docs.select("text"), run, schema)
+
+
+
+def _prints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [fingerprint(t, words).tobytes() for t in batch["text"]]
-            nodes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes.view(np.int64), "print": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": np.fromiter((_node(_tokens(t)) for t in batch["text"]), np.uint64, len(batch)).view(np.int64)})
+
+    return map_pandas(whole_texts(docs), run, "doc_id long, node long")
+
+
+def _common(docs: DataFrame, words: int, similarity: float) -> np.ndarray:
+    """Marks of shingles that stand in many texts, among those that would come first by hash."""
+
+    def first(tokens: list[bytes]) -> tuple[np.ndarray]:
+        found = shingles(tokens, words)
+        return (found[: leading(len(found), similarity) + len(found) // 10].view(np.int64),)
+
+    counts = _per_text(docs, first, "key long").repartition("key").groupBy("key").agg(F.count("*").alias("n"))
+    return marks(counts.where(F.col("n") >= COMMON), "key")
+
 
-    return map_pandas(whole_texts(docs), run, "doc_id long, node long, print binary")
+def _keys(docs: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """(key, node, size): the first shingles of each text."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
+    def first(tokens: list[bytes]) -> tuple[np.ndarray, ...]:
+        found = shingles(tokens, words)
+        late = marked(sent.value, found)
+        taken = np.concatenate((found[~late], found[late]))[: leading(len(found), similarity)]
+        return taken.view(np.int64), np.full(len(taken), _node(tokens), np.uint64).view(np.int64), np.full(len(taken), len(found))
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (key, node, a, b) for each block of each print."""
+    return _per_text(docs, first, "key long, node long, size long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.ChunkedArray]]:
+    """Tables of whole keys, from rows sorted by key (the first column)."""
+    held = []
     for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            part = batch.slice(i, 2048)
-            raw = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint64).reshape(-1, LONGS)
-            if not len(raw):
-                continue
-            blocks = raw.view(np.uint16)
-            keys = blocks.astype(np.int64) + (np.arange(blocks.shape[1], dtype=np.int64) << 16)
-            node = part.column("node").to_numpy(zero_copy_only=False)
-            each = blocks.shape[1]
-            columns = [keys.ravel(), *(np.repeat(x, each) for x in (node, raw[:, 0].view(np.int64), raw[:, 1].view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "a", "b"])
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))
+        if held and keys[0] != held[-1].column(0)[-1].as_py():
+            if not last:
+                yield pa.Table.from_batches(held)
+                held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, size, n) of keys with n > 1 nodes, each node once. Rows come sorted by key and node."""
+    for table in _groups(batches):
+        key, node, size = (c.to_numpy() for c in table.columns)
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        key, node, size = key[fresh], node[fresh], size[fresh]
+        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        met = n[which] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(c[met], pa.int64()) for c in (key, node, size, n[which])], ["key", "node", "size", "n"])
+
+
+def _meet(similarity: float, trees: bool):
+    """Gives pairs of different roots that may be similar, from rows (key, node, size, root, sketch) sorted by key.
 
+    trees: crowds give only pairs that connect them.
+    """
+    part = similarity / (1 + similarity)
 
-def _meet(most: int):
-    """Streams rows sorted by key; gives links that connect what is linked in each meeting."""
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        key, node, size, root = (c.to_numpy() for c in table.columns[:4])
+        prints = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, BUCKETS)
 
-    def near(a: np.ndarray, b: np.ndarray, x: np.ndarray | np.uint64, y: np.ndarray | np.uint64) -> np.ndarray:
-        return np.bitwise_count(a ^ x).astype(np.int64) + np.bitwise_count(b ^ y) <= most
+        def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Which of pairs x, y may be similar."""
+            low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+            may = (low >= similarity * high - 1e-9) & (root[x] != root[y])
+            at = np.flatnonzero(may)
+            for i in range(0, len(at), 1 << 16):
+                a, b = x[at[i : i + (1 << 16)]], y[at[i : i + (1 << 16)]]
+                most = np.minimum(prints[a], prints[b]).sum(axis=1, dtype=np.int64)
+                may[at[i : i + (1 << 16)]] = most >= np.minimum(part * (size[a] + size[b]) - 1e-6, 255 * BUCKETS)
+            return may
 
-    def settle(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         left, right = [], []
         stop = np.repeat(starts + sizes, sizes)
-        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+        at = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
         lag = 1
         while len(at := at[at + lag < stop[at]]):
-            hit = at[near(a[at], b[at], a[at + lag], b[at + lag])]
+            hit = at[near(at, at + lag)]
             left.append(node[hit])
             right.append(node[hit + lag])
             lag += 1
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             rest, grown = np.arange(s, s + n), []
+            if (root[s : s + n] == root[s]).all():
+                continue
             while len(rest):
                 one = grown.pop() if grown else rest[0]
                 rest = rest[rest != one]
-                hit = near(a[rest], b[rest], a[one], b[one])
+                hit = near(np.full(len(rest), one), rest)
                 left.append(np.full(int(hit.sum()), node[one]))
                 right.append(node[rest[hit]])
-                grown += rest[hit].tolist()
-                rest = rest[~hit]
+                if trees:
+                    grown += rest[hit].tolist()
+                    rest = rest[~hit]
         ends = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
+        a, b = np.minimum(*ends), np.maximum(*ends)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(x[fresh], pa.int64()) for x in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        for table in _groups(batches):
+            yield settle(table)
+
+    return run
+
+
+def _compared(similarity: float):
+    """The similar of pairs (a, b), from rows (a, b, found) sorted by a and b: first a's own set, with b null, then those of each b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            new = [*new[:2], new[2].view(np.uint64), new[3].view(np.uint64)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if not len(held[0]):
-                continue
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                yield settle(*(c[:last] for c in held))
-                held = [c[last:] for c in held]
-        if held is not None and len(held[0]):
-            yield settle(*held)
+            out = []
+            for a, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.frombuffer(raw, np.uint64)
+                if b is None:
+                    own = found
+                    continue
+                both = np.sort(np.concatenate((own, found)))
+                shared = int((both[1:] == both[:-1]).sum())
+                if shared >= similarity * (len(both) - shared) - 1e-9:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
+    sent = docs.sparkSession.sparkContext.broadcast(marks(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))
+
+    def whole(tokens: list[bytes]) -> tuple | None:
+        node = np.array([_node(tokens)], np.uint64)
+        return (node.view(np.int64), np.array([shingles(tokens, words).tobytes()], object)) if marked(sent.value, node)[0] else None
+
+    sets = scratch.save(_per_text(docs, whole, "node long, found binary").dropDuplicates(["node"]), f"{name}-sets")
+    own = sets.join(pairs.select(F.col("a").alias("node")).distinct().hint("merge"), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "found")
+    others = pairs.join(sets.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "b", "found")
+    rows = own.unionByName(others).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return scratch.save(map_arrow(rows, _compared(similarity), "a long, b long"), f"{name}-links")
+
+
+def links(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): pairs of similar nodes that connect all nodes that similar pairs connect."""
+    keys = _keys(docs, _common(docs, words, similarity), words, similarity)
+    shared = scratch.save(map_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), _shared, "key long, node long, size long, n long"), "shared")
+    sent = docs.sparkSession.sparkContext.broadcast(marks(shared, "node"))
+
+    def counted(tokens: list[bytes]) -> tuple | None:
+        node = np.array([_node(tokens)], np.uint64)
+        return (node.view(np.int64), np.array([sketch(shingles(tokens, words)).tobytes()], object)) if marked(sent.value, node)[0] else None
+
+    sketches = scratch.save(_per_text(docs, counted, "node long, sketch binary").dropDuplicates(["node"]), "sketches")
+
+    def met(rows: DataFrame, trees: bool) -> DataFrame:
+        rows = rows.join(sketches.hint("merge"), "node").select("key", "node", "size", "root", "sketch")
+        return map_arrow(rows.repartition("key").sortWithinPartitions("key"), _meet(similarity, trees), "a long, b long")
+
+    found = _verified(met(shared.withColumn("root", F.col("node")), True), docs, words, similarity, scratch, "first")
+    crowds = shared.where(F.col("n") > SMALL)
+    if crowds.isEmpty():
+        return found
+    roots = components(found, scratch)
+    rooted = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return found.unionByName(_verified(met(rooted, False), docs, words, similarity, scratch, "rest"))
+
+
 def similar(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): component_id is the least id reachable over links of near-duplicates."""
-    prints = scratch.save(_prints(docs, words), "wide")
-    nodes = prints.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("first"))
-    nodes = scratch.save(nodes, "nodes")
-    spread = map_arrow(nodes.select("node", "print"), _spread, "key long, node long, a long, b long")
-    links = map_arrow(spread.repartition("key").sortWithinPartitions("key"), _meet(limit(similarity)), "a long, b long")
-    roots = components(scratch.save(links.distinct(), "met"), scratch)
-    rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    prints = scratch.save(_prints(docs), "nodes")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    roots = components(links(docs, scratch, words, similarity), scratch)
+    rooted = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
     return prints.join(named, "node").select("doc_id", "component_id")

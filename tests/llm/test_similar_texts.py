@@ -32,3 +32,16 @@ def test_texts_below_the_similarity_stay_apart(spark, documents):
     texts = [*base, *(" ".join(t.split()[:155]) + " " + prose(rng, 45) for t in base)]  # Jaccard about 0.63
     texts += ["word " * 60 + prose(rng, 12), "word " * 60 + prose(rng, 12)]  # one long repeated word
     assert found(spark, documents(*texts)) == dict(enumerate(range(len(texts))))
+
+
+@pytest.mark.parametrize("crowd", [0, 90])
+def test_components_equal_all_pairs_around_the_similarity(spark, documents, crowd):
+    rng = random.Random(7)
+    base = prose(rng, 60).split()
+    texts = [" ".join(w if i not in cut else prose(rng, 1) + "x" for i, w in enumerate(base)) for cut in (rng.sample(range(60), rng.randint(0, 3)) for _ in range(crowd))]
+    for n in [3, 4, 5, 6, 8, 8, 8, 9, 12, 20, 30, 40, 60, 100] * 2:
+        words = prose(rng, n).split()
+        for more in range(3):
+            at = rng.randrange(n + 1)
+            texts += [" ".join(words), " ".join([*words, *["added"] * more]), " ".join([*words[:at], "inside", *words[at:]])]
+    assert found(spark, documents(*texts)) == dict(enumerate(brute(texts)))

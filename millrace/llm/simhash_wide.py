@@ -277,3 +277,11 @@ def similar(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
     return prints.join(named, "node").select("doc_id", "component_id")
+
+
+def firsts(docs: DataFrame, scratch: Scratch, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(__id, __h) of one row of each group of similar texts: the least id, null last, then the least hash. docs: with row_keys."""
+    alone = docs.select(F.col("__h").alias("doc_id"), "text")
+    groups = similar(alone, scratch, words, similarity).distinct().withColumnsRenamed({"doc_id": "__h", "component_id": "__group"})
+    rows = docs.select("__id", "__h", F.col("doc_id").isNull().alias("unnamed")).join(groups, "__h")
+    return rows.groupBy("__group").agg(F.min(F.struct("unnamed", "__id", "__h")).alias("first")).select("first.__id", "first.__h")

@@ -1,51 +1,55 @@
 """Repeated windows over all documents: content-defined shards, each with an index of its segments.
 
 A window is a number of consecutive symbols (words or bytes) of one document; it repeats if its symbols also start
-earlier (smaller id, or same document and earlier start). Every window is sent by its least gram hash (its minimizer), so equal
+earlier (smaller id, or same document and earlier start). Every window is sent by its least gram (its minimizer), so equal
 windows meet in one shard, and a shard never needs another's text:
 
-1. around each minimizer stand half of a window's other symbols at least, on its left or its right, inside the
-   window: these two extensions are counted, and those that stand in two places marked in a bitmap of fixed size;
-2. runs of windows with one minimizer of a marked extension are cut out as segments; equal segments of a
-   batch leave one copy, the others are repeats outright;
-3. in each shard, blocks of segments are indexed and the segments streamed through the index: a window whose
-   interval holds an earlier start is a repeat. Minimizers with very many segments have theirs
-   dealt out as single windows first, so that no shard takes an unbounded group.
-
-The bitmap only saves work: a window without a marked extension can't repeat, and one marked by chance costs
-a segment. Ids are ordered as numbers, null first; rows with equal id and text are one document.
+1. runs of windows with one minimizer are the candidates. Around each minimizer stand half of a window's other symbols at least, on its
+   left or its right, inside the window: the hashes of these two extensions are dealt into buckets and counted there, and runs
+   of an extension that stands in two places are marked. Within a bucket hashes are told by 32 bits, so that one run in some
+   hundred is marked for nothing at most, which costs a segment, at any size of the corpus;
+2. documents meet their marked runs, which are cut out as segments; equal segments of a batch leave one copy, as all windows of the others
+   start later;
+3. in each shard, blocks of segments are indexed and the segments streamed through the index: a window of a wide group that is not its
+   earliest is a repeat. Minimizers with very many segments have theirs dealt out as single windows first, so that no
+   shard takes an unbounded group.
+
+An extension that a batch holds many times goes to its bucket once, so no bucket takes an unbounded group. Ids are ordered as numbers, null first; rows with
+equal id and text are one document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.workers import map_arrow
-from millrace.llm.common import Scratch, mark_words, marks, row_keys, split_by_marks
+from millrace.llm.common import Scratch, mark_words, row_keys, split_by_marks
 from millrace.llm.suffixes import Matches
 
 #: Bytes of text handled at once, and symbols of an indexed block.
 AT_ONCE, BLOCK = 1 << 20, 1 << 18
 #: Windows of one segment; longer runs are cut.
-MOST_WINDOWS = 256
+MOST_WINDOWS = 255
 #: Segments of one minimizer beyond which they are dealt out as windows.
 CROWD = 20_000
-#: Bytes of text whose equal segments leave one copy before any shuffle.
+#: Bytes of text whose equal extensions and equal segments meet before any shuffle.
 TOGETHER = 64 << 20
-#: Bits of the extensions' bitmap: 16 MB.
-BITS = 27
+#: Bytes of text whose extensions share a bucket, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SPANS = pa.schema([("__id", pa.int64()), ("__h", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
-_CUTS = pa.schema([("m", pa.int64()), ("segment", pa.binary()), *_SPANS, ("again", pa.bool_())])
+_CUTS = pa.schema([("m", pa.int64()), ("segment", pa.binary()), *_SPANS])
+_SENT = pa.schema([("bucket", pa.int32()), ("k", pa.int64()), ("runs", pa.list_(pa.int64())), ("packed", pa.binary())])
+_MARKS = pa.schema([("k", pa.int64()), ("runs", pa.list_(pa.int64()))])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -131,66 +135,160 @@ class Batch:
             out[side, inside] = h
         return out
 
-    def runs(self, kind: Symbols, marked: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, windows, minimizer, again) of runs with one minimizer near a marked extension.
+    def runs(self, kind: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with one minimizer, and the extensions of its places in them.
 
-        again: the minimizer may stand in the run more than once, so the run may repeat itself.
+        Gives (first window, windows, place of a minimizer in the first window) of runs, and (run, hash) of extensions.
         """
         m = self.windows
+        none = np.empty(0, np.int64)
         if not len(m):
-            return np.empty(0, np.int64), np.empty(0, np.int64), m, np.empty(0, bool)
+            return none, none, none, none, np.empty(0, np.uint64)
         places = self.selected(kind)
-        sides = self.extensions(kind, places)
-        hits = np.concatenate(([0], np.cumsum((marked(sides[0]) & (sides[0] != 0)) | (marked(sides[1]) & (sides[1] != 0)))))
         first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
         size = np.diff(np.append(first, len(m)))
-        low, high = np.searchsorted(places, first), np.searchsorted(places, first + size + kind.window - kind.gram)
-        keep = (m[first] != 0) & (hits[high] > hits[low])
-        first, size, low, high = first[keep], size[keep], low[keep], high[keep]
-        here, times = np.append(self.grams[places], np.uint64(0)), np.zeros(len(first), np.int64)
-        for k in range(8):
-            times += (low + k < high) & (here[np.minimum(low + k, len(places))] == m[first])
-        again = (times > 1) | (high - low > 8)
+        first, size = first[m[first] != 0], size[m[first] != 0]
         pieces = -(-size // MOST_WINDOWS)
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = np.repeat(first, pieces) + step * MOST_WINDOWS
         size = np.minimum(MOST_WINDOWS, np.repeat(first + size, pieces) - begin)
-        # Least hashes crowd near zero: mixed, they spread over shards.
-        return begin, size, mixed(m[begin]), np.repeat(again | (pieces > 1), pieces)
-
-
-def _groups(batch: pa.RecordBatch, kind: Symbols) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """Ids, hashes and bytes of about ``AT_ONCE`` bytes of texts."""
-    ids, hs, texts, size = [], [], [], 0
-    for i, h, text in zip(batch.column("__id").to_pylist(), batch.column("__h").to_pylist(), batch.column("text"), strict=True):
+        # A run's own places among those of equal grams.
+        values, rank = np.unique(self.grams[places], return_inverse=True)
+        n = len(self.grams) + 1
+        keys = rank * n + places
+        order = np.argsort(keys)
+        keys, places = keys[order], places[order]
+        own = np.searchsorted(values, m[begin]) * n + begin
+        low, high = np.searchsorted(keys, own), np.searchsorted(keys, own + size + kind.window - kind.gram)
+        run = np.repeat(np.arange(len(begin)), high - low)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+        sides = self.extensions(kind, places)[:, at]
+        run, sides = np.concatenate((run, run)), np.concatenate(tuple(sides))
+        return begin, size, places[low], run[sides != 0], sides[sides != 0]
+
+
+def _groups(batch: pa.RecordBatch, kind: Symbols) -> Iterator[tuple[list[tuple], list[bytes]]]:
+    """Other columns and bytes of about ``AT_ONCE`` bytes of texts; ``text`` is the last column."""
+    rows, texts, size = [], [], 0
+    for *row, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.column(batch.num_columns - 1), strict=True):
         raw = kind.tidy(text.as_py())
-        ids.append(i)
-        hs.append(h)
+        rows.append(row)
         texts.append(raw)
         size += len(raw)
         if size > AT_ONCE:
-            yield ids, hs, texts
-            ids, hs, texts, size = [], [], [], 0
+            yield rows, texts
+            rows, texts, size = [], [], 0
     if texts:
-        yield ids, hs, texts
-
-
-def _counted(docs: DataFrame, kind: Symbols) -> DataFrame:
-    """(m): extensions of minimizers that stand in two places at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield rows, texts
+
+
+def _by_document(k: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+    """Documents, each with the list of its runs. A run is one number: first window, distance of the minimizer from there, windows."""
+    order = np.lexsort((runs, k))
+    k, runs = k[order], runs[order]
+    fresh = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (runs[1:] != runs[:-1])))[: len(k)])
+    k, runs = k[fresh], runs[fresh]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(k)), pa.int32()), pa.array(runs, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(k[first], pa.int64()), lists], schema=_MARKS)
+
+
+def _packed(k: np.ndarray, runs: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Extensions of one bucket, by document and run."""
+    named, doc = np.unique(k, return_inverse=True)
+    columns = (hashes.astype(np.uint32), np.diff(doc, prepend=0).astype(np.uint32), np.diff(runs, prepend=0))
+    raw = b"".join([len(named).to_bytes(8, "little"), named.tobytes(), *(c.tobytes() for c in columns)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What was packed: documents, runs, hashes."""
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    named = int.from_bytes(raw[:8], "little")
+    n, at = (len(raw) - 8 - 8 * named) // 16, 8 + 8 * named
+    hashes, doc, runs = (np.frombuffer(raw, t, n, at + skip * n) for t, skip in ((np.uint32, 0), (np.uint32, 4), (np.int64, 8)))
+    return np.frombuffer(raw, np.int64, named, 8)[np.cumsum(doc, dtype=np.uint32)], np.cumsum(runs), hashes
+
+
+def _sent(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Extensions (document, run, hash) of a batch in their buckets, each once; the runs of those that the batch has twice go with them."""
+    if not held:
+        return
+    k, runs, h = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(h)
+    k, runs, h = k[order], runs[order], h[order]
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
+    times = np.diff(np.append(start, len(h)))
+    twice = np.repeat(times > 1, times)
+    known = _by_document(k[twice], runs[twice])
+    yield pa.RecordBatch.from_arrays([pa.array(np.abs(known.column(0).to_numpy() % buckets), pa.int32()), *known.columns, pa.nulls(known.num_rows, pa.binary())], schema=_SENT)
+    # No run: the batch's own are known already, and the hash only tells others.
+    k, runs, h = k[start], np.where(times > 1, 0, runs[start]), h[start]
+    bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((runs, k, bucket))
+    k, runs, h, bucket = k[order], runs[order], h[order], bucket[order]
+    start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(h)])
+    packed = [_packed(k[a:b], runs[a:b], h[a:b]) for a, b in zip(start.tolist(), np.append(start[1:], len(h)).tolist(), strict=True)]
+    none = pa.nulls(len(start), pa.list_(pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), pa.nulls(len(start), pa.int64()), none, pa.array(packed, pa.binary())], schema=_SENT)
+
+
+def _marked(docs: DataFrame, kind: Symbols) -> DataFrame:
+    """(k, runs): runs with an extension that stands in two places. docs: (k, text)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, size = [], set(), 0
         for batch in batches:
-            for _, _, texts in _groups(batch, kind):
+            for rows, texts in _groups(batch, kind):
+                fresh = [n for n, (k,) in enumerate(rows) if not (k in seen or seen.add(k))]  # equal rows are one document
+                texts = [texts[n] for n in fresh]
+                if not texts:
+                    continue
                 found = Batch(kind, texts)
-                sides = found.extensions(kind, found.selected(kind))
-                m, n = np.unique(sides[sides != 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int32))], ["m", "n"])
-
-    return map_arrow(docs, run, "m long, n int").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
+                first, count, place, run, h = found.runs(kind)
+                text = np.searchsorted(found.stops, first)
+                origin = np.concatenate(([0], found.stops[:-1] + 1))[text]
+                keys = np.array([rows[n][0] for n in fresh], np.int64)[text]
+                number = (first - origin) << 20 | (place - first) << 8 | count
+                held.append((keys[run], number[run], h))
+                size += sum(map(len, texts))
+                if size > TOGETHER:
+                    yield from _sent(held, buckets)
+                    held, seen, size = [], set(), 0
+        yield from _sent(held, buckets)
+
+    def settle(k: list, runs: list, h: list) -> pa.RecordBatch:
+        k, runs, h = np.concatenate(k), np.concatenate(runs), np.concatenate(h)
+        order = np.argsort(h)
+        start = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        times = np.diff(np.append(start, len(h)))
+        met = order[np.repeat(times > 1, times)]
+        met = met[runs[met] != 0]
+        return _by_document(k[met], runs[met])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            known = batch.filter(pc.is_valid(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([known.column(1), known.column(2)], schema=_MARKS)
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                if packed.is_valid:
+                    if held and bucket != at:
+                        yield settle(*zip(*held, strict=True))
+                        held = []
+                    at = bucket
+                    held.append(_unpacked(packed.as_py()))
+        if held:
+            yield settle(*zip(*held, strict=True))
+
+    sent = map_arrow(docs, send, "bucket int, k long, runs array<long>, packed binary")
+    return map_arrow(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), count, "k long, runs array<long>")
 
 
 def _first_copies(rows: list[tuple]) -> tuple[list, list]:
-    """Splits (m, segment, __id, __h, start, windows, again) into first copies and the others."""
+    """Splits (m, segment, __id, __h, start, windows) into first copies and the others."""
     first: dict[bytes, tuple] = {}
     others = []
     for row in rows:
@@ -205,37 +303,35 @@ def _first_copies(rows: list[tuple]) -> tuple[list, list]:
 
 def _emit(first: list, others: list, width: int) -> pa.RecordBatch:
     """Segments to index, then spans that repeat outright (without m and segment)."""
-    rows = [*first, *((None, None, i, h, at, n + width - 1, None) for _, _, i, h, at, n, _ in others)]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    rows = [*first, *((None, None, i, h, at, n + width - 1) for _, _, i, h, at, n in others)]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUTS, strict=True)], schema=_CUTS)
 
 
-def _cut(docs: DataFrame, kind: Symbols, busy: np.ndarray) -> DataFrame:
-    """Segments of marked minimizers, first copies of each batch; spans of other copies."""
-    sent = docs.sparkSession.sparkContext.broadcast(busy)
+def _cut(met: DataFrame, kind: Symbols) -> DataFrame:
+    """Segments of marked runs, first copies of each batch; spans of other copies. met: (__id, __h, runs, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def marked(m: np.ndarray) -> np.ndarray:
-            slot = m >> np.uint64(64 - BITS)
-            return (sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-
         rows, size = [], 0
         for batch in batches:
-            for ids, hs, texts in _groups(batch, kind):
-                found = Batch(kind, texts)
-                first, count, m, again = found.runs(kind, marked)
-                text = np.searchsorted(found.stops, first)
-                origin = np.concatenate(([0], found.stops[:-1] + 1))[text]
-                begin, end = found.begin[first], found.end[first + count + kind.window - 2]
-                for x in zip(m.view(np.int64).tolist(), begin.tolist(), end.tolist(), text.tolist(), (first - origin).tolist(), count.tolist(), again.tolist(), strict=True):
-                    rows.append((x[0], found.joined[x[1] : x[2]], ids[x[3]], hs[x[3]], x[4], x[5], x[6]))
-                size += sum(map(len, texts))
-                if size > TOGETHER:
-                    yield _emit(*_first_copies(rows), kind.window)
-                    rows, size = [], 0
+            for given, texts in _groups(batch, kind):
+                for (i, h, runs), text in zip(given, texts, strict=True):
+                    begin, end = kind.bounds(text + b"\x00")
+                    number = np.unique(np.array(runs, np.int64))
+                    first, ahead, count = number >> 20, number >> 8 & 0xFFF, number & 0xFF
+                    inside = first + count + kind.window - 2 < len(end) - 1  # a key's namesake may have other runs
+                    first, ahead, count = first[inside], ahead[inside], count[inside]
+                    a, b = begin[first].tolist(), end[first + count + kind.window - 2].tolist()
+                    c, d = begin[first + ahead].tolist(), end[first + ahead + kind.gram - 1].tolist()
+                    for x in zip(a, b, c, d, first.tolist(), count.tolist(), strict=True):
+                        rows.append((xxhash.xxh3_64_intdigest(text[x[2] : x[3]]) - (1 << 63), text[x[0] : x[1]], i, h, x[4], x[5]))
+                    size += len(text)
+                    if size > TOGETHER:
+                        yield _emit(*_first_copies(rows), kind.window)
+                        rows, size = [], 0
         yield _emit(*_first_copies(rows), kind.window)
 
-    return map_arrow(docs, run, "m long, segment binary, __id long, __h long, start long, size long, again boolean")
+    return map_arrow(met.select("__id", "__h", "runs", "text"), run, "m long, segment binary, __id long, __h long, start long, size long")
 
 
 def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
@@ -248,31 +344,24 @@ def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
                 begin, end = kind.bounds(r["segment"] + b"\x00")
                 for n in range(r["size"]):
                     part = r["segment"][begin[n] : end[n + kind.window - 1]]
-                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, r["__id"], r["__h"], r["start"] + n, 1, False))
+                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, r["__id"], r["__h"], r["start"] + n, 1))
                 if len(rows) > 200_000:
                     yield _emit(*_first_copies(rows), kind.window)
                     rows = []
             yield _emit(*_first_copies(rows), kind.window)
 
-    return map_arrow(crowded, run, "m long, segment binary, __id long, __h long, start long, size long, again boolean")
+    return map_arrow(crowded, run, "m long, segment binary, __id long, __h long, start long, size long")
 
 
-def repeated_windows(kind: Symbols, segments: list[bytes], ids: np.ndarray, hs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of windows of different segments that also start earlier among them."""
+def repeated_windows(kind: Symbols, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset) of windows that also start earlier among the segments, which come in the order of the corpus."""
     symbols, sizes = kind.coded(segments)
     ends = np.cumsum(sizes + 1) - 1
     begins = ends - sizes
     index = kind.index(symbols, kind.window)
-    order = np.lexsort((hs, ids))
-    changed = (ids[order][1:] != ids[order][:-1]) | (hs[order][1:] != hs[order][:-1])
-    document = np.empty(len(ids), np.int64)
-    document[order] = np.concatenate(([0], np.cumsum(changed)))
-    # Where a symbol stands in the corpus, as one ordered number.
-    place = np.repeat((document << 40) + starts - begins, sizes + 1) + np.arange(len(symbols))
-    earliest = np.minimum.reduceat(place[index.order], index.starts)
     segment, offset = [], []
-    for which, at, low in index.stream(symbols, begins, ends):
-        late = earliest[index.group[low]] < place[at]
+    for which, at, group in index.stream(symbols, begins, ends):
+        late = index.earliest(group) < at
         segment.append(which[late])
         offset.append(at[late] - begins[which[late]])
     return (np.concatenate(segment), np.concatenate(offset)) if segment else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -297,13 +386,9 @@ def _indexed(segments: DataFrame, kind: Symbols) -> DataFrame:
             ids, hs, starts, counts = (np.array(c, np.int64) for c in zip(*(r[2:6] for r in others), strict=True))
             step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             yield _merged(np.repeat(ids, counts), np.repeat(hs, counts), np.repeat(starts, counts) + step, kind.window)
-        # A segment whose minimizer stands nowhere else holds no window that another segment has.
-        shared = Counter(r[0] for r in first)
-        first = [r for r in first if r[6] or shared[r[0]] > 1]
-        if not first:
-            return
+        first.sort(key=lambda r: r[2:5])
         ids, hs, starts = (np.array(c, np.int64) for c in list(zip(*(r[2:5] for r in first), strict=True)))
-        which, offset = repeated_windows(kind, [r[1] for r in first], ids, hs, starts)
+        which, offset = repeated_windows(kind, [r[1] for r in first])
         yield _merged(ids[which], hs[which], starts[which] + offset, kind.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +412,11 @@ def find_repeats(docs: DataFrame, kind: Symbols, scratch: Scratch) -> DataFrame:
 
     Spans of one document may overlap.
     """
-    texts = docs.select("__id", "__h", "text")
-    busy = marks(_counted(texts, kind), "m", BITS)
-    cuts = scratch.save(_cut(texts, kind, busy), "cuts")
+    # Texts of fewer bytes than a window has symbols hold none.
+    texts = docs.where(F.octet_length("text") >= kind.window).select("__id", "__h", F.xxhash64("__id", "__h").alias("k"), "text")
+    marks = scratch.save(_marked(texts.select("k", "text"), kind), "marks")
+    runs = marks.groupBy("k").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    cuts = scratch.save(_cut(texts.join(runs.hint("merge"), "k"), kind), "cuts")
     segments = cuts.where("m is not null")
     crowded = segments.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("m")
     crowded = scratch.save(crowded, "crowded")
@@ -346,6 +433,8 @@ def with_spans(docs: DataFrame, kind: Symbols, scratch: Scratch) -> DataFrame:
     keyed = row_keys(docs)
     found = find_repeats(keyed, kind, scratch).groupBy("__id", "__h").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     found = scratch.save(found, "spans")
+    for name in ("marks", "cuts", "crowded", "windows"):
+        scratch.drop(name)
     touched, rest = split_by_marks(keyed, mark_words(found, "__h"))
     none = F.lit(None).cast("array<struct<start:long,size:long>>")
     return touched.join(found.hint("merge"), ["__id", "__h"], "left").unionByName(rest.withColumn("spans", none))

@@ -1,4 +1,8 @@
-"""Run-length index: a run-compressed Burrows-Wheeler transform with samples at run ends."""
+"""Run-length index: a run-compressed Burrows-Wheeler transform with samples at run ends.
+
+Runs are cut where a wide group begins, so that the first end of a group's first run is the group's earliest suffix: places come
+from these samples. For r runs and g wide groups an index holds 21 r + 12 g bytes, whatever the text's length.
+"""
 
 from __future__ import annotations
 
@@ -8,42 +12,31 @@ from millrace.llm.suffixes import Matches
 
 
 class RunIndex(Matches):
-    """Counts come from the runs of each symbol, places from suffixes sampled at run ends."""
-
-    def index(self, bwt: np.ndarray) -> None:
-        self.heads = np.flatnonzero(np.concatenate(([True], bwt[1:] != bwt[:-1])))
-        self.symbols = bwt[self.heads].astype(np.int64)
-        lengths = np.diff(np.append(self.heads, self.n))
-        self.samples = self.order[self.heads + lengths - 1]
-        # A separator's place among separators is not its sequence's: suffixes that begin one are sampled as well.
-        self.first = np.flatnonzero(bwt == 0)
-        self.first_samples = self.order[self.first]
-        by_symbol = np.argsort(self.symbols, kind="stable")
-        self.keys = self.symbols[by_symbol] * (self.n + 1) + self.heads[by_symbol]
-        self.lengths = lengths[by_symbol]
-        self.seen = np.cumsum(self.lengths) - self.lengths
-        first = np.searchsorted(self.symbols[by_symbol], np.arange(len(self.before) + 1))
-        total = np.append(self.seen, self.lengths.sum())
-        self.base = total[first[:-1]]
-
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        run = np.searchsorted(self.keys, symbol * (self.n + 1) + at, "right") - 1
+    """Counts come from the runs of each symbol, places from suffixes sampled at the runs' first ends."""
+
+    def build(self, bwt: np.ndarray, order: np.ndarray) -> None:
+        fresh = np.concatenate(([True], bwt[1:] != bwt[:-1]))
+        fresh[self.start] = True
+        heads = np.flatnonzero(fresh)
+        self.samples = order[heads].astype(np.int32)
+        self.run = np.searchsorted(heads, self.start).astype(np.int32)
+        lengths = np.diff(np.append(heads, self.n))
+        symbols = bwt[heads].astype(np.int64)
+        by_symbol = np.argsort(symbols, kind="stable")
+        self.keys = symbols[by_symbol] * (self.n + 1) + heads[by_symbol]
+        self.lengths = lengths[by_symbol].astype(np.int32)
+        # Runs of smaller symbols count in full before those of a symbol, as in ``before``.
+        self.seen = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+
+    def count(self, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = symbol * (self.n + 1) + at
+        run = np.searchsorted(self.keys, key, "right") - 1
         own = run >= 0
         run = np.maximum(run, 0)
-        # Runs of smaller symbols count in full, and are taken off again with the symbol's base.
-        inside = np.minimum(at + symbol * (self.n + 1) - self.keys[run], self.lengths[run])
-        return np.where(own, self.seen[run] + inside - self.base[symbol], 0)
-
-    def locate(self, at: int) -> int:
-        """Where in the text a suffix of the order begins: steps back to the next run end, then its sample."""
-        steps = 0
-        while True:
-            run = int(np.searchsorted(self.heads, at, "right")) - 1
-            end = (int(self.heads[run + 1]) if run + 1 < len(self.heads) else self.n) - 1
-            if at == end:
-                return int(self.samples[run]) + steps
-            symbol = self.symbols[run : run + 1]
-            if symbol[0] == 0:
-                return int(self.first_samples[np.searchsorted(self.first, at)]) + steps
-            at = int(self.before[symbol[0]] + self.rank(symbol, np.array([at]))[0])
-            steps += 1
+        into = key - self.keys[run]
+        length = self.lengths[run]
+        before = self.seen[run] + np.minimum(into, length) - self.before[symbol]
+        return np.where(own, before, 0), own & (into < length)
+
+    def earliest(self, group: np.ndarray) -> np.ndarray:
+        return self.samples[self.run[group]].astype(np.int64)

@@ -1,7 +1,17 @@
-"""Suffix order to a fixed depth by prefix doubling, over arrays."""
+"""Backward search over a block of sequences, to a fixed depth.
+
+Suffixes are ordered by their first ``depth`` symbols, those alike in them by their place in the text. Suffixes alike in ``depth`` symbols are a
+group; a wide group has two members at least. Backward search is exact for patterns of up to ``depth`` symbols: as soon as
+a pattern has them all, its interval is widened to its group (the parent interval), in which the next symbol's interval lies.
+
+The suffix array and the transform are needed for building only. What stays is the index of the transform, of
+which the two kinds of index keep different forms, the bounds of wide groups and the suffix that each starts with: its earliest.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -23,77 +33,81 @@ def _ahead(values: np.ndarray, by: int) -> np.ndarray:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes ordered by their first ``depth`` + 1 symbols, and where in that order the first ``depth`` differ.
+    """Suffixes ordered by their first ``depth`` symbols and by place, and where in that order groups start.
 
-    symbols: positive integers; 0 separates sequences. The second array starts with True. Backward search over this order
-    is exact for patterns of up to ``depth`` + 1 symbols: an interval ends where groups of equal starts do.
+    symbols: positive integers; 0 separates sequences. Ranks of ever longer beginnings are made from those of shorter ones.
     """
-    if symbols.dtype == np.uint8:
+    if symbols.dtype == np.uint8 and depth >= 8:
         padded = np.concatenate((symbols, np.zeros(8, np.uint8)))
         ranks, reach = _dense(np.ndarray((len(symbols),), ">u8", padded.tobytes(), 0, (1,)).astype(np.uint64)), 8
     else:
         ranks, reach = symbols.astype(np.int64), 1
-    while 2 * reach <= depth:
-        ranks = _dense(ranks * (int(ranks.max()) + 1) + _ahead(ranks, reach))
-        reach *= 2
-    more = _ahead(ranks, depth + 1 - reach)
-    order = np.argsort(ranks * (int(ranks.max()) + 1) + more)
-    tail = _ahead(ranks, depth - reach)
-    differ = (ranks[order][1:] != ranks[order][:-1]) | (tail[order][1:] != tail[order][:-1])
-    return order, np.concatenate(([True], differ))
+    while reach < depth:
+        more = min(reach, depth - reach)
+        ranks = _dense(ranks * (int(ranks.max()) + 1) + _ahead(ranks, more))
+        reach += more
+    n = len(ranks)
+    order = np.sort(ranks * n + np.arange(n))
+    ranks = order // n
+    return order - ranks * n, np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
 
 
 class Matches:
-    """What both indexes share: the text's symbol counts and groups of suffixes alike in ``depth`` symbols."""
+    """What both indexes share: the text's symbol counts, and bounds of the wide groups."""
 
     def __init__(self, symbols: np.ndarray, depth: int) -> None:
         self.n, self.depth = len(symbols), depth
-        self.order, fresh = suffix_order(symbols, depth)
-        starts = np.flatnonzero(fresh)
-        group = np.cumsum(fresh) - 1
-        self.group_start, self.group_end = starts[group], np.append(starts[1:], self.n)[group]
-        self.starts, self.group = starts, group
+        order, starts = suffix_order(symbols, depth)
+        ends = np.append(starts[1:], self.n)
+        wide = ends - starts > 1
+        self.start, self.end = starts[wide].astype(np.int32), ends[wide].astype(np.int32)
         counts = np.bincount(symbols, minlength=int(symbols.max(initial=0)) + 1)
-        self.before = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        self.bwt = symbols[self.order - 1]  # the last symbol is a separator, and stands before the first
-        self.index(self.bwt)
+        self.before = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int32)
+        self.build(symbols[order - 1], order)  # the last symbol is a separator, and stands before the first
 
-    def index(self, bwt: np.ndarray) -> None:
-        """Builds what ``rank`` needs from the Burrows-Wheeler transform."""
+    def build(self, bwt: np.ndarray, order: np.ndarray) -> None:
+        """Keeps what ``count`` and ``earliest`` need of the transform and the suffix array."""
         raise NotImplementedError
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands in the transform before each place."""
+    def count(self, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol stands in the transform before each place, and whether it stands there."""
         raise NotImplementedError
 
-    def stream(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Matching statistics of sequences, from right to left, all sequences at once.
+    def earliest(self, group: np.ndarray) -> np.ndarray:
+        """Where in the text the first suffix of wide groups begins."""
+        raise NotImplementedError
+
+    def groups(self, at: np.ndarray) -> np.ndarray:
+        """The wide group that each place of the order lies in, or -1."""
+        found = np.searchsorted(self.start, at, "right") - 1
+        return np.where((found >= 0) & (at < self.end[found]), found, -1) if len(self.start) else np.full(len(at), -1)
+
+    def stream(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of sequences that the index holds, from right to left, all sequences at once.
 
-        Gives (which, place, low): from ``place`` on the sequences ``which`` match ``depth`` symbols, in the suffixes of
-        the order from ``low`` to its group's end. Longer matches are cut to ``depth`` (the parent interval); a
-        symbol that does not extend a match starts a new one.
+        Gives (which, place, group): from ``place`` on, the sequences ``which`` match the suffixes of a wide group in ``depth`` symbols.
         """
         at = ends - 1
         low, high, length = np.zeros(len(starts), np.int64), np.full(len(starts), self.n), np.zeros(len(starts), np.int64)
         live = np.flatnonzero(at >= starts)
         while len(live):
             symbol = symbols[at[live]].astype(np.int64)
-            known = symbol < len(self.before)
-            symbol = np.where(known, symbol, 0)
-            first, low_, high_ = self.before[symbol], low[live], high[live]
-            # An interval of one suffix goes on with the symbol before it, or ends: one count will do.
+            low_, high_ = low[live], high[live]
+            # An interval of one suffix goes on with the symbol before it: one count will do.
             wide = np.flatnonzero(high_ - low_ > 1)
-            ranks = self.rank(np.concatenate((symbol, symbol[wide])), np.concatenate((low_, high_[wide])))
-            new_low = first + ranks[: len(live)]
-            new_high = new_low + (self.bwt[low_] == symbol)
-            new_high[wide] = first[wide] + ranks[len(live) :]
-            lost = (new_low >= new_high) | ~known
-            low[live], high[live] = np.where(lost, 0, new_low), np.where(lost, self.n, new_high)
-            length[live] = np.where(lost, 0, length[live] + 1)
+            before, here = self.count(np.concatenate((symbol, symbol[wide])), np.concatenate((low_, high_[wide])))
+            first = self.before[symbol]
+            new_low = first + before[: len(live)]
+            new_high = new_low + here[: len(live)]
+            new_high[wide] = first[wide] + before[len(live) :]
+            low[live], high[live] = new_low, new_high
+            length[live] += 1
             full = live[length[live] >= self.depth]
             if len(full):
-                low[full], high[full] = self.group_start[low[full]], self.group_end[low[full]]
-                length[full] = self.depth
-                yield full, at[full], low[full]
+                group = self.groups(low[full])
+                met = group >= 0
+                full, group = full[met], group[met]
+                low[full], high[full] = self.start[group], self.end[group]
+                yield full, at[full], group
             at[live] -= 1
             live = live[at[live] >= starts[live]]

@@ -12,6 +12,7 @@ from millrace.llm.fm_index import FmIndex
 from millrace.llm.run_index import RunIndex
 from millrace.llm.substrings import dedup_words
 from millrace.llm.suffix_array import dedup_bytes
+from millrace.llm.suffixes import suffix_order
 
 
 def brute(rows, window):
@@ -58,22 +59,62 @@ def test_empty_tables(spark, empty):
     assert dedup_bytes(empty, Scratch(spark, "t")).count() == 0
 
 
+def corpus(rng, depth, kind):
+    """Sequences, some equal or alike, with zeros after each: (text, begins, ends)."""
+    parts = [rng.integers(1, 4, rng.integers(depth, 3 * depth)) for _ in range(5)]
+    parts += [parts[0].copy(), parts[1][: depth + 1], np.full(2 * depth, 2)]
+    text = np.concatenate([np.append(p, 0) for p in parts]).astype(kind)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    return text, ends - [len(p) for p in parts], ends
+
+
 @pytest.mark.parametrize(("index", "kind", "depth"), [(FmIndex, np.int64, 3), (FmIndex, np.int64, 20), (RunIndex, np.uint8, 8), (RunIndex, np.uint8, 21)])
-def test_indexes_find_all_places(index, kind, depth):
+def test_indexes_find_the_earliest_place_of_each_window(index, kind, depth):
     rng = np.random.default_rng(depth)
     for _ in range(10):
-        parts = [rng.integers(1, 4, rng.integers(depth, 3 * depth)) for _ in range(5)]
-        parts += [parts[0].copy(), parts[1][: depth + 1]]
-        text = np.concatenate([np.append(p, 0) for p in parts]).astype(kind)
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        begins = ends - [len(p) for p in parts]
+        text, begins, ends = corpus(rng, depth, kind)
         made = index(text, depth)
-        found = {int(p): sorted(made.order[lo : made.group_end[lo]].tolist()) for _, at, low in made.stream(text, begins, ends) for p, lo in zip(at, low, strict=True)}
-        wanted = {int(p): [q for q in range(len(text) - depth + 1) if (text[q : q + depth] == text[p : p + depth]).all()] for b, e in zip(begins, ends, strict=True) for p in range(b, e - depth + 1)}
-        assert found == wanted
-
-
-def test_run_samples_locate():
-    text = np.frombuffer(b"abracadabra\x00abracadabra\x00", np.uint8)
-    made = RunIndex(text, 24)
-    assert [made.locate(i) for i in range(len(text))] == made.order.tolist()
+        assert not hasattr(made, "order") and not hasattr(made, "bwt")
+        found = {int(p): int(e) for _, at, group in made.stream(text, begins, ends) for p, e in zip(at, made.earliest(group), strict=True)}
+        places = [p for b, e in zip(begins, ends, strict=True) for p in range(b, e - depth + 1)]
+        same = {p: [q for q in places if (text[q : q + depth] == text[p : p + depth]).all()] for p in places}
+        assert found == {p: min(q) for p, q in same.items() if len(q) > 1}
+
+
+@pytest.mark.parametrize("index", [FmIndex, RunIndex])
+def test_counts_equal_the_transform(index):
+    rng = np.random.default_rng(3)
+    text, _, _ = corpus(rng, 9, np.uint8 if index is RunIndex else np.int64)
+    order, starts = suffix_order(text, 9)
+    tails = [tuple(text[i : i + 9]) for i in range(len(text))]
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: (tails[i] + (0,) * 9)[:9] + (i,))
+    assert starts.tolist() == [i for i in range(len(text)) if i == 0 or tails[order[i]] + (0,) * 9 != tails[order[i - 1]] + (0,) * 9]
+    made, bwt = index(text, 9), text[order - 1]
+    for symbol in range(4):
+        at = np.arange(len(text))
+        before, here = made.count(np.full(len(text), symbol), at)
+        assert before.tolist() == [int((bwt[:i] == symbol).sum()) for i in at] and here.tolist() == (bwt == symbol).tolist()
+
+
+def test_repetitive_text_takes_few_bytes():
+    rng = np.random.default_rng(5)
+    page = rng.integers(1, 200, 400)
+    text = np.concatenate([np.append(page, 0)] * 200)
+    plain = len(text) * int(text.max()).bit_length() * 12 // 64  # a word and a count for each 64 bits
+    assert FmIndex(text, 20).size() < 0.5 * plain
+    assert len(RunIndex(text.astype(np.uint8), 100).keys) < len(text) / 50
+
+
+def test_packed_extensions_come_back():
+    rng = np.random.default_rng(6)
+    k, runs, h = (np.sort(rng.integers(-(2**62), 2**62, 50)), rng.integers(0, 2**60, 50), rng.integers(0, 2**63, 50).astype(np.uint64))
+    back = repeats._unpacked(repeats._packed(k, runs, h))
+    assert [x.tolist() for x in back] == [k.tolist(), runs.tolist(), h.astype(np.uint32).tolist()]
+
+
+def test_one_bucket_or_many_batches_change_nothing(spark, awkward, monkeypatch):
+    wanted = sorted(map(str, dedup_bytes(awkward, Scratch(spark, "t")).collect()))
+    monkeypatch.setattr(repeats, "TOGETHER", 100)
+    monkeypatch.setattr(repeats, "AT_ONCE", 100)
+    monkeypatch.setattr(repeats, "LEAST_BUCKETS", 1)
+    assert sorted(map(str, dedup_bytes(awkward, Scratch(spark, "t")).collect())) == wanted

@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Removes an execution's shuffle files when it ends: a written table needs them no more.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -28,8 +32,13 @@ class Scratch:
     def save(self, frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         """Writes a frame and returns it as read back."""
         where = f"{self.path}/{name}"
-        schema = frame.schema
-        frame.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(where)
+        schema, conf = frame.schema, self.spark.conf
+        before = conf.get(_TIDY)
+        conf.set(_TIDY, "true")
+        try:
+            frame.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(where)
+        finally:
+            conf.set(_TIDY, before)
         return self.spark.read.schema(schema).parquet(where)
 
     def drop(self, name: str = "") -> None:

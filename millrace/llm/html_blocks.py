@@ -5,9 +5,13 @@ tags and class or id words), its hashed words and a few measures. The network re
 tells article from everything else. It is trained here, on pages made from a parameterised layout generator
 and on a bounded sample of the table's own pages whose markup names the article.
 
-Defined cases: null and empty html give empty text; a page without article blocks gives empty text; unclosed tags,
-comments and cut-off pages are read as far as they go; character references are decoded after blocks are cut; pages of any length are
-read whole; an empty table gives an empty result; other columns are ignored.
+What is no text of a page is left out as browsers do: scripts, styles and comments up to their end (or the page's), titles, the head
+up to the first tag that can't stand in it, drawings up to their end or the next block, templates that are closed. What browsers
+without scripts show (``noscript``) is blocks like others.
+
+Defined cases: null and empty html give empty text; a page without article blocks gives empty text; unclosed tags
+and cut-off pages are read as far as they go; character references are decoded after blocks are cut; pages of any length are
+read whole; repeated rows are answered each for themselves; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +33,24 @@ from millrace.llm.common import table
 #: Sizes of the hashed path and word vectors, of the state of each direction, and bounds of the training pages.
 PATH, WORDS, HIDDEN = 256, 32, 16
 GENERATED, SAMPLED, EPOCHS = 400, 200, 5
+#: Blocks of the table's pages from which on they are no training pages; the network reads pages of any length.
+LONGEST = 400
 #: Pages labelled at once.
 AT_ONCE = 256
 _MEASURES = 6
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html iframe label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
+    "header hr html iframe label legend li main menu nav noscript ol option p pre section select summary table tbody td template textarea tfoot th thead tr ul".split()
 )
+#: What may stand in a head; any other tag ends it.
+HEAD_TAGS = frozenset("base head html link meta noscript script style template title".split())
+#: Groups: 1 raw text's tag, 2 slash, 3 tag, 4 attributes, 5 text. Quotes count after an equals sign only.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|([^<]+)|<",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style)\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?>[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|([^<]+)|<",
     re.S | re.I,
 )
+_TEMPLATE_END = re.compile(r"</template\s*>", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -66,6 +77,8 @@ def blocks(page: str | None) -> list[Block]:
     path: list[tuple] = []  # (tag, words of class and id)
     parts: list[str] = []
     linked = anchor = 0
+    hidden, depth = "", 0  # what holds text that isn't the page's: head, title, svg or template
+    page = page or ""
 
     def flush() -> None:
         nonlocal linked
@@ -76,32 +89,64 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        tag = m[3]
-        if m[5] is not None:
-            parts.append(m[5])
-            if anchor:
-                linked += len(m[5].strip())
-        elif tag is not None:
-            tag = tag.lower()
-            if tag in BLOCK_TAGS:
-                flush()
-                if m[2]:
-                    for i in range(len(path) - 1, -1, -1):
-                        if path[i][0] == tag:
-                            del path[i:]
-                            break
-                elif not m[4].endswith("/") and tag != "hr":
-                    # A paragraph ends where another block begins; an item ends at the next.
-                    while path and (path[-1][0] == "p" or (path[-1][0] == tag and tag in ("li", "td", "tr", "dt", "dd", "option"))):
-                        path.pop()
-                    path.append((tag, _name_words(m[4])))
-            elif tag == "a":
-                anchor = 0 if m[2] else 1
-            elif tag in ("br", "img", "input", "wbr"):
-                parts.append(" ")
-        elif m[0] == "<":
-            parts.append("<")
+    for m in _TOKEN.finditer(page):
+        tag, text = m[3], m[5]
+        if text is None and tag is None:
+            if m[0] != "<":
+                continue  # scripts, styles, comments
+            text = "<"
+        if text is not None:
+            if hidden == "head" and not text.isspace():
+                hidden = ""
+            if not hidden:
+                parts.append(text)
+                if anchor:
+                    linked += len(text.strip())
+            continue
+        tag, ends, closed = tag.lower(), bool(m[2]), m[4].endswith("/")
+        if hidden == "title":
+            hidden = ""  # at its end, or where another tag shows that the end is missing
+            if tag == "title":
+                continue
+        elif hidden == "head":
+            if tag in HEAD_TAGS and not (ends and tag == "head"):
+                if tag == "title" and not ends:
+                    hidden = "title"
+                continue
+            hidden = ""
+        elif hidden in ("svg", "template"):
+            if tag == hidden and not closed:
+                depth += -1 if ends else 1
+            if depth and not (hidden == "svg" and tag in BLOCK_TAGS):
+                continue
+            hidden, depth = "", 0
+            if tag in ("svg", "template"):
+                continue
+        if tag == "head":
+            hidden = "" if ends else "head"
+        elif tag == "title":
+            hidden = "" if ends else "title"
+        elif tag == "svg":
+            if not ends and not closed:
+                hidden, depth = tag, 1
+        elif tag == "template" and not ends and _TEMPLATE_END.search(page, m.end()):
+            hidden, depth = tag, 1
+        elif tag in BLOCK_TAGS:
+            flush()
+            if ends:
+                for i in range(len(path) - 1, -1, -1):
+                    if path[i][0] == tag:
+                        del path[i:]
+                        break
+            elif not closed and tag != "hr":
+                # A paragraph ends where another block begins; an item ends at the next.
+                while path and (path[-1][0] == "p" or (path[-1][0] == tag and tag in ("li", "td", "tr", "dt", "dd", "option"))):
+                    path.pop()
+                path.append((tag, _name_words(m[4])))
+        elif tag == "a":
+            anchor = 0 if ends else 1
+        elif tag in ("br", "img", "input", "wbr"):
+            parts.append(" ")
     flush()
     return out
 
@@ -266,7 +311,7 @@ class Layouts:
     def part(self, part: str) -> list[tuple[str, bool]]:
         """Pieces of markup, each with whether its text is article text."""
         r = self.rng
-        tag = self.TAGS.get(part, "section" if r.random() < 0.2 else "div")
+        tag = self.TAGS.get(part, "section" if r.random() < 0.2 else "noscript" if part == "note" and r.random() < 0.3 else "div")
         bare = tag not in ("div", "section") and r.random() < 0.5
         tag = tag if bare or r.random() < 0.5 else "div"
         begin = f"<{tag}>" if bare else f"<{tag} {self.named(part)}>"
@@ -332,13 +377,13 @@ def _named_article(found: list[Block]) -> np.ndarray | None:
 
 
 def train(pages: DataFrame, generated: int = GENERATED, sampled: int = SAMPLED) -> Network:
-    """A network from ``generated`` made pages and at most ``sampled`` of the table's pages whose markup names the article."""
+    """A network from ``generated`` made pages and at most ``sampled`` of the table's pages (of fewer than ``LONGEST`` blocks) whose markup names the article."""
     makes = Layouts(11)
     known = [(vectors(f), y) for f, y in (makes.page() for _ in range(generated)) if f]
     ids = [r.page_id for r in pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sampled).collect()]
     for r in pages.where(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("page_id", "html").limit(2 * sampled).collect() if ids else ():
         found = blocks(r.html)
-        if found and len(found) < 400 and (y := _named_article(found)) is not None:
+        if found and len(found) < LONGEST and (y := _named_article(found)) is not None:
             known.append((vectors(found), y))
     network = Network()
     network.fit(known)

@@ -2,11 +2,13 @@
 
 An item of m bytes within e edits of a text region shares at least m + 1 - (e + 1) q of its q-grams
 with it, on at most 2 e + 1 neighbouring diagonals. Shared q-grams are counted in overlapping bands of diagonals;
-a band that holds enough of them is aligned within its diagonals, and kept if the edits stay in the budget.
+a band that holds enough of them is aligned within its diagonals, and kept if the edits stay in the budget. An item's budget is ``rate``
+edits for each byte, whatever its size; short items take a shorter q, so that the lemma asks for one shared gram at least. Items
+without a single edit allowed are found unchanged only, and those of less than ``WORDS_BELOW`` bytes as whole words only.
 
 Texts and items are compared lower-cased, with each run of white space as one space, as UTF-8 bytes.
-Defined cases: null and empty texts match nothing; null items and items under ``q`` bytes never match (no q-gram tells
-them from chance); repeated rows are answered each for themselves; empty tables give an empty
+Defined cases: null and empty texts match nothing; null and empty items never match; null ids, of documents and of items, are answered
+as null; repeated rows, of equal or different texts, are answered each for themselves; other columns of both tables are ignored; empty tables give an empty
 result. Texts of any length are compared whole.
 """
 
@@ -22,11 +24,16 @@ from pyspark.sql import functions as F
 from millrace.functions.workers import map_pandas
 from millrace.llm.common import table, whole_texts
 
+#: Bytes of a gram at most, and edits for each byte of an item.
 Q, RATE = 12, 0.07
+#: Bytes under which an item must stand as whole words.
+WORDS_BELOW = 12
 #: Bytes of items that are sent to executors at once; a larger benchmark is compared in several passes.
 SLICE_BYTES = 8 << 20
 #: Bytes of text compared at once.
 AT_ONCE = 2 << 20
+#: Shared q-grams looked at at once; a common gram stands in many items.
+PIECE = 4 << 20
 _BITS = 24
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -36,24 +43,40 @@ def normal(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "replace")
 
 
+def _word(byte: bytes) -> bool:
+    """Whether a byte belongs to a word: letters, digits, anything beyond ASCII."""
+    return byte.isalnum() or byte > b"\x7f"
+
+
 def _grams(raw: bytes, q: int) -> np.ndarray:
-    """A 64-bit code of the q bytes from each position (q from 8 to 16)."""
+    """A 64-bit code of the q bytes from each position (q up to 16)."""
     n = len(raw) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    if q < 8:
+        return np.ndarray((n,), "<u8", raw + b"\x00" * 8, 0, (1,)) & np.uint64((1 << 8 * q) - 1)
     head = np.ndarray((n,), "<u8", raw, 0, (1,))
     tail = np.ndarray((n,), "<u8", raw, q - 8, (1,))
     return (head * _ODD) ^ ((tail * _MIX) >> np.uint64(7)) ^ (tail << np.uint64(9))
 
 
+def budget_of(size: int, rate: float) -> int:
+    """Edits allowed for an item of ``size`` bytes."""
+    return int(size * rate)
+
+
+def gram_of(size: int, q: int, rate: float) -> int:
+    """Bytes of the grams of an item: no more than leave one shared gram within the budget."""
+    return max(1, min(q, size // (budget_of(size, rate) + 1)))
+
+
 class Index:
-    """Where each q-gram stands in the items."""
+    """Where each q-gram stands in the items, which share their q."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int, rate: float) -> None:
         self.q, self.ids, self.raw = q, [i for i, _ in items], [x for _, x in items]
         size = np.array([len(x) for x in self.raw], np.int64)
-        # The budget is cut where the lemma would ask for no shared q-gram at all.
-        self.budget = np.maximum(0, np.minimum((size * rate).astype(np.int64), size // q - 1))
+        self.budget = np.array([budget_of(n, rate) for n in size.tolist()], np.int64)
         self.need = np.maximum(1, size + 1 - (self.budget + 1) * q)
         found = [_grams(x, q) for x in self.raw]
         codes = np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -82,25 +105,51 @@ class Index:
         text = np.searchsorted(ends, at, "right")
         busy = np.bincount(text, minlength=len(texts) + 1) >= self.least
         at, known, text = at[busy[text]], known[busy[text]], text[busy[text]]
+        if not len(at):
+            return
+        if int(self.times[known].sum()) <= PIECE:
+            yield from self._bands(at, known, text, ends, texts, None)
+            return
+        # A common gram stands in many items: text by text, items that share too few grams with it go first.
+        first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        for a, b in zip(first.tolist(), np.append(first[1:], len(text)).tolist(), strict=True):
+            shared = np.zeros(len(self.ids), np.int64)
+            for entry, _ in self._entries(known[a:b]):
+                shared += np.bincount(self.item[entry], minlength=len(self.ids))
+            yield from self._bands(at[a:b], known[a:b], text[a:b], ends, texts, shared >= self.need)
+
+    def _entries(self, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Where known grams stand in items, in pieces: (entry, which of the known)."""
         times = self.times[known]
-        total = int(times.sum())
-        if not total:
+        till = np.cumsum(times)
+        at = 0
+        while at < len(known):
+            stop = max(at + 1, int(np.searchsorted(till, (till[at - 1] if at else 0) + PIECE, "right")))
+            n = times[at:stop]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(self.first[known[at:stop]], n) + step, np.repeat(np.arange(at, stop), n)
+            at = stop
+
+    def _bands(self, at: np.ndarray, known: np.ndarray, text: np.ndarray, ends: np.ndarray, texts: list[bytes], chosen: np.ndarray | None) -> Iterator[tuple[int, int, int, int]]:
+        shift = (2 * int(self.budget.max()) + 1) * 2 + max(map(len, self.raw))
+        parts = []
+        for entry, which in self._entries(known):
+            if chosen is not None:
+                keep = chosen[self.item[entry]]
+                entry, which = entry[keep], which[keep]
+            item = self.item[entry]
+            band = (at[which] - self.place[entry] + shift) // (2 * self.budget[item] + 1)
+            # Each band also takes the diagonals of the next: any 2 e + 1 neighbours lie in one band.
+            here = np.stack((text[which], item, band))
+            parts.append(np.unique(np.concatenate((here, here - [[0], [0], [1]]), axis=1), axis=1, return_counts=True) if chosen is not None else (np.concatenate((here, here - [[0], [0], [1]]), axis=1), None))
+        rows = np.concatenate([r for r, _ in parts], axis=1)
+        weight = np.concatenate([np.ones(r.shape[1], np.int64) if n is None else n for r, n in parts])
+        if not rows.shape[1]:
             return
-        step = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
-        entry = np.repeat(self.first[known], times) + step
-        at, text = np.repeat(at, times), np.repeat(text, times)
-        item = self.item[entry]
-        diagonal = at - self.place[entry]
-        width = 2 * self.budget[item] + 1
-        shift = int(width.max()) * 2 + max(map(len, self.raw))
-        band = (diagonal + shift) // width
-        # Each band also takes the diagonals of the next: any 2 e + 1 neighbours lie in one band.
-        rows = np.concatenate((np.stack((text, item, band)), np.stack((text, item, band - 1))), axis=1)
         order = np.lexsort(rows[::-1])
-        rows = rows[:, order]
-        fresh = np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
-        starts = np.flatnonzero(fresh)
-        counts = np.diff(np.append(starts, rows.shape[1]))
+        rows, weight = rows[:, order], weight[order]
+        starts = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0))))
+        counts = np.add.reduceat(weight, starts)
         enough = counts >= self.need[rows[1, starts]]
         for (t, i, b), n in zip(rows[:, starts[enough]].T.tolist(), counts[enough].tolist(), strict=True):
             yield t, i, int(b * (2 * self.budget[i] + 1) - shift - (ends[t] - len(texts[t]) - 1)), n
@@ -111,8 +160,10 @@ class Index:
         low, width = diagonal - budget, 2 * (2 * budget + 1) + 2 * budget
         start = max(0, low)
         exact = text.find(raw, start, max(start, low + width + len(raw)))
-        if exact >= 0:
-            return 0, exact, exact + len(raw)
+        while exact >= 0:
+            if len(raw) >= WORDS_BELOW or not (_word(text[exact - 1 : exact]) or _word(text[exact + len(raw) : exact + len(raw) + 1])):
+                return 0, exact, exact + len(raw)
+            exact = text.find(raw, exact + 1, max(start, low + width + len(raw)))
         if not budget:
             return None
         # Cell d of a row: on diagonal low + d. A text begins and ends anywhere: outside it nothing matches.
@@ -142,15 +193,23 @@ class Index:
             yield t, i, *found
 
 
-def _slices(benchmark: DataFrame, q: int) -> Iterator[list[tuple[int, bytes]]]:
+def indexes(items: list[tuple[int, bytes]], q: int, rate: float) -> list[Index]:
+    """An index for each size of grams that the items take."""
+    by_size: dict[int, list[tuple[int, bytes]]] = {}
+    for item in items:
+        by_size.setdefault(gram_of(len(item[1]), q, rate), []).append(item)
+    return [Index(found, size, rate) for size, found in sorted(by_size.items())]
+
+
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items, normalised, in slices of about ``SLICE_BYTES``."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // SLICE_BYTES + 1
     for n in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == n)
-        found = sorted((r.item_id, normal(r.text)) for r in part.toLocalIterator())
-        if found := [x for x in found if len(x[1]) >= q]:
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n)
+        found = sorted(((r.item_id, normal(r.text)) for r in part.toLocalIterator()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        if found := [x for x in found if x[1]]:
             yield found
 
 
@@ -163,17 +222,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     schema = "doc_id long, item_id long, edits long, start_byte long, end_byte long, passage string"
     spark, texts = docs.sparkSession, whole_texts(docs)
     out = None
-    for items in _slices(benchmark, q):
+    for items in _slices(benchmark):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Index(sent.value, q, rate)
+            made = indexes(sent.value, q, rate)
             for batch in batches:
                 rows = []
                 for ids, group in _groups(batch):
-                    for t, i, edits, start, end in index.matches(group):
-                        rows.append((ids[t], index.ids[i], edits, start, end, group[t][start:end].decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start_byte", "end_byte", "passage"])
+                    for index in made:
+                        for t, i, edits, start, end in index.matches(group):
+                            rows.append((ids[t], index.ids[i], edits, start, end, group[t][start:end].decode("utf-8", "replace")))
+                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start_byte", "end_byte", "passage"])
+                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         found = map_pandas(texts, run, schema)
         out = found if out is None else out.unionByName(found)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
 
-#: Rounds halve the depth of trees at least, so that this is out of reach for any real input.
+#: Rounds halve the depth of trees at least, so that this is out of reach for any real input; beyond it an error is raised.
 MOST_ROUNDS = 64
 
 
@@ -40,4 +40,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         found = scratch.save(_star(_star(found, True), False), f"links-{turn}")
         if turn > 1:
             scratch.drop(f"links-{turn - 2}")
+    else:
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return found.select(F.col("a").alias("node"), F.col("b").alias("root"))

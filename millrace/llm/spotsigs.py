@@ -2,28 +2,31 @@
 
 A text's words are lower-cased and freed of punctuation. Each common word (anchor) starts a signature: itself and the next ``CHAIN``
 content words, common words left out. The fingerprint is the sorted set of the signatures'
-32-bit hashes in hex, eight digits each; likeness is the Jaccard measure of two sets.
+32-bit hashes in hex, eight digits each; likeness is the Jaccard measure of two sets. Near-duplicates are documents of a likeness of 0.8 or
+more: sets are dealt into partitions by their length, so that only those of alike lengths are compared, and within one they meet under one of their rarer signatures
+(see ``set_join``, which prunes by lengths and bounds of the overlap, and verifies whole sets).
 
 Defined cases: null counts as empty; texts of fewer than ``LEAST`` signatures add the chain that starts at every word,
 and texts too short for any chain are one signature of all their words, so a fingerprint is never blank and equal texts have equal
-ones. Ids are ordered as numbers, null first; of equal ids the smaller text comes first; the last document's next is the
-first, and a single document's is itself. An empty table gives an empty result. Other columns are ignored.
+ones. Ids are ordered as numbers, null first; of equal ids the text of the smaller hash comes first; the last document's next is the
+first, and a single document's is itself. Rows with equal id and text share their class. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.workers import map_arrow, map_pandas
+from millrace.functions.workers import map_pandas
 from millrace.llm.common import Scratch, table, whole_texts
-from millrace.llm.components import components
+from millrace.llm.set_join import Sets, similar
 
 CHAIN, LEAST = 3, 4
 #: Common words of English, French, German and Spanish.
@@ -36,8 +39,9 @@ ANCHORS = frozenset(
         "el los las un una y que es por con para del se no al lo como su más"
     ).split()
 )
-#: Rows between two split points of the order by id, and the most split points.
-BETWEEN, MOST_SPLITS = 4096, 1 << 16
+#: Rows between two split points of the order by id, and the most split points. Each is chosen among ``DRAWN`` drawn rows.
+BETWEEN, MOST_SPLITS, DRAWN = 4096, 1 << 12, 8
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = bytes(ord(" ") if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or b < 32 else b for b in range(256))
 
 
@@ -77,6 +81,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+@dataclass(frozen=True)
+class Signatures(Sets):
+    """A text's signatures as a set to join by, in partitions by length."""
+
+    def of(self, text: str | None) -> tuple[int, np.ndarray]:
+        found = signatures(text)
+        return xxhash.xxh3_64_intdigest(found.tobytes()), np.sort((found.astype(np.uint64) + np.uint64(1)) * _SPREAD)
+
+    def dealt(self, taken: np.ndarray, size: int, similarity: float) -> np.ndarray:
+        # In each partition the largest set is 1 / similarity times the least, so that partners stand in one or in neighbours.
+        part = math.floor(math.log(size) / -math.log(similarity) + 1e-9)
+        return np.concatenate([(taken ^ np.uint64(p)) * _SPREAD for p in (part, part + 1)])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every whole text."""
 
@@ -87,47 +105,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_pandas(whole_texts(docs), run, "doc_id long, fingerprint string")
 
 
-def near_duplicates(prints: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, links): documents by likeness of at least ``threshold``.
-
-    prints: (doc_id, fingerprint). Equal fingerprints form one class first, so copies make no pairs. Classes are
-    compared if their sizes allow the threshold and they share one of their rarest signatures (a set of n
-    must share one of any n - ceil(threshold n) + 1). ``class_id`` is the least id reachable; ``links`` counts a
-    class's neighbours.
-    """
-    classes = scratch.save(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("k", F.xxhash64("fingerprint")), "classes")
-    size = F.length("fingerprint") / 8
-    sign = F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda i: F.substring("fingerprint", i * 8 + 1, F.lit(8)))
-    each = classes.select("k", size.cast("int").alias("n"), F.explode(sign).alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "s").where("often > 1")
-    # A class of n signatures keeps its rarest ones only: as many as a partner must share one of.
-    order = F.array_sort(F.collect_list(F.struct("often", "s")))
-    spare = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - (F.col("n") - F.size("all"))
-    prefix = ranked.groupBy("k", "n").agg(order.alias("all")).where(spare > 0).select("k", "n", F.explode(F.slice("all", F.lit(1), spare.cast("int"))).alias("p")).select("k", "n", F.col("p.s").alias("s"))
-    prefix = scratch.save(prefix, "prefix")
-    # Sizes are dealt into partitions in which the largest is 1 / threshold times the least; partners stand in the same or the next.
-    part = F.floor(F.log("n") / F.lit(float(np.log(1 / threshold)))).cast("int")
-    left = prefix.withColumn("part", part)
-    right = left.select(F.col("k").alias("k2"), F.col("n").alias("n2"), "s", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
-    ahead = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("k") < F.col("k2")))
-    pairs = left.join(right, ["s", "part"]).where(ahead & (F.col("n") >= F.col("n2") * threshold)).select("k", "k2").distinct()
-    named = classes.select("k", "fingerprint")
-    met = pairs.join(named, "k").join(named.select(F.col("k").alias("k2"), F.col("fingerprint").alias("fingerprint2")), "k2")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("k", "k2", "fingerprint", "fingerprint2"))
-            keep = [likeness(parsed(p), parsed(q)) >= threshold for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, ok in zip(c, keep, strict=True) if ok], pa.int64()) for c in (a, b)], ["a", "b"])
-
-    links = scratch.save(map_arrow(met.select("k", "k2", "fingerprint", "fingerprint2"), verify, "a long, b long"), "links")
-    roots = components(links, scratch)
-    degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
-    joined = classes.select("k", "fingerprint", "first").join(roots.withColumnRenamed("node", "k"), "k", "left").join(degree, "k", "left")
-    joined = joined.select("fingerprint", "first", F.coalesce("root", "k").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = joined.groupBy("root").agg(F.min("first").alias("class_id"))
-    return prints.join(joined.join(least, "root").select("fingerprint", "class_id", "links"), "fingerprint").select("doc_id", "class_id", "links")
+def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, class_id): class_id is the least id reachable over documents of a likeness of at least ``threshold``."""
+    return similar(docs, scratch, Signatures(), threshold).withColumnRenamed("component_id", "class_id")
 
 
 def edited(text: str, after: str) -> str:
@@ -136,53 +116,60 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
-def _number(x: list[int]) -> F.Column:
-    return F.array(*(F.lit(v).cast("long") for v in x))
-
-
 def in_order(docs: DataFrame) -> DataFrame:
-    """(part, tail, ord, doc_id, text): rows dealt into parts of the order by id.
+    """(part, tail, ord, h, doc_id, text, class_id): rows dealt into parts of the order by id and hash of the text.
 
     Each part also gets, as its tail, the row that follows its last: the next part's first, or for the last part the very first.
-    Split points are ids of the table, so that parts are never empty.
+    Split points are drawn rows of the table, so that parts are never empty. docs: (doc_id, text, class_id), of which rows without text and with a
+    class only tell that of the document they precede.
     """
     least = -(1 << 63)
-    keyed = whole_texts(docs).withColumn("ord", F.coalesce("doc_id", F.lit(least).cast("long")))
-    stats = keyed.agg(F.count("*").alias("n"), F.min("ord").alias("first")).first()
+    keyed = docs.withColumn("ord", F.coalesce("doc_id", F.lit(least).cast("long"))).withColumn("key", F.struct("ord", "h"))
+    real = keyed.where("told is null")
+    stats = real.agg(F.count("*").alias("n"), F.min("key").alias("first")).first()
     parts = min(MOST_SPLITS, max(1, stats.n // BETWEEN))
-    first = least if stats.first is None else stats.first
-    cuts = keyed.agg(F.percentile_approx("ord", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first().c if parts > 1 else []
-    cuts = sorted({c for c in cuts or [] if c > first})
+    first = tuple(stats.first) if stats.first is not None else (least, 0)
+    drawn = real.select("ord", "h", F.xxhash64("ord", "h").alias("lot")).distinct().orderBy("lot", "ord", "h").limit(DRAWN * parts) if parts > 1 else None
+    cuts = sorted((r.ord, r.h) for r in drawn.collect())[DRAWN // 2 :: DRAWN] if drawn is not None else []
+    cuts = [c for c in cuts if c > first]
+
+    def listed(rows: list[tuple[int, int]]) -> F.Column:
+        return F.array(*(F.struct(F.lit(o).cast("long").alias("ord"), F.lit(h).cast("long").alias("h")) for o, h in rows))
+
     # Two steps of comparisons find a row's part: among every so many split points, then among those between.
     stride = max(1, int(len(cuts) ** 0.5))
-    coarse, rows = cuts[::stride], [cuts[i : i + stride] for i in range(0, len(cuts), stride)]
     if cuts:
-        block = F.size(F.filter(_number(coarse), lambda c: c <= F.col("ord")))
-        inside = F.element_at(F.array(*map(_number, rows)), F.greatest("block", F.lit(1)))
-        part = F.when(F.col("block") == 0, 0).otherwise((F.col("block") - 1) * stride + F.size(F.filter("inside", lambda c: c <= F.col("ord"))))
-        keyed = keyed.withColumn("block", block).withColumn("inside", inside).withColumn("part", part.cast("int"))
-        begins = (F.col("block") > 0) & F.array_contains("inside", F.col("ord"))
+        keyed = keyed.withColumn("block", F.size(F.filter(listed(cuts[::stride]), lambda c: c <= F.col("key"))))
+        inside = F.element_at(F.array(*(listed(cuts[i : i + stride]) for i in range(0, len(cuts), stride))), F.greatest("block", F.lit(1)))
+        part = F.when(F.col("block") == 0, 0).otherwise((F.col("block") - 1) * stride + F.size(F.filter("inside", lambda c: c <= F.col("key"))))
+        keyed = keyed.withColumn("inside", inside).withColumn("part", part.cast("int"))
+        begins = (F.col("block") > 0) & F.exists("inside", lambda c: c == F.col("key"))
     else:
         keyed = keyed.withColumn("part", F.lit(0))
         begins = F.lit(False)
     own = F.struct(F.col("part"), F.lit(0).alias("tail"))
     before = F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("tail"))
     round_ = F.struct(F.lit(len(cuts)).alias("part"), F.lit(1).alias("tail"))
-    copies = F.when(F.col("ord") == first, F.array(own, round_)).when(begins, F.array(own, before)).otherwise(F.array(own))
-    return keyed.select("doc_id", "text", "ord", F.explode(copies).alias("x")).select("x.part", "x.tail", "ord", "doc_id", "text")
+    opening = F.col("key") == F.struct(F.lit(first[0]).cast("long").alias("ord"), F.lit(first[1]).cast("long").alias("h"))
+    copies = F.when(F.col("told").isNotNull(), F.array(own)).when(opening, F.array(own, round_)).when(begins, F.array(own, before)).otherwise(F.array(own))
+    return keyed.select("doc_id", "text", "ord", "h", "told", "class_id", F.explode(copies).alias("x")).select("x.part", "x.tail", "ord", "h", "told", "doc_id", "text", "class_id")
 
 
-def compare_edits(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint beside that of its edited text and of the next document."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def compare_edits(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each document's fingerprint beside that of its edited text and of the next document, with the class of its near-duplicates."""
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        held = None  # (part, doc_id, text, signatures), waiting for what follows it
+        held = told = None  # held: (part, doc_id, text, signatures, class), waiting for what follows it
         for batch in batches:
             rows = []
-            for part, tail, doc_id, text in zip(batch["part"].tolist(), batch["tail"].tolist(), batch["doc_id"].astype(object), batch["text"], strict=True):
+            columns = (batch[c].astype(object).where(batch[c].notna(), None) for c in ("told", "doc_id", "text", "class_id"))
+            for part, tail, tells, doc_id, text, class_id in zip(batch["part"].tolist(), batch["tail"].tolist(), *columns, strict=True):
+                if tells is not None:
+                    told = class_id
+                    continue
                 if held is not None and held[0] != part:
                     held = None
                 if tail and held is None:
@@ -190,18 +177,26 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                 text = "" if text is None else text
                 own = held[3] if held is not None and held[2] == text else signatures(text)
                 if held is not None:
-                    _, before, was, marks = held
+                    _, before, was, marks, group = held
                     changed = edited(was, text)
                     other = marks if changed == was else signatures(changed)
                     digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
-                    rows.append((before, len(was), digest, shown(marks), shown(other), likeness(marks, other), likeness(marks, own)))
-                held = None if tail else (part, doc_id, text, own)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
-
-    dealt = in_order(docs).repartition("part").sortWithinPartitions("part", "tail", "ord", "text")
-    return map_pandas(dealt.select("part", "tail", "doc_id", "text"), run, schema)
+                    rows.append((before, len(was), digest, shown(marks), shown(other), likeness(marks, other), likeness(marks, own), group))
+                held = None if tail else (part, doc_id, text, own, told)
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            yield frame.astype({"doc_id": "Int64", "class_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+
+    texts = whole_texts(docs).withColumn("h", F.xxhash64("text"))
+    # Hashes stand for documents while they are grouped: a group's name is that of its member of least id.
+    groups = scratch.save(near_duplicates(texts.select(F.col("h").alias("doc_id"), "text"), scratch).distinct(), "groups")
+    members = scratch.save(texts.select("doc_id", "h").distinct().join(groups.select(F.col("doc_id").alias("h"), F.col("class_id").alias("g")).hint("merge"), "h"), "members")
+    least = scratch.save(members.groupBy("g").agg(F.min("doc_id").alias("class_id")), "classes")
+    tells = members.join(least.hint("merge"), "g").select("doc_id", F.lit(None).cast("string").alias("text"), "h", F.lit(1).alias("told"), "class_id")
+    rows = texts.select("doc_id", "text", "h", F.lit(None).cast("int").alias("told"), F.lit(None).cast("long").alias("class_id")).unionByName(tells)
+    dealt = in_order(rows).repartition("part").sortWithinPartitions("part", "tail", "ord", "h", F.col("told").asc_nulls_last())
+    return map_pandas(dealt.select("part", "tail", "told", "doc_id", "text", "class_id"), run, schema)
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and its edited text, and how near they are."""
-    return compare_edits(table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and its edited text, how near they are, and the class of its near-duplicates."""
+    return compare_edits(table(spark, sf_dir, "documents"), Scratch(spark, "spotsigs"))

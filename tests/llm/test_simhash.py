@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from llm_samples import SCHEMA, prose  # noqa: F401
 
-from millrace.llm import simhash, simhash_wide
+from millrace.llm import simhash, set_join
 from millrace.llm.common import Scratch
 from millrace.llm.components import components
 
@@ -72,5 +72,5 @@ def test_similar_texts_meet(spark, documents):
     rng = random.Random(8)
     base = [prose(rng, 400) for _ in range(12)]
     near = [" ".join(w if i % 97 else "changed" for i, w in enumerate(t.split())) for t in base]
-    found = {r.doc_id: r.component_id for r in simhash_wide.similar(documents(*base, *near, None, ""), Scratch(spark, "t")).collect()}
+    found = {r.doc_id: r.component_id for r in set_join.similar(documents(*base, *near, None, ""), Scratch(spark, "t")).collect()}
     assert all(found[i] == found[i + 12] == i for i in range(12)) and found[24] == found[25] == 24

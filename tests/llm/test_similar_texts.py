@@ -3,7 +3,7 @@ import random
 import pytest
 from llm_samples import SCHEMA, prose  # noqa: F401
 
-from millrace.llm import simhash_wide
+from millrace.llm import set_join
 from millrace.llm.common import Scratch
 
 
@@ -23,7 +23,7 @@ def brute(texts, similarity=0.8):
 
 
 def found(spark, docs):
-    return {r.doc_id: r.component_id for r in simhash_wide.similar(docs, Scratch(spark, "t")).collect()}
+    return {r.doc_id: r.component_id for r in set_join.similar(docs, Scratch(spark, "t")).collect()}
 
 
 def test_texts_below_the_similarity_stay_apart(spark, documents):

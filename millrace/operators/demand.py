@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD, LEAST = 2.5, 3
@@ -36,14 +36,24 @@ def hourly(minutes: DataFrame) -> DataFrame:
 def z_scores(buckets: DataFrame) -> DataFrame:
     """Each count against its product's earlier ones, once there are ``LEAST`` that differ.
 
-    With n counts of sum S and square sum Q before it, z = (n c - S) / sqrt(n Q - S S): integers up to the root.
+    With n counts of sum S and square sum Q before it, z = (n c - S) / sqrt(n Q - S S): whole numbers up to the root, of 38
+    digits, so that busy products over years stay exact.
     """
     before = Window.partitionBy("product_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    c = F.col("event_count").cast("bigint")
-    frame = buckets.withColumn("n", F.count("*").over(before)).withColumn("s", F.coalesce(F.sum(c).over(before), F.lit(0))).withColumn("q", F.coalesce(F.sum(c * c).over(before), F.lit(0)))
-    spread = F.col("n") * F.col("q") - F.col("s") * F.col("s")
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(x.cast("decimal(28,0)")).over(before), F.lit(0)).cast("decimal(38,0)")
+
+    c = F.col("event_count").cast("decimal(18,0)")
+    frame = buckets.withColumn("n", F.count("*").over(before)).withColumn("s", total(c)).withColumn("q", total(c * c))
+
+    def times(x: Column, y: Column) -> Column:
+        return (x.cast("decimal(19,0)") * y.cast("decimal(38,0)")).cast("decimal(38,0)")
+
+    spread = times(F.col("n"), F.col("q")) - times(F.col("s"), F.col("s"))
     known = frame.where((F.col("n") >= LEAST) & (spread > 0))
-    return known.select("product_id", "bucket", "event_count", ((F.col("n") * F.col("event_count") - F.col("s")) / F.sqrt(spread)).alias("z"))
+    rise = times(F.col("n"), c) - F.col("s")
+    return known.select("product_id", "bucket", "event_count", (rise.cast("double") / F.sqrt(spread.cast("double"))).alias("z"))
 
 
 def anomalies(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import fresh_path
+
 EARTH_KM = 6371.0088
 K1, B = 1.2, 0.75
-#: Fields of the full-text score with their boosts; tags match as whole strings only.
+#: Fields of the full-text score with their boosts; tags match as whole strings only.
 FIELDS: dict[str, float] = {"name": 2.0, "description": 1.0}
 TOKENS = r"[^\p{L}\p{N}]+"
 
@@ -35,7 +37,7 @@ def flat(products: DataFrame) -> DataFrame:
     return products.select(
         "id", "name", "category", F.coalesce(F.col("specifications")["brand"], F.lit("")).alias("brand"), "price", "description", "tags",
         F.col("rating.average").alias("rating_average"), F.col("rating.count").alias("rating_count"),
-        F.when(F.col("location").isNotNull(), F.struct(spot[1].alias("lat"), spot[0].alias("lon"))).alias("location"),
+        F.when(F.col("location").isNotNull(), F.struct(spot[1].alias("lat"), spot[0].alias("lon"))).alias("location"), "images", "asin",
     )
 
 
@@ -66,29 +68,71 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKENS), lambda t: t != "")
 
 
+def terms_of(query: str) -> list[str]:
+    """The different terms of a query."""
+    return sorted({t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+
+
 def _times(array: str, term: str) -> Column:
     """How often an array holds a term."""
     return F.size(F.filter(array, lambda x: x == term))
 
 
+def _bm25(tf: Column, length: Column, n: int, average: float, df: int) -> Column:
+    """What a term adds to the score of a text that holds it ``tf`` times."""
+    idf = F.log(1 + (F.lit(n) - df + 0.5) / (F.lit(df) + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
+
+
 def bm25(rows: DataFrame, field: str, query: str) -> DataFrame:
     """(id, score): BM25 of a field over all rows; rows without a query term are left out.
 
-    Only the query's terms are exploded, so the shuffle grows with matches, not with words.
+    Texts are cut into words once; what stays of each is its length and how often it holds each term. For a corpus that is asked often, see ``postings``.
     """
-    terms = sorted({t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    terms = terms_of(query)
     if not terms:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    counted = rows.select("id", tokens(F.col(field)).alias("t")).select("id", F.size("t").alias("len"), "t")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.array_contains("t", x)).alias(f"df{i}") for i, x in enumerate(terms))).first()
+    cut = rows.select("id", tokens(F.col(field)).alias("t"))
+    counted = cut.select("id", F.size("t").alias("len"), *(_times("t", t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    spark = rows.sparkSession
+    path = fresh_path(spark, "bm25")
+    counted.write.parquet(path)
+    counted = spark.read.schema(counted.schema).parquet(path)
+    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     if not stats.n or not stats.avg:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    score = F.lit(0.0)
-    for i, term in enumerate(terms):
-        tf = _times("t", term)
-        idf = F.log(1 + (F.lit(stats.n) - stats[f"df{i}"] + 0.5) / (F.lit(stats[f"df{i}"]) + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(stats.avg)))
-    return counted.where(F.arrays_overlap("t", F.array(*map(F.lit, terms)))).select("id", score.alias("score")).where("score > 0")
+    score = reduce(lambda a, b: a + b, (_bm25(F.col(f"tf{i}"), F.col("len"), stats.n, stats.avg, stats[f"df{i}"]) for i in range(len(terms))))
+    return counted.select("id", score.alias("score")).where("score > 0")
+
+
+#: Folders that the terms of an index are dealt into.
+SLICES = 64
+
+
+def _slice(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLICES)).cast("int")
+
+
+def write_postings(rows: DataFrame, field: str, path: str) -> None:
+    """Writes an index of a field: how often each row holds each term, in folders by the term's hash, and the rows' number and mean length."""
+    words = rows.select("id", tokens(F.col(field)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    found = words.groupBy("term", "id", "len").agg(F.count("*").cast("int").alias("tf")).withColumn("slice", _slice(F.col("term")))
+    found.repartition(SLICES, "slice").sortWithinPartitions("slice", "term").write.mode("overwrite").partitionBy("slice").parquet(f"{path}/terms")
+    rows.select(F.size(tokens(F.col(field))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def bm25_of_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """(id, score) from an index: only the folders of the query's terms are read, and of these the terms' own row groups."""
+    terms = terms_of(query)
+    postings = spark.read.parquet(f"{path}/terms")
+    stats = spark.read.parquet(f"{path}/stats").first()
+    slices = [r.s for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_slice(F.col("t")).alias("s")).collect()]  # a row for each term
+    met = postings.where(F.col("slice").isin(slices) & F.col("term").isin(terms))
+    known = {r.term: r.df for r in met.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term
+    if not known:
+        return postings.select("id", F.lit(0.0).alias("score")).limit(0)
+    score = reduce(lambda rest, t: F.when(F.col("term") == t, _bm25(F.col("tf"), F.col("len"), stats.n, stats.avg, known[t])).otherwise(rest), sorted(known), F.lit(0.0))
+    return met.groupBy("id").agg(F.sum(score).alias("score"))
 
 
 def search(documents: DataFrame, query: str | None = None, sort: str | None = None, limit: int = 20, offset: int = 0, **filters) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,7 @@ ORACLES: dict[str, str] = {}
 
 #: The adapters of ``sources.tables``, in SQL.
 EV = "ev AS (SELECT event_id AS id, user_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS product_id, CASE event_type WHEN 'click' THEN 'add_to_cart' ELSE event_type END AS event_type, ts AS created_at FROM events)"
-SPOTS = "[" + ", ".join(f"[{lon}, {lat}]" for lon, lat in tables.WAREHOUSES) + "]"
-PR = f"pr AS (SELECT p_partkey AS id, p_name AS name, lower(p_type) AS category, p_brand AS brand, p_retailprice AS price, [p_type, p_brand] AS tags, (p_size % 50) / 10.0::DOUBLE AS rating_average, p_size::INT AS rating_count, {SPOTS}[(p_partkey % 5 + 1)::INT] AS spot FROM part)"
+PR = "pr AS (SELECT p_partkey AS id, p_name AS name, lower(p_type) AS category, p_brand AS brand, p_retailprice AS price, [p_type, p_brand] AS tags, (p_size % 50) / 10.0::DOUBLE AS rating_average, p_size::INT AS rating_count, [(p_partkey * 7 % 50 - 110)::DOUBLE, (p_partkey * 11 % 20 + 30)::DOUBLE] AS spot, 'part/' || p_partkey AS image, 'P' || p_partkey AS asin FROM part)"
 US = "us AS (SELECT c_custkey AS id, c_name AS username, lower(replace(c_name, '#', '.')) || '@example.com' AS email, coalesce(n_name, '') AS country FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"
 W1 = "CASE event_type WHEN 'view' THEN 1.0 WHEN 'add_to_cart' THEN 3.0 WHEN 'purchase' THEN 5.0 ELSE {} END::DOUBLE"
 IX = f"{EV}, ix AS (SELECT user_id, product_id, sum({W1.format('1.0')}) AS weight FROM ev WHERE user_id IS NOT NULL AND product_id IS NOT NULL GROUP BY ALL)"
@@ -29,6 +29,8 @@ REC = f"{COS}, nb AS (SELECT a, b, score FROM cs QUALIFY row_number() OVER (PART
 DEM = EV + ", dm AS (SELECT product_id, date_trunc('{}', created_at)::DATE AS bucket_date, date_trunc('{}', created_at) AS bucket, count(*) AS event_count FROM ev WHERE product_id IS NOT NULL GROUP BY ALL)"
 LARGE = "lg AS (SELECT o_custkey AS user_id, l_partkey AS product_id, sum(l_quantity) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
 STATEMENTS = f"st(cycle, queryid, query, calls) AS (VALUES {fixtures.values(fixtures.STATEMENTS)}), dl AS (SELECT *, coalesce(greatest(calls - lag(calls) OVER (PARTITION BY queryid ORDER BY cycle), 0), 0) AS delta, CASE WHEN lower(regexp_extract(query, '^\\s*([A-Za-z]+)', 1)) IN ('select', 'insert', 'update', 'delete') THEN lower(regexp_extract(query, '^\\s*([A-Za-z]+)', 1)) ELSE 'other' END AS kind FROM st)"
+#: Comments count as blanks.
+STATEMENTS = STATEMENTS.replace("FROM st)", "FROM (SELECT cycle, queryid, regexp_replace(query, '(?s)--[^\\n]*|/\\*.*?\\*/', ' ', 'g') AS query, calls FROM st))")
 PREDICATES = f"{STATEMENTS}, cl AS (SELECT queryid, unnest(regexp_extract_all(regexp_extract(query, '(?is)\\bwhere\\b(.*)', 1), '{tuning.PREDICATE.replace(chr(39), chr(39) * 2)}')) AS hit FROM (SELECT DISTINCT queryid, query, kind FROM dl) WHERE kind = 'select'), pd AS (SELECT queryid, regexp_extract(hit, '{tuning.PREDICATE}', 1) AS \"table\", regexp_extract(hit, '{tuning.PREDICATE}', 2) AS \"column\", regexp_replace(upper(regexp_extract(hit, '{tuning.PREDICATE}', 3)), '\\s+', ' ', 'g') AS operator FROM cl)"
 #: The moment the time-bound queries look back from, and products and users they ask for.
 NOW, DAY, PRODUCT = "2024-01-15 12:00:00", "2024-01-15", 7
@@ -217,19 +219,30 @@ def demand_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, drained over a file source in the shared folder
 
 
+EVENT_FILE = "id string, user_id int, product_id int, event_type string, created_at string"
+
+
+def _wire(rows: DataFrame) -> DataFrame:
+    """Events as they come in files and records."""
+    return rows.select(F.col("id").cast("string").alias("id"), F.col("user_id").cast("int").alias("user_id"), "product_id", "event_type", F.col("created_at").cast("string").alias("created_at"))
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
+    """Events as a stream of one file a batch, in the order of time, then one that closes all windows, then one that comes too late."""
     root = fresh_path(spark, name)
-    rows = tables.events(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("user_id").cast("int").alias("user_id"), "product_id", "event_type", F.col("created_at").cast("string").alias("created_at"))
-    rows.repartitionByRange(4, "created_at").write.json(f"{root}/in")
-    # Past every window: closes those of the real events; its own stay open.
-    spark.createDataFrame([("end", 0, -1, "view", "2030-01-01 00:00:00")], "id string, user_id int, product_id int, event_type string, created_at string").coalesce(1).write.mode("append").json(f"{root}/in")
-    return tables.stream_files(spark, f"{root}/in"), root
+    rows = _wire(tables.events(spark, sf_dir))
+    weeks = ("2024-01-09", "2024-01-16", "2024-01-23")
+    for low, high in zip(("", *weeks), (*weeks, "9"), strict=True):
+        rows.where((F.col("created_at") >= low) & (F.col("created_at") < high)).coalesce(1).write.mode("append").json(f"{root}/in")
+    for row in (("end", 0, -1, "view", "2030-01-01 00:00:00"), ("late", 1, PRODUCT, "view", "2024-01-02 00:00:00")):
+        spark.createDataFrame([row], EVENT_FILE).coalesce(1).write.mode("append").json(f"{root}/in")
+    return tables.stream_files(spark, f"{root}/in", 1), root
 
 
 @query(_session_sql("6 hours", 21600).replace("SELECT user_id, min(", "SELECT user_id::INT AS user_id, min("))
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, root = _stream(spark, sf_dir, "sessions")
-    streams.write_sessions(stream, f"{root}/out", f"{root}/checkpoint", once=True, gap="6 hours", watermark="40 days").awaitTermination()
+    streams.write_sessions(stream, f"{root}/out", f"{root}/checkpoint", once=True, gap="6 hours").awaitTermination()
     out = spark.read.schema("user_id int, session_start timestamp, session_end timestamp, event_count long, products array<int>").option("timestampFormat", streams.TIMES).json(f"{root}/out")
     return _listed(out).withColumn("session_start", F.col("session_start").cast("timestamp_ntz")).withColumn("session_end", F.col("session_end").cast("timestamp_ntz"))
 
@@ -237,15 +250,30 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{DEM.format('hour', 'hour')} SELECT product_id, bucket_date, bucket, event_count::INT AS event_count FROM dm")
 def stream_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, root = _stream(spark, sf_dir, "demand")
-    late = stream.where("product_id >= 0")
-    streams.write_demand(late, f"{root}/out", f"{root}/checkpoint", once=True, grain="1 hour").awaitTermination()
-    return spark.read.parquet(f"{root}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    streams.write_demand(stream, f"{root}/out", f"{root}/checkpoint", once=True, grain="1 hour").awaitTermination()
+    found = sinks.read_keyed(spark, f"{root}/out", "bucket_date").where("product_id >= 0")
+    return found.select("product_id", "bucket_date", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_count")
+
+
+@query(f"{DEM.format('day', 'day')} SELECT DISTINCT bucket_date, product_id FROM dm")
+def stream_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, root = _stream(spark, sf_dir, "presence")
+    streams.write_demand(stream, f"{root}/out", f"{root}/checkpoint", once=True, grain="1 day", presence=f"{root}/days").awaitTermination()
+    return sinks.read_keyed(spark, f"{root}/days", "bucket_date").where("product_id >= 0").select("bucket_date", "product_id")
+
+
+@query(f"{COUNTERS} SELECT product_id, views + CASE WHEN product_id = {PRODUCT} THEN 1 ELSE 0 END AS views, add_to_carts, purchases FROM pc")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Counters have no windows: an event that comes late counts like any other.
+    stream, root = _stream(spark, sf_dir, "counters")
+    streams.write_counters(stream, f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+    return sinks.read_keyed(spark, f"{root}/out", "slice").where("product_id >= 0").drop("slice")
 
 
 @query(f"{EV} SELECT strftime(created_at, '%Y-%m-%d') AS dt, count(*) AS events FROM ev GROUP BY ALL")
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, root = _stream(spark, sf_dir, "stream-archive")
-    streams.write_archive(stream.where("product_id >= 0"), f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+    streams.write_archive(stream.where("id NOT IN ('end', 'late')"), f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
     return tables.read_archive(spark, f"{root}/out").groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("events"))
 
 
@@ -257,6 +285,15 @@ def stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).withColumn("z", F.round("z", 9))
 
 
+@query(f"{EV} SELECT event_type, count(*) AS events, count(created_at) AS timed, max(created_at) AS last FROM ev GROUP BY ALL")
+def kafka_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Records as the broker would hold them: bytes, with junk between.
+    sent = sinks.records(_wire(tables.events(spark, sf_dir))).select(F.col("value").cast("binary").alias("value"))
+    junk = spark.createDataFrame([(b"{broken",), (b" ",), (None,)], "value binary")
+    back = tables.kafka_events(sent.unionByName(junk))
+    return back.groupBy("event_type").agg(F.count("*").alias("events"), F.count("event_time").alias("timed"), F.max("event_time").cast("timestamp_ntz").alias("last"))
+
+
 # Factorisation and precomputed recommendations
 
 
@@ -298,6 +335,29 @@ def precomputed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_wide(spark.read.parquet(path), PRODUCT, 5)
 
 
+@query(f"{REC} SELECT user_id AS visitorid, product_id::BIGINT AS itemid, score FROM rc")
+def recommendations_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "export")
+    als.export(spark, recommend_users(spark, sf_dir), path)
+    return tables.read_recommendations(spark, path)
+
+
+@query(f"{EV} SELECT product_id, sum({W1.format('NULL')})::BIGINT AS score FROM ev WHERE event_type IN ('view', 'add_to_cart', 'purchase') AND product_id IS NOT NULL GROUP BY ALL")
+def popularity_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "popularity")
+    sinks.write_popularity(popularity_batch(spark, sf_dir), path)
+    return tables.read_popularity(spark, path)
+
+
+@query(f"{EV} SELECT user_id, product_id::BIGINT AS product_id, sum({W1.format('0.0')}) AS weight FROM ev GROUP BY ALL")
+def clickstream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "clicks")
+    kind = F.when(F.col("event_type") == "add_to_cart", "addtocart").when(F.col("event_type") == "purchase", "transaction").otherwise(F.col("event_type"))
+    rows = tables.events(spark, sf_dir).select(F.unix_millis(F.col("created_at").cast("timestamp")).alias("timestamp"), F.col("user_id").alias("visitorid"), kind.alias("event"), F.col("product_id").alias("itemid"), F.lit(None).cast("string").alias("transactionid"))
+    rows.write.option("header", True).csv(path)
+    return als.clickstream_pairs(tables.read_clickstream(spark, path))
+
+
 # Catalog, users and search
 
 
@@ -312,7 +372,7 @@ def users_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.page(tables.users(spark, sf_dir), 20)
 
 
-FLAT = "id, name, category, brand, price, rating_average, rating_count, spot[2] AS lat, spot[1] AS lon"
+FLAT = "id, name, category, brand, price, rating_average, rating_count, spot[2] AS lat, spot[1] AS lon, image, asin"
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +380,7 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("id", "name", "category", "brand", "price", "rating_average", "rating_count", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"), *more)
+    return rows.select("id", "name", "category", "brand", "price", "rating_average", "rating_count", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"), F.col("images")[0].alias("image"), "asin", *more)
 
 
 @query(f"{PR} SELECT {FLAT} FROM pr")
@@ -344,6 +404,20 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(found, "total")
 
 
+@query(f"{PR}, s AS (SELECT id, price, rating_average, category, brand, count(*) OVER () AS total FROM pr WHERE category = (SELECT min(category) FROM pr)), t AS (SELECT id, price, rating_average, count(*) OVER () AS total FROM pr WHERE brand = (SELECT max(brand) FROM pr)) " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{kind}' AS kind, row_number() OVER (ORDER BY {order}, id)::INT AS rank, id, total FROM {rows} QUALIFY rank BETWEEN 4 AND 13)" for kind, order, rows in (("price_asc", "price", "s"), ("price_desc", "price DESC", "s"), ("rating_desc", "rating_average DESC", "t"), ("unknown", "1", "t"))))
+def search_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _flat(spark, sf_dir)
+    asked = docs.agg(F.min("category").alias("category"), F.max("brand").alias("brand")).first()
+    pages = [("price_asc", {"category": asked.category}), ("price_desc", {"category": asked.category}), ("rating_desc", {"brand": asked.brand}), ("unknown", {"brand": asked.brand})]
+    out = []
+    for kind, terms in pages:
+        found = store.search(docs, sort=kind, limit=10, offset=3, **terms)
+        order = {"price_asc": [F.asc("price")], "price_desc": [F.desc("price")], "rating_desc": [F.desc("rating_average")]}.get(kind, [])
+        # Ranks of a page of ten rows.
+        out.append(found.select(F.lit(kind).alias("kind"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, "id")) + 3).alias("rank"), "id", "total"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(40.0) - radians(spot[2])) / 2), 2) + cos(radians(spot[2])) * cos(radians(40.0)) * pow(sin(radians(-75.0 - spot[1]) / 2), 2))))"
 
 
@@ -368,11 +442,28 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.bm25(docs, "text", "That with onthe").withColumn("score", F.round("score", 4))
 
 
-@query()
+@query(BM25_SQL)
+def search_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = fresh_path(spark, "postings")
+    store.write_postings(docs, "text", path)
+    return store.bm25_of_postings(spark, path, "That with onthe").withColumn("score", F.round("score", 4))
+
+
+NAME_SQL = (
+    f"{PR}, q AS (SELECT lower(split_part(name, ' ', 1)) AS w, split_part(name, ' ', 1) AS whole FROM pr GROUP BY ALL ORDER BY count(*) DESC, whole LIMIT 1), d AS (SELECT id, list_filter(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM pr), "
+    "st AS (SELECT count(*) AS n, avg(len(t)) AS a, count(*) FILTER (list_contains(t, (SELECT w FROM q))) AS df FROM d), "
+    "sc AS (SELECT id, 2.0 * ln(1 + (n - df + 0.5) / (df + 0.5)) * len(list_filter(t, lambda x: x = w)) * 2.2 / (len(list_filter(t, lambda x: x = w)) + 1.2 * (0.25 + 0.75 * len(t) / a)) AS score FROM d, st, q), "
+    "tg AS (SELECT id, 1.0 AS score FROM pr, q WHERE list_contains(tags, whole)), al AS (SELECT id, max(score) AS score FROM (SELECT * FROM sc WHERE score > 0 UNION ALL SELECT * FROM tg) GROUP BY id) "
+    f"SELECT {FLAT}, round(score, 6) AS score, count(*) OVER () AS total FROM pr JOIN al USING (id) WHERE price >= 0 ORDER BY al.score DESC, id LIMIT 20"
+)
+
+
+@query(NAME_SQL)
 def search_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "part")
     term = docs.select(F.split("p_name", " ")[0].alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").first().w
-    return _shown(store.search(_flat(spark, sf_dir), query=term, price_min=0.0), "score", "total")
+    return _shown(store.search(_flat(spark, sf_dir), query=term, price_min=0.0), F.round("score", 6).alias("score"), "total")
 
 
 # Advisors
@@ -396,19 +487,76 @@ def table_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.table_load(tuning.deltas(fixtures.statements(spark)))
 
 
-ADVICE_SQL = f"""{PREDICATES}, rng AS (SELECT p."table", p."column", d.cycle, sum(d.delta) AS more, bool_or(p.operator <> '=') AS r FROM pd p JOIN dl d USING (queryid) WHERE d.cycle = 2 AND d.delta > 0 GROUP BY ALL),
-ld AS (SELECT {TABLES_SQL} AS "table", sum(CASE WHEN kind = 'select' THEN delta ELSE 0 END) AS reads, sum(CASE WHEN kind IN ('insert', 'update', 'delete') THEN delta ELSE 0 END) AS writes FROM dl WHERE cycle = 2 GROUP BY ALL),
-sx("table", "column", "rows", distinct_ratio) AS (VALUES {fixtures.values(fixtures.STATISTICS)}),
-m AS (SELECT rng."table", rng."column", more, r, CASE WHEN coalesce(reads, 0) > 0 THEN coalesce(writes, 0) / reads ELSE 0 END AS ratio, "rows", distinct_ratio, 'auto_idx_' || CASE WHEN r THEN 'btree' ELSE 'hash' END || '_' || rng."table" || '_' || rng."column" AS wanted FROM rng LEFT JOIN ld ON ld."table" = rng."table" LEFT JOIN sx ON sx."table" = rng."table" AND sx."column" = rng."column"),
-x AS (SELECT *, CASE WHEN more < 20 THEN NULL WHEN ratio > 3 THEN 'skip_high_writes' WHEN "rows" < 20 THEN 'skip_table_too_small' WHEN distinct_ratio < 0.05 THEN 'skip_low_cardinality' WHEN wanted = 'auto_idx_hash_users_country' THEN 'adopt_index' ELSE 'create_index' END AS action FROM m)
-SELECT "table", "column", more::BIGINT AS calls, 0 AS idle, CASE WHEN action IN ('create_index', 'adopt_index') THEN wanted END AS "index", r AS ranged, action FROM x"""
+def _advice_sql() -> str:
+    """Three cycles of the advisor, each from the state the one before left."""
+    parts = [f"""{PREDICATES}, sx("table", "column", "rows", distinct_ratio) AS (VALUES {fixtures.values(fixtures.STATISTICS)}), fx(cycle, "table", "column") AS (VALUES {fixtures.values(fixtures.FAILURES)}),
+z0 AS (SELECT ''::VARCHAR AS "table", ''::VARCHAR AS "column", 0::BIGINT AS calls, 0 AS idle, NULL::VARCHAR AS "index", false AS ranged, NULL::VARCHAR AS action, NULL::VARCHAR AS dropped WHERE false)"""]
+    for n in range(1, fixtures.CYCLES):
+        parts.append(f"""t{n} AS (SELECT p."table", p."column", sum(d.delta) AS more, bool_or(p.operator <> '=') AS r FROM pd p JOIN dl d USING (queryid) WHERE d.cycle = {n} AND d.delta > 0 GROUP BY ALL),
+l{n} AS (SELECT {TABLES_SQL} AS "table", sum(CASE WHEN kind = 'select' THEN delta ELSE 0 END) AS reads, sum(CASE WHEN kind IN ('insert', 'update', 'delete') THEN delta ELSE 0 END) AS writes FROM dl WHERE cycle = {n} GROUP BY ALL),
+s{n} AS (SELECT coalesce(o."table", t."table") AS "table", coalesce(o."column", t."column") AS "column", coalesce(calls, 0) + coalesce(more, 0) AS calls, CASE WHEN more IS NOT NULL THEN 0 ELSE coalesce(idle, 0) + 1 END AS idle, "index", coalesce(ranged, false) OR coalesce(r, false) AS ranged FROM z{n - 1} o FULL JOIN t{n} t ON o."table" = t."table" AND o."column" = t."column"),
+m{n} AS (SELECT s.*, 'auto_idx_' || CASE WHEN ranged THEN 'btree' ELSE 'hash' END || '_' || s."table" || '_' || s."column" AS wanted, CASE WHEN coalesce(reads, 0) > 0 THEN coalesce(writes, 0) / reads ELSE 0 END AS ratio, sx."rows", sx.distinct_ratio FROM s{n} s LEFT JOIN l{n} l ON l."table" = s."table" LEFT JOIN sx ON sx."table" = s."table" AND sx."column" = s."column"),
+x{n} AS (SELECT *, CASE WHEN "index" IS NULL AND calls >= 20 THEN CASE WHEN ratio > 3 THEN 'skip_high_writes' WHEN "rows" < 20 THEN 'skip_table_too_small' WHEN distinct_ratio < 0.05 THEN 'skip_low_cardinality' WHEN wanted = 'auto_idx_hash_users_country' THEN 'adopt_index' ELSE 'create_index' END WHEN "index" IS NOT NULL AND idle >= 3 THEN 'drop_index' END AS action FROM m{n}),
+z{n} AS (SELECT x."table", x."column", (CASE WHEN action = 'drop_index' THEN 0 ELSE calls END)::BIGINT AS calls, idle, CASE WHEN action IN ('create_index', 'adopt_index') AND fx.cycle IS NULL THEN wanted WHEN action = 'drop_index' AND fx.cycle IS NULL THEN NULL ELSE "index" END AS "index", ranged, action, CASE WHEN action = 'drop_index' THEN "index" END AS dropped FROM x{n} x LEFT JOIN fx ON fx.cycle = {n} AND fx."table" = x."table" AND fx."column" = x."column")""")
+    each = " UNION ALL ".join(f'SELECT {n} AS cycle, "table", "column", calls, idle, "index", ranged, action, dropped FROM z{n}' for n in range(1, fixtures.CYCLES))
+    return ",\n".join(parts) + f"\n{each}"
+
+
+def _cycles(spark: SparkSession) -> list[DataFrame]:
+    """The advisor's state after each cycle; some of its actions fail, and are asked for again."""
+    polled = tuning.deltas(fixtures.statements(spark))
+    state = spark.createDataFrame([], "table string, column string, calls long, idle int, index string, ranged boolean")
+    failed, out = fixtures.failures(spark), []
+    for n in range(1, fixtures.CYCLES):
+        changed = polled.where(F.col("cycle") == n)
+        asked = tuning.advance(state, changed, tuning.table_load(changed), fixtures.statistics(spark), fixtures.indexes(spark))
+        state = tuning.outcome(asked, failed.where(F.col("cycle") == n))
+        path = fresh_path(spark, f"advice-{n}")
+        state.write.parquet(path)  # a cycle's state is stored before the next
+        state = spark.read.schema(state.schema).parquet(path)
+        out.append(state.withColumn("cycle", F.lit(n)))
+    return out
+
+
+ADVICE_SQL = _advice_sql()
 
 
 @query(ADVICE_SQL)
 def index_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = tuning.deltas(fixtures.statements(spark)).where("cycle = 2")
-    state = spark.createDataFrame([], "table string, column string, calls long, idle int, index string, ranged boolean")
-    return tuning.advance(state, changed, tuning.table_load(changed), fixtures.statistics(spark), fixtures.indexes(spark))
+    return reduce(lambda a, b: a.unionByName(b), _cycles(spark))
+
+
+DDL_SQL = "CASE action WHEN 'create_index' THEN 'CREATE INDEX CONCURRENTLY \"auto_idx_' || CASE WHEN ranged THEN 'btree' ELSE 'hash' END || '_' || \"table\" || '_' || \"column\" || '\" ON \"' || \"table\" || '\" USING ' || CASE WHEN ranged THEN 'btree' ELSE 'hash' END || ' (\"' || \"column\" || '\")' WHEN 'drop_index' THEN 'DROP INDEX CONCURRENTLY IF EXISTS \"' || dropped || '\"' END"
+
+
+@query(f'{ADVICE_SQL.rsplit(chr(10), 1)[0]}, every AS ({ADVICE_SQL.rsplit(chr(10), 1)[1]}) SELECT cycle, "table", "column", {DDL_SQL} AS statement FROM every WHERE (action = \'create_index\' AND "index" IS NOT NULL) OR (action = \'drop_index\' AND "index" IS NULL)')
+def index_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = reduce(lambda a, b: a.unionByName(b), _cycles(spark))
+    done = told.where("(action = 'create_index' AND index IS NOT NULL) OR (action = 'drop_index' AND index IS NULL)")
+    name = F.coalesce("dropped", "index")
+    return done.select("cycle", "table", "column", tuning.ddl(F.col("action"), name, F.col("table"), F.col("column"), F.col("ranged")).alias("statement"))
+
+
+@query(f'{ADVICE_SQL.rsplit(chr(10), 1)[0]}, every AS ({ADVICE_SQL.rsplit(chr(10), 1)[1]}) SELECT TIMESTAMP \'2024-01-01 00:00:00\' + INTERVAL 1 MINUTE * cycle AS ts, \'sql\' AS store, action, "table" || \'.\' || "column" AS target, \'calls \' || calls AS reason, idle FROM every WHERE action IS NOT NULL ORDER BY ts DESC, target LIMIT 50')
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "decisions")
+    for state in _cycles(spark):
+        at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("cycle"))
+        sinks.record_decisions(tuning.decisions(state, at, "sql"), path)
+    found = tuning.recent_decisions(spark.read.parquet(path))
+    return found.select("ts", "store", "action", "target", "reason", F.get_json_object("metadata", "$.idle").cast("int").alias("idle"))
+
+
+@query(f'{ADVICE_SQL.rsplit(chr(10), 1)[0]} SELECT DISTINCT "index" FROM z{fixtures.CYCLES - 1} WHERE "index" LIKE \'auto!_idx!_%\' ESCAPE \'!\'')
+def managed_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = _cycles(spark)[-1].select("index").unionByName(spark.createDataFrame([("users_pkey",), ("autoXidx_no",)], "index string"))
+    return tuning.managed(there).distinct()
+
+
+@query(f"{STATEMENTS} SELECT queryid::BIGINT AS queryid, greatest(calls - coalesce((SELECT b.calls FROM st b WHERE b.cycle = 1 AND b.queryid = dl.queryid), calls), 0)::BIGINT AS delta FROM dl WHERE cycle = 2")
+def snapshot_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polls = fixtures.statements(spark)
+    return tuning.snapshot_delta(*(polls.where(F.col("cycle") == n).select("queryid", "calls") for n in (2, 1))).select("queryid", F.col("delta").cast("bigint").alias("delta"))
 
 
 HOT_SQL = f"{DEM.format('minute', 'minute')}, hc AS (SELECT product_id, sum(CASE WHEN bucket >= TIMESTAMP '{NOW}' - INTERVAL 1440 MINUTE AND bucket <= TIMESTAMP '{NOW}' THEN event_count ELSE 0 END)::BIGINT AS recent_volume FROM dm WHERE bucket_date BETWEEN DATE '{DAY}' - 3 AND DATE '{DAY}' GROUP BY ALL), hh AS (SELECT *, CASE WHEN recent_volume >= 5 THEN 'hot' ELSE 'cold' END AS granularity FROM hc)"
@@ -480,6 +628,33 @@ def catalog_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(_metadata(spark, sf_dir), "Home_Garden")
 
 
+@query(CLEAN_SQL.replace("SELECT", "WITH c AS (SELECT", 1) + ") SELECT * FROM c")
+def catalog_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, path = fresh_path(spark, "metadata"), fresh_path(spark, "catalog")
+    _metadata(spark, sf_dir).write.parquet(raw)
+    cleaned = cleaning.clean(tables.read_metadata(spark, raw), "Home_Garden")
+    sinks.write_catalog(cleaned, path)
+    return spark.read.schema(cleaned.schema).json(path)
+
+
+@query(f"{PR} SELECT {FLAT} FROM pr WHERE id <= 100")
+def products_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A file that holds one JSON array, of a hundred products.
+    path = fresh_path(spark, "array")
+    some = tables.products(spark, sf_dir).where("id <= 100")
+    some.select(F.to_json(F.collect_list(F.struct(*some.columns)).over(Window.partitionBy(F.lit(0)))).alias("value")).limit(1).write.text(path)
+    return _shown(store.flat(tables.read_products(spark, path).withColumn("id", F.col("id").cast("bigint"))))
+
+
+@query(f"{US}, m AS (SELECT max(id) AS m FROM us), nw AS (SELECT (m + row_number() OVER (ORDER BY s_name))::BIGINT AS id, s_name AS username, lower(replace(s_name, '#', '.')) || '@example.com' AS email, '' AS country FROM supplier, m) SELECT * FROM us UNION ALL SELECT * FROM nw")
+def users_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, there = fresh_path(spark, "users"), tables.users(spark, sf_dir)
+    there.write.parquet(path)
+    new = tables.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("username"), F.concat(F.lower(F.translate("s_name", "#", ".")), F.lit("@example.com")).alias("email"), F.lit("").alias("country"))
+    sinks.append(spark, path, new, there, "username")
+    return spark.read.schema(there.schema).parquet(path)
+
+
 @query(f"{PR} SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id)::INT AS rank FROM pr QUALIFY rank <= 75")
 def catalog_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.first_of_each(tables.products(spark, sf_dir)).select("id", "category", "rank")

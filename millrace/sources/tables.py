@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.schemas import CLICKSTREAM, EVENT, EVENT_TYPES, METADATA, PRODUCT, RECOMMENDATION
 
-#: Five warehouses, (longitude, latitude).
-WAREHOUSES = ((-74.006, 40.7128), (-118.2437, 34.0522), (-87.6298, 41.8781), (-95.3698, 29.7604), (-122.3321, 47.6062))
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
@@ -27,7 +24,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog as nested documents, from the parts table."""
     part = table(spark, sf_dir, "part")
-    spot = F.element_at(F.array(*(F.array(F.lit(lon), F.lit(lat)) for lon, lat in WAREHOUSES)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    # Stock stands on a grid of 50 by 20 degrees, told by the key.
+    spot = F.array((F.col("p_partkey") * 7 % 50 - 110).cast("double"), (F.col("p_partkey") * 11 % 20 + 30).cast("double"))
     return part.select(
         F.col("p_partkey").alias("id"),
         F.col("p_name").alias("name"),
@@ -36,10 +34,10 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("description"),
         F.array("p_type", "p_brand").alias("tags"),
         F.create_map(F.lit("brand"), F.col("p_brand")).alias("specifications"),
-        F.array().cast("array<string>").alias("images"),
+        F.array(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))).alias("images"),
         F.struct(F.lit("Point").alias("type"), spot.alias("coordinates")).alias("location"),
         F.struct((F.col("p_size") % 50 / 10.0).alias("average"), F.col("p_size").cast("int").alias("count")).alias("rating"),
-        F.lit(None).cast("string").alias("asin"),
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("asin"),
     )
 
 
@@ -95,16 +93,39 @@ def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataF
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str = "events") -> DataFrame:
-    """The event topic from its latest offsets; needs the Kafka connector's jar (untested here)."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "latest").option("failOnDataLoss", "false").load()
-    return parse_lines(raw.select(F.col("value").cast("string").alias("value")))
+def timed(events: DataFrame) -> DataFrame:
+    """Adds ``event_time``, which the windowed streams go by; null where ``created_at`` is no time."""
+    return events.withColumn("event_time", F.try_to_timestamp("created_at"))
+
+
+def kafka_events(raw: DataFrame) -> DataFrame:
+    """Events with ``event_time`` from Kafka records, whose ``value`` is the JSON of one event as bytes."""
+    return timed(parse_lines(raw.select(F.col("value").cast("string").alias("value"))))
+
+
+def stream_kafka(spark: SparkSession, servers: str, topic: str = "events", start: str = "latest", most: int | None = None) -> DataFrame:
+    """The event topic as a stream with ``event_time``; needs the Kafka connector's jar (untested here).
+
+    start: ``latest``, or ``earliest`` for a replay; most: records of one batch. Lost offsets don't end the stream.
+    """
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", start).option("failOnDataLoss", "false")
+    return kafka_events((reader.option("maxOffsetsPerTrigger", most) if most else reader).load())
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str = "events") -> DataFrame:
+    """All that the topic holds, from its earliest offset, as a batch (untested here)."""
+    return kafka_events(spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("failOnDataLoss", "false").load())
 
 
 def stream_files(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
     """Events from JSON files as they arrive, with ``event_time``."""
-    raw = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_at_once).json(path)
-    return raw.withColumn("event_time", F.try_to_timestamp("created_at"))
+    return timed(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_at_once).json(path))
+
+
+def read_popularity(spark: SparkSession, path: str) -> DataFrame:
+    """Exported scores, tab-separated (product_id, score); lines that are no such pair are left out."""
+    rows = spark.read.schema("product_id INT, score BIGINT").csv(path, sep="\t")
+    return rows.where(F.col("product_id").isNotNull() & F.col("score").isNotNull())
 
 
 def generate_events(spark: SparkSession, count: int, users: int, products: int, seed: int = 42) -> DataFrame:
@@ -121,11 +142,20 @@ def generate_events(spark: SparkSession, count: int, users: int, products: int,
     )
 
 
-def with_ids(rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:
-    """New rows numbered on from the greatest id there is, in ``order``.
+def with_ids(rows: DataFrame, existing: DataFrame, order: str, deals: int = 64) -> DataFrame:
+    """New rows numbered on from the greatest id there is, in ``order`` (whose values differ, null first); an ``id`` they have is replaced.
 
-    Numbers are dense: partitions are counted first, and each numbers its rows from its own offset.
+    Numbers are dense and repeatable: rows are dealt into ranges of ``order``, split at ``deals`` of its values (those of least hash), the ranges
+    are counted, and each numbers its rows from the sum before it. No task takes all rows.
     """
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
-    zipped = rows.orderBy(order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + top + 1))
-    return rows.sparkSession.createDataFrame(zipped, rows.schema.add("id", "long") if "id" not in rows.columns else rows.schema)
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("m")).first().m
+    rows = rows.drop("id")
+    cuts = sorted(r[0] for r in rows.where(F.col(order).isNotNull()).select(order).distinct().orderBy(F.xxhash64(order), order).limit(deals - 1).collect())
+    within = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    dealt = rows.withColumn("__range", F.when(F.col(order).isNull(), -1).otherwise(within))
+    counted = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    sums = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    before = counted.select("__range", F.coalesce(sums, F.lit(0)).alias("__before"))  # a row for each range
+    here = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    numbered = dealt.join(F.broadcast(before), "__range").withColumn("__n", here)
+    return numbered.withColumn("id", F.lit(top) + F.col("__before") + F.col("__n")).drop("__range", "__before", "__n")

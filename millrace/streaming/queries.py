@@ -15,11 +15,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from millrace.functions.workers import importable
 from millrace.operators.demand import LEAST, THRESHOLD, sessions
+from millrace.operators.events import product_counters
 from millrace.sources import sinks
 
+#: How late events may be, what ends a session, and how often batches run.
 SESSION_WATERMARK, SESSION_GAP, DEMAND_WATERMARK, TRIGGER = "10 minutes", "5 minutes", "2 minutes", "30 seconds"
 
-
 #: Times in files keep their microseconds.
 TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -45,17 +46,35 @@ def demand(events: DataFrame, grain: str = "1 minute", watermark: str = DEMAND_W
     return grouped.select("product_id", F.to_date("w.start").alias("bucket_date"), F.col("w.start").alias("bucket"), "event_count")
 
 
-def write_demand(events: DataFrame, path: str, checkpoint: str, once: bool = False, grain: str = "1 minute") -> StreamingQuery:
-    """Keeps a demand table: each changed window replaces its row, so that repeated batches leave the same table."""
+def write_demand(events: DataFrame, path: str, checkpoint: str, once: bool = False, grain: str = "1 minute", presence: str | None = None) -> StreamingQuery:
+    """Keeps a demand table by day: each changed window replaces its row, so that repeated batches leave the same table.
+
+    presence: a table of the products of each day, kept beside it.
+    """
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, n: int) -> None:
         if not batch.isEmpty():
-            sinks.upsert(batch.sparkSession, path, batch, ["product_id", "bucket"])
+            sinks.upsert(batch.sparkSession, path, batch, ["product_id", "bucket"], "bucket_date", n)
+            if presence:
+                seen = batch.select("bucket_date", "product_id").distinct()
+                sinks.upsert(batch.sparkSession, presence, seen, ["bucket_date", "product_id"], "bucket_date", n)
 
     writer = demand(events, grain).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
     return _started(writer, once, TRIGGER).start()
 
 
+def write_counters(events: DataFrame, path: str, checkpoint: str, once: bool = False, slices: int = 16) -> StreamingQuery:
+    """Keeps views, additions and purchases of each product as events arrive; the table is partitioned by ``slice`` of the id."""
+    sliced = F.pmod(F.coalesce("product_id", F.lit(0)), F.lit(slices)).alias("slice")
+
+    def put(batch: DataFrame, n: int) -> None:
+        if not batch.isEmpty():
+            sinks.upsert(batch.sparkSession, path, batch.select("*", sliced), ["product_id"], "slice", n)
+
+    writer = product_counters(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    return _started(writer, once, TRIGGER).start()
+
+
 class RunningScore(StatefulProcessor):
     """A product's counts so far as (n, sum, square sum); each closed window is judged against those before it."""
 
@@ -78,11 +97,12 @@ class RunningScore(StatefulProcessor):
         """Nothing to close."""
 
 
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def scores(events: DataFrame, grain: str = "1 minute", watermark: str = DEMAND_WATERMARK) -> DataFrame:
-    """z-scores of closed windows, with checkpointed state for each product. Needs the RocksDB state store."""
-    spark = events.sparkSession
-    importable(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """z-scores of closed windows, with checkpointed state for each product. The query must start with the RocksDB state store."""
+    importable(events.sparkSession)
     closed = demand(events, grain, watermark)
     return closed.groupBy("product_id").transformWithStateInPandas(RunningScore(), "product_id int, bucket timestamp, event_count int, z double", "Append", "None")
 
@@ -91,7 +111,14 @@ def write_anomalies(events: DataFrame, path: str, checkpoint: str, once: bool =
     """Appends scores beyond the threshold as JSON files."""
     found = scores(events, grain).where(F.abs("z") > threshold)
     writer = found.writeStream.outputMode("append").format("json").option("timestampFormat", TIMES).option("path", path).option("checkpointLocation", checkpoint)
-    return _started(writer, once, TRIGGER).start()
+    # A query keeps the settings it starts with; the session's own are put back.
+    conf = events.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, _ROCKS)
+    try:
+        return _started(writer, once, TRIGGER).start()
+    finally:
+        conf.set(_STORE, before)
 
 
 def write_archive(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -3,7 +3,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from millrace.operators import demand as d
-from millrace.sources import tables
+from millrace.sources import sinks, tables
 from millrace.streaming import queries as streams
 
 
@@ -22,6 +22,15 @@ def test_scores_use_earlier_counts_only(spark):
     assert d.anomalies(d.z_scores(made)).count() == 1
 
 
+def test_scores_of_busy_products_stay_exact(spark):
+    counts = [2_000_000_000 + 7 * i % 5 for i in range(6)]
+    made = spark.createDataFrame([(1, f"2024-01-01 0{i}:00:00", c) for i, c in enumerate(counts)], "product_id int, bucket string, event_count int")
+    found = {int(r.bucket[12]): r.z for r in d.z_scores(made.selectExpr("product_id", "bucket", "event_count")).collect()}
+    for i, z in found.items():
+        before = [c - 2_000_000_000 for c in counts[:i]]
+        assert abs(z - (counts[i] - 2_000_000_000 - statistics.mean(before)) / statistics.pstdev(before)) < 1e-6
+
+
 def test_scores_need_spread(spark):
     made = spark.createDataFrame([(1, f"2024-01-01 0{i}:00:00", 4) for i in range(6)], "product_id int, bucket string, event_count int")
     assert d.z_scores(made).count() == 0
@@ -46,7 +55,7 @@ def test_streams_agree_with_batch(spark, tmp_path, events):
     out, mark = f"file://{tmp_path}/out", f"file://{tmp_path}/mark"
     streams.write_demand(stream, f"{out}/demand", f"{mark}/demand", once=True, grain="1 hour").awaitTermination()
     wanted = sorted((r.product_id, r.event_count) for r in d.counts(batch, "hour").collect())
-    assert sorted((r.product_id, r.event_count) for r in spark.read.parquet(f"{out}/demand").where("product_id < 9").collect()) == wanted
+    assert sorted((r.product_id, r.event_count) for r in sinks.read_keyed(spark, f"{out}/demand", "bucket_date").where("product_id < 9").collect()) == wanted
     streams.write_sessions(stream, f"{out}/sessions", f"{mark}/sessions", once=True).awaitTermination()
     closed = spark.read.json(f"{out}/sessions")
     assert sorted((r.user_id, r.event_count) for r in closed.collect()) == sorted((r.user_id, r.event_count) for r in d.sessions(batch).collect())

@@ -50,16 +50,35 @@ def test_archive_comes_back_by_day(spark, events, tmp_path):
     assert rows(tables.read_archive(spark, path).withColumn("dt", F.col("dt").cast("string")), "dt", "product_id") == [("2024-01-01", 1), ("2024-01-02", 2)]
 
 
-def test_upsert_replaces_by_key(spark, tmp_path):
-    path = f"file://{tmp_path}/table"
-    sinks.upsert(spark, path, spark.createDataFrame([(1, 1), (2, 2)], "k int, v int"), ["k"])
-    sinks.upsert(spark, path, spark.createDataFrame([(2, 5), (3, 3)], "k int, v int"), ["k"])
-    assert rows(spark.read.parquet(path), "k", "v") == [(1, 1), (2, 5), (3, 3)]
+def test_upsert_replaces_by_key_and_outlives_crashes(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/table", "day string, k int, v int"
+
+    def put(version, *given):
+        sinks.upsert(spark, path, spark.createDataFrame(list(given), schema), ["day", "k"], "day", version)
+
+    def table():
+        return rows(sinks.read_keyed(spark, path, "day").select("day", "k", "v").fillna("none"), "day", "k", "v")
+
+    assert sinks.read_keyed(spark, path, "day") is None
+    put(0, ("a", 1, 1), ("a", 2, 2), ("b", 1, 9), (None, 1, 4))
+    put(1, ("a", 2, 5), ("a", 3, 3), (None, 1, 6))
+    wanted = [("a", 1, 1), ("a", 2, 5), ("a", 3, 3), ("b", 1, 9), ("none", 1, 6)]
+    assert table() == wanted
+    put(1, ("a", 2, 5), ("a", 3, 3), (None, 1, 6))  # a repeated batch
+    assert table() == wanted
+    put(2, ("b", 1, 0))
+    (tmp_path / "table" / "version=2" / "_SUCCESS").unlink()  # one that did not end
+    assert table() == wanted
+    put(2, ("b", 1, 7))
+    assert table() == [*wanted[:3], ("b", 1, 7), wanted[4]]
 
 
 def test_ids_go_on_densely(spark):
     made = tables.with_ids(spark.createDataFrame([("b",), ("a",), ("c",)], "name string"), spark.createDataFrame([(7,)], "id long"), "name")
     assert rows(made, "id", "name") == [(8, "a"), (9, "b"), (10, "c")]
+    many = tables.with_ids(spark.range(1000).selectExpr("(id * 7919) % 1000 as n", "'old' as id"), made.limit(0), "n", 8)
+    assert rows(many, "n", "id") == [(n, n + 1) for n in range(1000)]
+    assert tables.with_ids(made.select("name").limit(0), made, "name").count() == 0
 
 
 def test_generated_events_are_valid(spark):

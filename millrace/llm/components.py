@@ -11,11 +11,14 @@ from millrace.llm.common import Scratch
 MOST_ROUNDS = 64
 
 
-def _star(links: DataFrame, both: bool) -> DataFrame:
-    """Moves links to each node's least neighbour. links: (a, b) with b < a; both: from both ends (large star)."""
+def _star(links: DataFrame, both: bool, scratch: Scratch) -> DataFrame:
+    """Moves links to each node's least neighbour. links: (a, b) with b < a; both: from both ends (large star).
+
+    The least neighbours are stored, so that the join's sides are plain shuffles, of which Spark splits those of a hub.
+    """
     sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else links
-    least = sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    met = sides.join(least, sides.a == least.u)
+    least = scratch.save(sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), f"least-{both}")
+    met = sides.join(least.hint("merge"), sides.a == least.u)
     if both:
         moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,7 +40,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if state.n == 0 or state == seen:
             break
         seen = state
-        found = scratch.save(_star(_star(found, True), False), f"links-{turn}")
+        large = scratch.save(_star(found, True, scratch), "large")
+        found = scratch.save(_star(large, False, scratch), f"links-{turn}")
         if turn > 1:
             scratch.drop(f"links-{turn - 2}")
     else:

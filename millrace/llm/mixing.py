@@ -10,7 +10,8 @@ essays or prose, of its whole text.
 
 Defined cases: null source, language or topic are the level ``(none)``; null and empty texts have no tokens, so their cell
 may have no weight, and they are kept with the probability of other texts of the cell, or never if it has none; rows with equal ids
-share one decision; a null id is decided like the text ``(none)``; an empty table gives an empty result. Other
+share one decision; a null id is decided like the text ``(none)``; an empty table gives an empty result; more than ``MOST_PAIRS`` pairs of
+language and topic are an error, and call for a coarser topic. Other
 columns pass through (those named like the added ones are replaced).
 """
 
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch, table
 
 NONE = "(none)"
-#: Rounds of raking and of fitting the scale, share of tokens kept, exponent of default targets.
+#: Most rounds of raking and rounds of fitting the scale, share of tokens kept, exponent of default targets.
 ROUNDS, SCALE_ROUNDS, KEEP, TEMPER = 12, 6, 0.5, 0.5
+#: Raking ends once no language's or topic's factor moves by more than this part of itself.
+SETTLED = 1e-9
+#: Languages times topics at most: their sums and factors pass through the driver, whose plan holds them as literals.
+MOST_PAIRS = 10_000
 ADDED = ("topic", "n_words", "probability", "kept")
 
 
@@ -66,15 +71,19 @@ def _dot(weights: Column, factors: list[float]) -> Column:
     return F.aggregate(F.zip_with(weights, F.array(*map(F.lit, factors)), lambda w, f: w * f), F.lit(0.0), lambda a, x: a + x)
 
 
-def rake(cells: DataFrame, scratch: Scratch, sources: Mapping[str, float] | None = None, langs: Mapping[str, float] | None = None, topics: Mapping[str, float] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> tuple[DataFrame, dict[tuple[str, str], float]]:
+def rake(cells: DataFrame, scratch: Scratch, sources: Mapping[str, float] | None = None, langs: Mapping[str, float] | None = None, topics: Mapping[str, float] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> tuple[DataFrame, dict[tuple[str, str], float], float]:
     """Sampling rates from cells (__source, __lang, topic, weight).
 
-    Gives (__source, rate) and a rate for each (language, topic): their product, cut at one, is the cell's probability.
+    Gives (__source, rate), a rate for each (language, topic) - their product, cut at one, is the cell's probability - and the marginal
+    error: by how much the factors still moved in the last round, relative to themselves.
     """
     cells = scratch.save(cells, "cells")
-    pairs = [(r["__lang"], r.topic, float(r.w)) for r in cells.groupBy("__lang", "topic").agg(F.sum("weight").alias("w")).orderBy("__lang", "topic").collect()]
+    sums = cells.groupBy("__lang", "topic").agg(F.sum("weight").alias("w")).limit(MOST_PAIRS + 1)
+    pairs = sorted((r["__lang"], r.topic, float(r.w)) for r in sums.collect())
+    if len(pairs) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of language and topic")
     if not pairs:
-        return cells.select("__source", F.lit(0.0).alias("__rate")), {}
+        return cells.select("__source", F.lit(0.0).alias("__rate")), {}, 0.0
     by_lang, by_topic = ({k: sum(p[2] for p in pairs if p[at] == k) for k in sorted({p[at] for p in pairs})} for at in (0, 1))
     want_lang, want_topic = _tempered(by_lang, langs), _tempered(by_topic, topics)
     place = F.create_map(*(F.lit(x) for n, p in enumerate(pairs) for x in (f"{p[0]}\x1f{p[1]}", n)))
@@ -95,9 +104,9 @@ def rake(cells: DataFrame, scratch: Scratch, sources: Mapping[str, float] | None
         met = _dot(F.col("w"), [of_lang[p[0]] * of_topic[p[1]] for p in pairs])
         return F.when(met > 0, F.col("wanted") / scale / met).otherwise(F.lit(0.0))
 
-    factor = source_factor()
+    factor, moved = source_factor(), 0.0
     for _ in range(rounds):
-        factor = source_factor()
+        factor, were = source_factor(), (dict(of_lang), dict(of_topic))
         spread = rows.withColumn("f", factor).select(F.posexplode(F.transform("w", lambda x: x * F.col("f"))).alias("at", "x"))
         met = {r["at"]: r["x"] for r in spread.groupBy("at").agg(F.sum("x").alias("x")).collect()}
         for k in of_lang:
@@ -106,6 +115,9 @@ def rake(cells: DataFrame, scratch: Scratch, sources: Mapping[str, float] | None
         for k in of_topic:
             got = sum(met[n] * of_lang[p[0]] for n, p in enumerate(pairs) if p[1] == k)
             of_topic[k] = want_topic[k] / got if got else 0.0
+        moved = max(abs(now[k] / was[k] - 1) if was[k] else abs(now[k]) for now, was in zip((of_lang, of_topic), were, strict=True) for k in now)
+        if moved < SETTLED:
+            break
     budget, up = keep * total, 1.0
     raked = [of_lang[p[0]] * of_topic[p[1]] for p in pairs]
     fitted = rows.withColumn("f", factor).select(F.col("f"), F.posexplode("w").alias("at", "x")).withColumn("g", F.col("f") * F.element_at(F.array(*map(F.lit, raked)), F.col("at") + 1) * budget)
@@ -115,7 +127,7 @@ def rake(cells: DataFrame, scratch: Scratch, sources: Mapping[str, float] | None
         r = fitted.agg(F.sum(F.when(over, F.col("x")).otherwise(0.0)).alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("x") * F.col("g"))).alias("part")).first()
         if r.part and r.part > 0 and budget > r.full:
             up = (budget - r.full) / r.part
-    return rows.select("__source", (factor * (budget * up)).alias("__rate")), {(p[0], p[1]): f for p, f in zip(pairs, raked, strict=True)}
+    return rows.select("__source", (factor * (budget * up)).alias("__rate")), {(p[0], p[1]): f for p, f in zip(pairs, raked, strict=True)}, moved
 
 
 def draw(doc_id: Column, salt: str = "mix") -> Column:
@@ -128,7 +140,7 @@ def mix(docs: DataFrame, scratch: Scratch, topic: str | None = None, **targets)
     """The documents with ``topic``, ``n_words``, ``probability`` and ``kept``."""
     marked = cells_of(docs, topic)
     cells = marked.groupBy("__source", "__lang", "topic").agg(F.sum("n_words").alias("weight"))
-    rates, pairs = rake(cells, scratch, **targets)
+    rates, pairs, _ = rake(cells, scratch, **targets)
     of_pair = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for (a, b), f in pairs.items() for x in (f"{a}\x1f{b}", f))), F.concat_ws("\x1f", "__lang", "topic")), F.lit(0.0)) if pairs else F.lit(0.0)
     # Sources are as few or many as the data has: Spark broadcasts their rates only if their size allows.
     met = marked.join(rates, "__source", "left")

@@ -193,10 +193,10 @@ def group(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int = 4,
     prints = scratch.save(fingerprints(docs, words), "prints")
     roots = linked(prints, scratch, distance, blocks)
     first = prints.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(roots, "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("bits", "component_id")
-    return prints.join(named, "bits").select("doc_id", "bits", "component_id")
+    rooted = scratch.save(first.join(roots, "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root")), "rooted")
+    least = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = scratch.save(rooted.join(least.hint("merge"), "root").select("bits", "component_id"), "named")
+    return prints.join(named.hint("merge"), "bits").select("doc_id", "bits", "component_id")
 
 
 def shown(bits: Column) -> Column:

@@ -161,11 +161,14 @@ def _together(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
-    """Bytes and tokens of every whole text of (doc_id, text); ``over_limit`` if more tokens than ``limit``."""
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """Bytes and tokens of every whole text of (doc_id, text); ``over_limit`` if more tokens than ``limit``.
+
+    vocabulary: a file that workers can open; by default each worker looks up its own machine's.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _counter(vocabulary)
+        counter = _counter(vocabulary or vocabulary_path())
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             counts = np.array([n for group in _together(texts) for n in counter.count(group)], np.int64)
@@ -184,4 +187,4 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
-    return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+    return count_tokens(table(spark, sf_dir, "documents"))

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch
-from millrace.llm.mixing import mix
+from millrace.llm import mixing
+from millrace.llm.mixing import cells_of, mix, rake
 
 
 def test_shares_meet_their_targets(spark):
@@ -28,3 +29,14 @@ def test_awkward_and_empty(spark, awkward, empty):
     assert len(found) == awkward.count() and all(0 <= r.probability <= 1 for r in found)
     assert len({r.kept for r in found if r.doc_id == 5}) == 1
     assert mix(empty, Scratch(spark, "t")).count() == 0
+
+
+def test_raking_settles_and_reports_its_error(spark, monkeypatch):
+    rows = [(i, "word " * (3 + i % 4), ("en", "en", "de", "fr")[i % 4], ("a", "b")[i % 4 == 0 or i % 7 == 0]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = cells_of(docs).groupBy("__source", "__lang", "topic").agg(F.sum("n_words").alias("weight"))
+    assert rake(cells, Scratch(spark, "t"), rounds=60)[2] < mixing.SETTLED
+    assert rake(cells, Scratch(spark, "t"), rounds=1)[2] > mixing.SETTLED
+    monkeypatch.setattr(mixing, "MOST_PAIRS", 2)
+    with pytest.raises(ValueError, match="pairs of language and topic"):
+        rake(cells, Scratch(spark, "t"))

@@ -83,11 +83,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 @dataclass(frozen=True)
 class Signatures(Sets):
-    """A text's signatures as a set to join by, in partitions by length."""
+    """A text's signatures, as bytes, as a set to join by, in partitions by length."""
 
-    def of(self, text: str | None) -> tuple[int, np.ndarray]:
-        found = signatures(text)
-        return xxhash.xxh3_64_intdigest(found.tobytes()), np.sort((found.astype(np.uint64) + np.uint64(1)) * _SPREAD)
+    def of(self, text: bytes) -> tuple[int, np.ndarray]:
+        return xxhash.xxh3_64_intdigest(text), np.sort((np.frombuffer(text, np.uint32).astype(np.uint64) + np.uint64(1)) * _SPREAD)
 
     def dealt(self, taken: np.ndarray, size: int, similarity: float) -> np.ndarray:
         # In each partition the largest set is 1 / similarity times the least, so that partners stand in one or in neighbours.
@@ -106,8 +105,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id): class_id is the least id reachable over documents of a likeness of at least ``threshold``."""
-    return similar(docs, scratch, Signatures(), threshold).withColumnRenamed("component_id", "class_id")
+    """(doc_id, class_id): class_id is the least id reachable over documents of a likeness of at least ``threshold``.
+
+    Signatures are taken from the texts once and stored while sets are compared.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [signatures(t).tobytes() for t in batch["text"]]})
+
+    sets = scratch.save(map_pandas(whole_texts(docs), run, "doc_id long, text binary"), "sets")
+    found = similar(sets, scratch, Signatures(), threshold).withColumnRenamed("component_id", "class_id")
+    found = scratch.save(found, "near")
+    scratch.drop("sets")
+    return found
 
 
 def edited(text: str, after: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -26,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if the session still can."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may have ended already
+        return
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, removed when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path

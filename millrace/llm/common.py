@@ -33,7 +33,7 @@ class Scratch:
         """Writes a frame and returns it as read back."""
         where = f"{self.path}/{name}"
         schema, conf = frame.schema, self.spark.conf
-        before = conf.get(_TIDY)
+        before = conf.get(_TIDY, "false")
         conf.set(_TIDY, "true")
         try:
             frame.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(where)

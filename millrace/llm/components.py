@@ -14,11 +14,13 @@ MOST_ROUNDS = 64
 def _star(links: DataFrame, both: bool, scratch: Scratch) -> DataFrame:
     """Moves links to each node's least neighbour. links: (a, b) with b < a; both: from both ends (large star).
 
-    The least neighbours are stored, so that the join's sides are plain shuffles, of which Spark splits those of a hub.
+    A hub is met from its own end in large stars: there the least neighbours are stored, so that the join's sides are plain shuffles, of which
+    Spark splits those of a hub.
     """
     sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else links
-    least = scratch.save(sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), f"least-{both}")
-    met = sides.join(least.hint("merge"), sides.a == least.u)
+    least = sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = scratch.save(least, "least").hint("merge") if both else least
+    met = sides.join(least, sides.a == least.u)
     if both:
         moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

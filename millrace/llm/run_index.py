@@ -1,7 +1,7 @@
 """Run-length index: a run-compressed Burrows-Wheeler transform with samples at run ends.
 
 Runs are cut where a wide group begins, so that the first end of a group's first run is the group's earliest suffix: places come
-from these samples. For r runs and g wide groups an index holds 21 r + 12 g bytes, whatever the text's length.
+from these samples. For r runs and g wide groups an index holds 20 r + 12 g bytes, whatever the text's length.
 """
 
 from __future__ import annotations

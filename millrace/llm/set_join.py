@@ -41,8 +41,12 @@ _ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 class Sets:
     """What a text's set is."""
 
-    def of(self, text: str | None) -> tuple[int, np.ndarray]:
-        """A name that equal sets share, and the set as ordered 64-bit hashes."""
+    def name(self, text: str | None) -> int:
+        """A 64-bit name that equal sets share."""
+        raise NotImplementedError
+
+    def members(self, text: str | None) -> np.ndarray:
+        """The set as ordered 64-bit hashes."""
         raise NotImplementedError
 
     def dealt(self, taken: np.ndarray, size: int, similarity: float) -> np.ndarray:
@@ -56,9 +60,15 @@ class Shingles(Sets):
 
     words: int = 5
 
-    def of(self, text: str | None) -> tuple[int, np.ndarray]:
-        tokens = (text or "").encode("utf-8", "replace").lower().split()
-        return xxhash.xxh3_64_intdigest(b" ".join(tokens)), shingles(tokens, self.words)
+    def name(self, text: str | None) -> int:
+        return xxhash.xxh3_64_intdigest(b" ".join(_tokens(text)))
+
+    def members(self, text: str | None) -> np.ndarray:
+        return shingles(_tokens(text), self.words)
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def shingles(tokens: list[bytes], words: int = 5) -> np.ndarray:
@@ -84,14 +94,14 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.full(BUCKETS, 255, np.uint8) if counts.max() > 255 else counts.astype(np.uint8)
 
 
-def _per_text(docs: DataFrame, sets: Sets, function, schema: str) -> DataFrame:
-    """Rows that ``function(name, set)`` gives for texts, in columns."""
+def _per_text(docs: DataFrame, function, schema: str) -> DataFrame:
+    """Rows that ``function(text)`` gives for texts, in columns."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 2000):
-                rows = [r for t in batch["text"].iloc[i : i + 2000] if (r := function(*sets.of(t))) is not None]
+                rows = [r for t in batch["text"].iloc[i : i + 2000] if (r := function(t)) is not None]
                 if rows:
                     yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
 
@@ -103,7 +113,7 @@ def _named(docs: DataFrame, sets: Sets) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": np.fromiter((sets.of(t)[0] for t in batch["text"]), np.uint64, len(batch)).view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": np.fromiter((sets.name(t) for t in batch["text"]), np.uint64, len(batch)).view(np.int64)})
 
     return map_pandas(whole_texts(docs), run, "doc_id long, node long")
 
@@ -111,10 +121,11 @@ def _named(docs: DataFrame, sets: Sets) -> DataFrame:
 def _common(docs: DataFrame, sets: Sets, similarity: float) -> np.ndarray:
     """Marks of members that stand in many texts, among those that would come first by hash."""
 
-    def first(_: int, found: np.ndarray) -> tuple[np.ndarray]:
+    def first(text: str | None) -> tuple[np.ndarray]:
+        found = sets.members(text)
         return (found[: leading(len(found), similarity) + len(found) // 10].view(np.int64),)
 
-    counts = _per_text(docs, sets, first, "key long").repartition("key").groupBy("key").agg(F.count("*").alias("n"))
+    counts = _per_text(docs, first, "key long").repartition("key").groupBy("key").agg(F.count("*").alias("n"))
     return marks(counts.where(F.col("n") >= COMMON), "key")
 
 
@@ -122,13 +133,14 @@ def _keys(docs: DataFrame, common: np.ndarray, sets: Sets, similarity: float) ->
     """(key, node, size): the first members of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
-    def first(node: int, found: np.ndarray) -> tuple[np.ndarray, ...]:
+    def first(text: str | None) -> tuple[np.ndarray, ...]:
+        node, found = sets.name(text), sets.members(text)
         late = marked(sent.value, found)
         taken = np.concatenate((found[~late], found[late]))[: leading(len(found), similarity)]
         keys = sets.dealt(taken, len(found), similarity)
         return keys.view(np.int64), np.full(len(keys), node, np.uint64).view(np.int64), np.full(len(keys), len(found))
 
-    return _per_text(docs, sets, first, "key long, node long, size long")
+    return _per_text(docs, first, "key long, node long, size long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.ChunkedArray]]:
@@ -248,11 +260,11 @@ def _of_nodes(docs: DataFrame, sets: Sets, nodes: DataFrame, shown, column: str)
     """(node, column): ``shown(set)`` as bytes for each node that ``nodes`` marks."""
     sent = docs.sparkSession.sparkContext.broadcast(marks(nodes, "node"))
 
-    def one(node: int, found: np.ndarray) -> tuple | None:
-        name = np.array([node], np.uint64)
-        return (name.view(np.int64), np.array([shown(found).tobytes()], object)) if marked(sent.value, name)[0] else None
+    def one(text: str | None) -> tuple | None:
+        name = np.array([sets.name(text)], np.uint64)
+        return (name.view(np.int64), np.array([shown(sets.members(text)).tobytes()], object)) if marked(sent.value, name)[0] else None
 
-    return _per_text(docs, sets, one, f"node long, {column} binary").dropDuplicates(["node"])
+    return _per_text(docs, one, f"node long, {column} binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: Sets, similarity: float, scratch: Scratch, name: str) -> DataFrame:

@@ -85,8 +85,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 class Signatures(Sets):
     """A text's signatures, as bytes, as a set to join by, in partitions by length."""
 
-    def of(self, text: bytes) -> tuple[int, np.ndarray]:
-        return xxhash.xxh3_64_intdigest(text), np.sort((np.frombuffer(text, np.uint32).astype(np.uint64) + np.uint64(1)) * _SPREAD)
+    def name(self, text: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(text)
+
+    def members(self, text: bytes) -> np.ndarray:
+        return np.sort((np.frombuffer(text, np.uint32).astype(np.uint64) + np.uint64(1)) * _SPREAD)
 
     def dealt(self, taken: np.ndarray, size: int, similarity: float) -> np.ndarray:
         # In each partition the largest set is 1 / similarity times the least, so that partners stand in one or in neighbours.

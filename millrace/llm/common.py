@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Removes an execution's shuffle files when it ends: a written table needs them no more.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Executions in here remove their shuffle files when they end: a written table, or a collected one, needs them no more."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -32,13 +43,9 @@ class Scratch:
     def save(self, frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         """Writes a frame and returns it as read back."""
         where = f"{self.path}/{name}"
-        schema, conf = frame.schema, self.spark.conf
-        before = conf.get(_TIDY, "false")
-        conf.set(_TIDY, "true")
-        try:
+        schema = frame.schema
+        with tidy(self.spark):
             frame.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(where)
-        finally:
-            conf.set(_TIDY, before)
         return self.spark.read.schema(schema).parquet(where)
 
     def drop(self, name: str = "") -> None:
@@ -80,7 +87,8 @@ def mark_words(hashes: DataFrame, column: str, bits: int = MARK_BITS) -> DataFra
 
 def marks(hashes: DataFrame, column: str, bits: int = MARK_BITS) -> np.ndarray:
     """The marks as an array of 64-bit words, of a fixed size."""
-    found = mark_words(hashes, column, bits).toArrow()
+    with tidy(hashes.sparkSession):
+        found = mark_words(hashes, column, bits).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[found["__word"].to_numpy()] = found["__bits"].to_numpy().view(np.uint64)
     return words

@@ -5,8 +5,8 @@ texts share a member among the first n - ceil(similarity n) + 1 of each (n: memb
 pair is missed. The order puts members last that stand in many texts. What meets is first held against an upper bound of the overlap (members
 counted in ``BUCKETS`` buckets), and what passes is verified with the whole sets.
 
-Links need to connect groups, not to name all pairs: crowds of more than ``SMALL`` texts first grow trees, and after these
-are verified, all pairs of texts that are not connected yet are compared.
+Links need to connect groups, not to name all pairs: crowds of more than ``SMALL`` texts first grow trees, each text under ``FEW`` of its crowded members, and
+after these are verified, texts of a crowd are compared with all that they are not connected to yet, under every member.
 
 Defined cases: null counts as empty. Texts without words are alike; texts of fewer words than a shingle are one shingle. Texts of equal sets' names
 (for shingles: of equal words) are one node, so copies make no pairs. Rows with equal id and text are one document; a null id is no component's name if there is another; other columns are
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.workers import map_arrow, map_pandas
@@ -34,6 +34,8 @@ from millrace.llm.components import components
 COMMON = 32
 #: Members of a meeting up to which all are compared at once.
 SMALL = 64
+#: Crowds in which a text grows trees.
+FEW = 4
 BUCKETS = 128
 _ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -88,6 +90,17 @@ def leading(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def packed(found: np.ndarray) -> np.ndarray:
+    """A set in five bytes a member: the leading 40 bits of its hashes, the highest eight apart (in order, they shrink to nothing)."""
+    return np.concatenate(((found >> np.uint64(56)).astype(np.uint8), np.frombuffer((found >> np.uint64(24)).astype(np.uint32).tobytes(), np.uint8)))
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The members of a packed set, in order."""
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint32, n, n)
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
     """Shingles in each bucket; full buckets all over where one of them overflows, so that bounds stay upper bounds."""
     counts = np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
@@ -212,15 +225,25 @@ def _meet(similarity: float, trees: bool):
             rest, grown = np.arange(s, s + n), []
             if (root[s : s + n] == root[s]).all():
                 continue
+            if not trees:
+                # One of two that are not connected stands outside the crowd's largest group.
+                values, times = np.unique(root[s : s + n], return_counts=True)
+                inside = root[s : s + n] == values[np.argmax(times)]
+                rest, outside = rest[inside], rest[~inside]
+                for k, one in enumerate(outside.tolist()):
+                    others = np.concatenate((rest, outside[k + 1 :]))
+                    hit = near(np.full(len(others), one), others)
+                    left.append(np.full(int(hit.sum()), node[one]))
+                    right.append(node[others[hit]])
+                continue
             while len(rest):
                 one = grown.pop() if grown else rest[0]
                 rest = rest[rest != one]
                 hit = near(np.full(len(rest), one), rest)
                 left.append(np.full(int(hit.sum()), node[one]))
                 right.append(node[rest[hit]])
-                if trees:
-                    grown += rest[hit].tolist()
-                    rest = rest[~hit]
+                grown += rest[hit].tolist()
+                rest = rest[~hit]
         ends = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)]
         a, b = np.minimum(*ends), np.maximum(*ends)
         order = np.lexsort((b, a))
@@ -243,7 +266,7 @@ def _compared(similarity: float):
         for batch in batches:
             out = []
             for a, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = np.frombuffer(raw, np.uint64)
+                found = unpacked(raw)
                 if b is None:
                     own = found
                     continue
@@ -270,7 +293,7 @@ def _of_nodes(docs: DataFrame, sets: Sets, nodes: DataFrame, shown, column: str)
 def _verified(pairs: DataFrame, docs: DataFrame, sets: Sets, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
     pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
-    whole = scratch.save(_of_nodes(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), lambda found: found, "found"), f"{name}-sets")
+    whole = scratch.save(_of_nodes(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), packed, "found"), f"{name}-sets")
     own = whole.join(pairs.select(F.col("a").alias("node")).distinct().hint("merge"), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "found")
     others = pairs.join(whole.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "b", "found")
     rows = own.unionByName(others).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
@@ -287,7 +310,12 @@ def links(docs: DataFrame, scratch: Scratch, sets: Sets, similarity: float = 0.8
     sketches = scratch.save(_of_nodes(docs, sets, shared, sketch, "sketch"), "sketches")
 
     def met(rows: DataFrame, trees: bool) -> DataFrame:
-        rows = rows.join(sketches.hint("merge"), "node").select("key", "node", "size", "root", "sketch")
+        rows = rows.join(sketches.hint("merge"), "node")
+        if trees:
+            crowded = F.when(F.col("n") > SMALL, F.col("key"))
+            few = F.row_number().over(Window.partitionBy("node").orderBy(crowded.asc_nulls_last()))
+            rows = rows.withColumn("few", few).where((F.col("n") <= SMALL) | (F.col("few") <= FEW))
+        rows = rows.select("key", "node", "size", "root", "sketch")
         return map_arrow(rows.repartition("key").sortWithinPartitions("key"), _meet(similarity, trees), "a long, b long")
 
     found = _verified(met(shared.withColumn("root", F.col("node")), True), docs, sets, similarity, scratch, "first")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from llm_samples import SCHEMA, prose  # noqa: F401
 
@@ -34,7 +35,7 @@ def test_texts_below_the_similarity_stay_apart(spark, documents):
     assert found(spark, documents(*texts)) == dict(enumerate(range(len(texts))))
 
 
-@pytest.mark.parametrize("crowd", [0, 90])
+@pytest.mark.parametrize("crowd", [0, 90, 250])
 def test_components_equal_all_pairs_around_the_similarity(spark, documents, crowd):
     rng = random.Random(7)
     base = prose(rng, 60).split()
@@ -45,3 +46,8 @@ def test_components_equal_all_pairs_around_the_similarity(spark, documents, crow
             at = rng.randrange(n + 1)
             texts += [" ".join(words), " ".join([*words, *["added"] * more]), " ".join([*words[:at], "inside", *words[at:]])]
     assert found(spark, documents(*texts)) == dict(enumerate(brute(texts)))
+
+
+def test_sets_come_back_and_zero_is_one_of_them():
+    found = np.concatenate((np.zeros(1, np.uint64), np.sort(np.random.default_rng(1).integers(0, 2**64, 999, np.uint64))))
+    assert (set_join.unpacked(set_join.packed(found).tobytes()) == found >> np.uint64(24)).all()

@@ -5,8 +5,8 @@ texts share a member among the first n - ceil(similarity n) + 1 of each (n: memb
 pair is missed. The order puts members last that stand in many texts. What meets is first held against an upper bound of the overlap (members
 counted in ``BUCKETS`` buckets), and what passes is verified with the whole sets.
 
-Links need to connect groups, not to name all pairs: crowds of more than ``SMALL`` texts first grow trees, each text under ``FEW`` of its crowded members, and
-after these are verified, texts of a crowd are compared with all that they are not connected to yet, under every member.
+Links need to connect groups, not to name all pairs: crowds of more than ``SMALL`` texts first grow trees, and
+after these are verified, texts of a crowd are compared with all that they are not connected to yet, each pair under the first crowded member it shares.
 
 Defined cases: null counts as empty. Texts without words are alike; texts of fewer words than a shingle are one shingle. Texts of equal sets' names
 (for shingles: of equal words) are one node, so copies make no pairs. Rows with equal id and text are one document; a null id is no component's name if there is another; other columns are
@@ -22,8 +22,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.workers import map_arrow, map_pandas
@@ -34,8 +35,8 @@ from millrace.llm.components import components
 COMMON = 32
 #: Members of a meeting up to which all are compared at once.
 SMALL = 64
-#: Crowds in which a text grows trees.
-FEW = 4
+#: Crowded members of a text that are told to others, so that a pair which shares several is given once; pairs of texts with more may be given again.
+LISTED = 32
 BUCKETS = 128
 _ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -188,15 +189,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[met], pa.int64()) for c in (key, node, size, n[which])], ["key", "node", "size", "n"])
 
 
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of up to ``LISTED`` numbers as rows, filled up with the greatest number."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out = np.full((len(sizes), LISTED), np.iinfo(np.int64).max)
+    out[np.arange(LISTED) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def _meet(similarity: float, trees: bool):
     """Gives pairs of different roots that may be similar, from rows (key, node, size, root, sketch) sorted by key.
 
-    trees: crowds give only pairs that connect them.
+    trees: crowds give only pairs that connect them. Otherwise all rows are of crowds and end with their text's first crowded keys.
     """
     part = similarity / (1 + similarity)
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         key, node, size, root = (c.to_numpy() for c in table.columns[:4])
+        named = None if trees else _matrix(table.column(5).combine_chunks())
         prints = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, BUCKETS)
 
         def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -232,9 +242,11 @@ def _meet(similarity: float, trees: bool):
                 rest, outside = rest[inside], rest[~inside]
                 for k, one in enumerate(outside.tolist()):
                     others = np.concatenate((rest, outside[k + 1 :]))
-                    hit = near(np.full(len(others), one), others)
-                    left.append(np.full(int(hit.sum()), node[one]))
-                    right.append(node[others[hit]])
+                    hit = others[near(np.full(len(others), one), others)]
+                    before = named[one][named[one] < key[one]]
+                    hit = hit[~np.isin(named[hit], before).any(axis=1)]
+                    left.append(np.full(len(hit), node[one]))
+                    right.append(node[hit])
                 continue
             while len(rest):
                 one = grown.pop() if grown else rest[0]
@@ -309,17 +321,18 @@ def links(docs: DataFrame, scratch: Scratch, sets: Sets, similarity: float = 0.8
     shared = scratch.save(map_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), _shared, "key long, node long, size long, n long"), "shared")
     sketches = scratch.save(_of_nodes(docs, sets, shared, sketch, "sketch"), "sketches")
 
+    crowds = shared.where(F.col("n") > SMALL)
+
     def met(rows: DataFrame, trees: bool) -> DataFrame:
         rows = rows.join(sketches.hint("merge"), "node")
-        if trees:
-            crowded = F.when(F.col("n") > SMALL, F.col("key"))
-            few = F.row_number().over(Window.partitionBy("node").orderBy(crowded.asc_nulls_last()))
-            rows = rows.withColumn("few", few).where((F.col("n") <= SMALL) | (F.col("few") <= FEW))
-        rows = rows.select("key", "node", "size", "root", "sketch")
+        columns = ["key", "node", "size", "root", "sketch"]
+        if not trees:
+            listed = crowds.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LISTED).alias("named"))
+            rows, columns = rows.join(listed.hint("merge"), "node"), [*columns, "named"]
+        rows = rows.select(*columns)
         return map_arrow(rows.repartition("key").sortWithinPartitions("key"), _meet(similarity, trees), "a long, b long")
 
     found = _verified(met(shared.withColumn("root", F.col("node")), True), docs, sets, similarity, scratch, "first")
-    crowds = shared.where(F.col("n") > SMALL)
     if not crowds.isEmpty():
         roots = components(found, scratch)
         rooted = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -14,7 +14,7 @@ from millrace.llm.templates import op8_line_templates
 from millrace.llm.tokens import op6_token_counts
 from millrace.llm.whitening import op13_whitening
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_substring_dedup, op4_suffix_dedup, op5_html_blocks, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mixing, op2_spotsigs, op3_substring_dedup, op4_suffix_dedup, op5_html_blocks, op6_token_counts, op7_simhash, op8_line_templates, op9_decontaminate, op10_language_id, op13_whitening)}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.schemas import EVENT
+from millrace.sources.keyed import read_keyed, upsert
 from millrace.sources.tables import with_ids
 
+__all__ = ["read_keyed", "upsert"]
+
 
 def write_archive(events: DataFrame, path: str) -> None:
     """Appends events to the archive, one folder for each day; a missing time counts as now."""
@@ -17,45 +18,6 @@ def write_archive(events: DataFrame, path: str) -> None:
     events.withColumn("dt", F.date_format(day, "yyyy-MM-dd")).write.mode("append").partitionBy("dt").json(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The complete versions of a keyed table."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    named = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("version=")]
-    return sorted(int(x.getName().removeprefix("version=")) for x in named if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
-
-
-def read_keyed(spark: SparkSession, path: str, partition: str, before: int | None = None) -> DataFrame | None:
-    """A keyed table as it stands (or stood before a version): each partition from the last version that has it; None if there is none."""
-    found = [v for v in _versions(spark, path) if before is None or v < before]
-    if not found:
-        return None
-    rows = spark.read.option("basePath", path).parquet(*(f"{path}/version={v}" for v in found))
-    newest = rows.groupBy(F.col(partition).alias("__partition")).agg(F.max("version").alias("__version"))
-    met = rows.join(newest, F.col(partition).eqNullSafe(F.col("__partition")) & (F.col("version") == F.col("__version")), "left_semi")
-    return met.drop("version")
-
-
-def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], partition: str, version: int) -> None:
-    """Replaces rows of a keyed table by key; keys may be null, and a row's partition must follow from its key.
-
-    A version holds the partitions it touches, whole, and counts once it is complete: a crash leaves the table as it was, a
-    repeated version replaces itself, and other partitions are neither read nor written. Of several rows for a key in one batch the caller keeps one.
-    """
-    old = read_keyed(spark, path, partition, version)
-    merged = rows
-    if old is not None:
-        touched = rows.select(F.col(partition).alias("__touched")).distinct()
-        here = old.join(touched, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
-        new = rows.select(*(F.col(k).alias(f"__{k}") for k in keys))
-        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
-        merged = here.join(new, same, "left_anti").select(*rows.columns).unionByName(rows)
-    merged.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/version={version}")
-
-
 def append(spark: SparkSession, path: str, rows: DataFrame, existing: DataFrame, order: str) -> None:
     """Appends new rows to a Parquet table with ids that go on from those of ``existing``."""
     with_ids(rows, existing, order).write.mode("append").parquet(path)

@@ -31,7 +31,10 @@ LARGE = "lg AS (SELECT o_custkey AS user_id, l_partkey AS product_id, sum(l_quan
 STATEMENTS = f"st(cycle, queryid, query, calls) AS (VALUES {fixtures.values(fixtures.STATEMENTS)}), dl AS (SELECT *, coalesce(greatest(calls - lag(calls) OVER (PARTITION BY queryid ORDER BY cycle), 0), 0) AS delta, CASE WHEN lower(regexp_extract(query, '^\\s*([A-Za-z]+)', 1)) IN ('select', 'insert', 'update', 'delete') THEN lower(regexp_extract(query, '^\\s*([A-Za-z]+)', 1)) ELSE 'other' END AS kind FROM st)"
 #: Comments count as blanks.
 STATEMENTS = STATEMENTS.replace("FROM st)", "FROM (SELECT cycle, queryid, regexp_replace(query, '(?s)--[^\\n]*|/\\*.*?\\*/', ' ', 'g') AS query, calls FROM st))")
-PREDICATES = f"{STATEMENTS}, cl AS (SELECT queryid, unnest(regexp_extract_all(regexp_extract(query, '(?is)\\bwhere\\b(.*)', 1), '{tuning.PREDICATE.replace(chr(39), chr(39) * 2)}')) AS hit FROM (SELECT DISTINCT queryid, query, kind FROM dl) WHERE kind = 'select'), pd AS (SELECT queryid, regexp_extract(hit, '{tuning.PREDICATE}', 1) AS \"table\", regexp_extract(hit, '{tuning.PREDICATE}', 2) AS \"column\", regexp_replace(upper(regexp_extract(hit, '{tuning.PREDICATE}', 3)), '\\s+', ' ', 'g') AS operator FROM cl)"
+PREDICATES = f"""{STATEMENTS}, tk AS (SELECT queryid, regexp_extract_all(regexp_extract(query, '(?is)\\bwhere\\b(.*)', 1), '{tuning.TOKEN}') AS t FROM (SELECT DISTINCT queryid, query, kind FROM dl) WHERE kind = 'select'),
+tp AS (SELECT queryid, t, unnest(range(1, len(t) + 1)) AS i FROM tk),
+pd AS (SELECT queryid, t[i] AS "table", t[i + 2] AS "column", CASE WHEN t[i + 4][1] = '$' THEN upper(t[i + 3]) ELSE upper(t[i + 3] || ' ' || t[i + 4]) END AS operator FROM tp
+  WHERE t[i + 1] = '.' AND (t[i + 4][1] = '$' OR t[i + 5][1] = '$') AND operator IN ({", ".join(f"'{o}'" for o in tuning.OPERATORS)}) AND regexp_matches(t[i], '^[A-Za-z_]') AND regexp_matches(t[i + 2], '^[A-Za-z_]'))"""
 #: The moment the time-bound queries look back from, and products and users they ask for.
 NOW, DAY, PRODUCT = "2024-01-15 12:00:00", "2024-01-15", 7
 

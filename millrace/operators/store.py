@@ -78,7 +78,7 @@ def _times(array: str, term: str) -> Column:
     return F.size(F.filter(array, lambda x: x == term))
 
 
-def _bm25(tf: Column, length: Column, n: int, average: float, df: int) -> Column:
+def term_weight(tf: Column, length: Column, n: int, average: float, df: int) -> Column:
     """What a term adds to the score of a text that holds it ``tf`` times."""
     idf = F.log(1 + (F.lit(n) - df + 0.5) / (F.lit(df) + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
@@ -101,7 +101,7 @@ def bm25(rows: DataFrame, field: str, query: str) -> DataFrame:
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     if not stats.n or not stats.avg:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    score = reduce(lambda a, b: a + b, (_bm25(F.col(f"tf{i}"), F.col("len"), stats.n, stats.avg, stats[f"df{i}"]) for i in range(len(terms))))
+    score = reduce(lambda a, b: a + b, (term_weight(F.col(f"tf{i}"), F.col("len"), stats.n, stats.avg, stats[f"df{i}"]) for i in range(len(terms))))
     return counted.select("id", score.alias("score")).where("score > 0")
 
 
@@ -109,14 +109,14 @@ def bm25(rows: DataFrame, field: str, query: str) -> DataFrame:
 SLICES = 64
 
 
-def _slice(term: Column) -> Column:
+def term_slice(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SLICES)).cast("int")
 
 
 def write_postings(rows: DataFrame, field: str, path: str) -> None:
     """Writes an index of a field: how often each row holds each term, in folders by the term's hash, and the rows' number and mean length."""
     words = rows.select("id", tokens(F.col(field)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    found = words.groupBy("term", "id", "len").agg(F.count("*").cast("int").alias("tf")).withColumn("slice", _slice(F.col("term")))
+    found = words.groupBy("term", "id", "len").agg(F.count("*").cast("int").alias("tf")).withColumn("slice", term_slice(F.col("term")))
     found.repartition(SLICES, "slice").sortWithinPartitions("slice", "term").write.mode("overwrite").partitionBy("slice").parquet(f"{path}/terms")
     rows.select(F.size(tokens(F.col(field))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -126,25 +126,28 @@ def bm25_of_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
     terms = terms_of(query)
     postings = spark.read.parquet(f"{path}/terms")
     stats = spark.read.parquet(f"{path}/stats").first()
-    slices = [r.s for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_slice(F.col("t")).alias("s")).collect()]  # a row for each term
+    slices = [r.s for r in spark.createDataFrame([(t,) for t in terms], "t string").select(term_slice(F.col("t")).alias("s")).collect()]  # a row for each term
     met = postings.where(F.col("slice").isin(slices) & F.col("term").isin(terms))
     known = {r.term: r.df for r in met.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term
     if not known:
         return postings.select("id", F.lit(0.0).alias("score")).limit(0)
-    score = reduce(lambda rest, t: F.when(F.col("term") == t, _bm25(F.col("tf"), F.col("len"), stats.n, stats.avg, known[t])).otherwise(rest), sorted(known), F.lit(0.0))
+    score = reduce(lambda rest, t: F.when(F.col("term") == t, term_weight(F.col("tf"), F.col("len"), stats.n, stats.avg, known[t])).otherwise(rest), sorted(known), F.lit(0.0))
     return met.groupBy("id").agg(F.sum(score).alias("score"))
 
 
-def search(documents: DataFrame, query: str | None = None, sort: str | None = None, limit: int = 20, offset: int = 0, **filters) -> DataFrame:
+def search(documents: DataFrame, query: str | None = None, sort: str | None = None, limit: int = 20, offset: int = 0, scores: DataFrame | None = None, **filters) -> DataFrame:
     """A page of matching documents with ``score`` and the ``total`` of all matches.
 
+    scores: (id, score) of the fields for the query, from an index that is kept; without them the fields are scanned.
+
     The score is the best boosted field's; tags count when one equals the whole query. Unknown sort orders mean relevance.
     """
     rows = documents.where(matches(**filters))
     if query:
-        scores = reduce(lambda a, b: a.unionByName(b), [bm25(documents, f, query).withColumn("score", F.col("score") * boost) for f, boost in FIELDS.items()])
+        if scores is None:
+            scores = reduce(lambda a, b: a.unionByName(b), [bm25(documents, f, query).withColumn("score", F.col("score") * boost) for f, boost in FIELDS.items()])
         tagged = documents.where(F.array_contains("tags", query)).select("id", F.lit(1.0).alias("score"))
-        rows = rows.join(scores.unionByName(tagged).groupBy("id").agg(F.max("score").alias("score")), "id")
+        rows = rows.join(scores.select("id", "score").unionByName(tagged).groupBy("id").agg(F.max("score").alias("score")), "id")
     else:
         rows = rows.withColumn("score", F.lit(1.0))
     order = {"price_asc": [F.asc("price")], "price_desc": [F.desc("price")], "rating_desc": [F.desc("rating_average")]}.get(sort or "", [F.desc("score")])

@@ -10,7 +10,6 @@ their postings.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.store import term_slice, term_weight, terms_of, tokens
-from millrace.sources import files
+from millrace.sources.manifests import Manifests, end_to_merge, remove_others
 
 #: Rows of the smallest size class, segments that become one, how classes grow, rows for each task that writes a folder.
 LEAST, FAN, GROWTH, WRITE_ROWS = 10_000, 4, 4, 500_000
@@ -39,17 +38,13 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, fields: list[str], least: int = LEAST, fan: int = FAN) -> None:
         self.spark, self.path, self.fields, self.least, self.fan = spark, path, fields, least, fan
+        self.manifests = Manifests(spark, path)
         self.lengths = ", ".join(f"len_{i} int" for i in range(len(fields)))
 
     def manifest(self) -> Manifest:
         """The last manifest."""
-        found = self._manifests()
-        if not found:
-            return Manifest(-1, [], {f: [0, 0] for f in self.fields})
-        return Manifest(found[-1], **json.loads(files.read_text(self.spark, f"{self.path}/_manifests/{found[-1]}.json")))
-
-    def _manifests(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in files.names(self.spark, f"{self.path}/_manifests") if n.endswith(".json") and not n.startswith("."))
+        found = self.manifests.last()
+        return Manifest(found[0], **found[1]) if found else Manifest(-1, [], {f: [0, 0] for f in self.fields})
 
     def _read(self, kind: str, schema: str, segments: list[list[int]], counted: int) -> DataFrame:
         """Rows of a kind with ``at``, the place of their segment; segments that have none are left out."""
@@ -106,25 +101,13 @@ class Index:
         segments = [*now.segments, [folder, new[0], gone[0]]] if new[0] or gone[0] else now.segments
         fields = {f: [now.fields[f][0] + new[0] - gone[0], now.fields[f][1] + new[i + 1] - gone[i + 1]] for i, f in enumerate(self.fields)}
         segments = self._merged(segments, folder + 1)
-        files.write_text(self.spark, f"{self.path}/_manifests/{version}.json", json.dumps({"segments": segments, "fields": fields}))
-        self._tidy({s[0] for s in [*segments, *now.segments]})
-
-    def tier(self, segment: list[int]) -> int:
-        """The size class of a segment."""
-        n, size = 0, self.least
-        while segment[1] + segment[2] > size:
-            n, size = n + 1, size * GROWTH
-        return n
+        self.manifests.write(version, {"segments": segments, "fields": fields})
+        for kind in ("terms", "rows", "gone"):
+            remove_others(self.spark, f"{self.path}/{kind}", "segment=", {s[0] for s in [*segments, *now.segments]})
 
     def _merged(self, segments: list[list[int]], folder: int) -> list[list[int]]:
         """The list after the merge it calls for, if any: its longest end of small enough segments, ``fan`` of them or more."""
-        first = len(segments)
-        for top in range(max(map(self.tier, segments), default=0) + 1):
-            at = len(segments)
-            while at and self.tier(segments[at - 1]) <= top:
-                at -= 1
-            if len(segments) - at >= self.fan:
-                first = at
+        first = end_to_merge([n + gone for _, n, gone in segments], self.least, self.fan, GROWTH)
         if first == len(segments):
             return segments
         some = segments[first:]
@@ -139,15 +122,6 @@ class Index:
             gone = self.spark.read.parquet(f"{self.path}/gone/segment={folder}").count()
         return [*segments[:first], [folder, n, gone]] if n or gone else segments[:first]
 
-    def _tidy(self, kept: set[int]) -> None:
-        """Removes segments and manifests that neither this manifest nor the one before it names."""
-        for kind in ("terms", "rows", "gone"):
-            for name in files.names(self.spark, f"{self.path}/{kind}"):
-                if name.startswith("segment=") and int(name.removeprefix("segment=")) not in kept:
-                    files.remove(self.spark, f"{self.path}/{kind}/{name}")
-        for v in self._manifests()[:-2]:
-            files.remove(self.spark, f"{self.path}/_manifests/{v}.json")
-
     def scores(self, query: str, boosts: Mapping[str, float] | None = None) -> DataFrame:
         """(id, score): the best boosted BM25 of the fields; of the postings only the folders and row groups of the query's terms are read."""
         terms, now = terms_of(query), self.manifest()

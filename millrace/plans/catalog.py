@@ -640,12 +640,13 @@ def catalog_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(cleaned.schema).json(path)
 
 
-@query(f"{PR} SELECT {FLAT} FROM pr WHERE id <= 100")
+@query(f"{PR} SELECT {FLAT} FROM pr")
 def products_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A file that holds one JSON array, of a hundred products.
+    # Files that hold one JSON array each, of a thousand products.
     path = fresh_path(spark, "array")
-    some = tables.products(spark, sf_dir).where("id <= 100")
-    some.select(F.to_json(F.collect_list(F.struct(*some.columns)).over(Window.partitionBy(F.lit(0)))).alias("value")).limit(1).write.text(path)
+    every = tables.products(spark, sf_dir)
+    dealt = every.groupBy((F.col("id") / 1000).cast("long").alias("file")).agg(F.to_json(F.collect_list(F.struct(*every.columns))).alias("value"))
+    dealt.write.partitionBy("file").text(path)
     return _shown(store.flat(tables.read_products(spark, path).withColumn("id", F.col("id").cast("bigint"))))
 
 

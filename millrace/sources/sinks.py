@@ -60,8 +60,12 @@ def wide_recommendations(recommendations: DataFrame, n: int = 10) -> DataFrame:
     return ranked.groupBy("user_id").agg(*cells)
 
 
+def unpacked(wide: DataFrame, n: int = 10) -> DataFrame:
+    """Wide rows back as (user_id, rank, product_id, score), a row for each filled cell."""
+    pairs = F.array(*(F.struct(F.lit(i).alias("rank"), F.unbase64(f"item_{i:02d}").cast("string").try_cast("bigint").alias("product_id"), F.unbase64(f"score_{i:02d}").cast("string").try_cast("double").alias("score")) for i in range(n)))
+    return wide.select("user_id", F.explode(pairs).alias("x")).select("user_id", "x.*").where(F.col("product_id").isNotNull())
+
+
 def read_wide(wide: DataFrame, user_id: int, n: int = 10) -> DataFrame:
     """A user's recommendations back from the wide row, best first; no rows for an unknown user."""
-    row = wide.where(F.col("user_id") == user_id)
-    pairs = F.array(*(F.struct(F.lit(i).alias("rank"), F.unbase64(f"item_{i:02d}").cast("string").try_cast("bigint").alias("product_id"), F.unbase64(f"score_{i:02d}").cast("string").try_cast("double").alias("score")) for i in range(n)))
-    return row.select("user_id", F.explode(pairs).alias("x")).select("user_id", "x.*").where(F.col("product_id").isNotNull())
+    return unpacked(wide.where(F.col("user_id") == user_id), n)

@@ -24,11 +24,11 @@ class BurstMode(StatefulProcessor):
     """A source's total, mode and last sample; samples come in the order of time.
 
     A source without a sample for ``silence`` milliseconds falls back to normal at that moment: by its timer, or when its next sample shows the gap,
-    whichever comes first, so that batches make no difference. Its state goes ``keep`` milliseconds after the last sample: it then starts anew.
+    whichever comes first, so that batches make no difference: the timer waits ``grain`` longer, until a sample of that moment would be known. Its state goes ``keep`` milliseconds after the last sample: it then starts anew.
     """
 
-    def __init__(self, threshold: int, silence: int, keep: int) -> None:
-        self.threshold, self.silence, self.keep = threshold, silence, keep
+    def __init__(self, threshold: int, silence: int, keep: int, grain: int) -> None:
+        self.threshold, self.silence, self.keep, self.grain = threshold, silence, keep, grain
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -63,7 +63,7 @@ class BurstMode(StatefulProcessor):
         self.state.update((total, mode, last))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(last + (self.silence if mode == "burst" else self.keep) + 1)
+        self.handle.registerTimer(last + (self.silence if mode == "burst" else self.keep) + self.grain + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out = []
@@ -72,7 +72,7 @@ class BurstMode(StatefulProcessor):
             if mode == "burst":
                 out.append(self._fall(key, total, last))
                 self.state.update((total, "normal", last))
-                self.handle.registerTimer(last + self.keep + 1)
+                self.handle.registerTimer(last + self.keep + self.grain + 1)
             else:
                 self.state.clear()
         yield pd.DataFrame(out, columns=COLUMNS)
@@ -87,7 +87,7 @@ def transitions(events: DataFrame, grain: str = "1 hour", threshold: int = BURST
     counted = events.withWatermark("event_time", watermark).groupBy(F.window("event_time", grain).alias("w"), F.col("event_type").alias("source")).agg(F.count("*").alias("count"))
     # The window's own column keeps the watermark that the timers go by.
     samples = counted.select("source", F.col("w.start").alias("at"), "count", F.window_time("w").alias("closed"))
-    mode = BurstMode(threshold, *(int(x.total_seconds() * 1000) for x in (silence, keep)))
+    mode = BurstMode(threshold, *(int(x.total_seconds() * 1000) for x in (silence, keep, pd.Timedelta(grain))))
     return samples.groupBy("source").transformWithStateInPandas(mode, SCHEMA, "Append", "EventTime")
 
 

@@ -2,7 +2,9 @@
 
 Texts are similar if their sets have a Jaccard of ``similarity`` or more. Under any one order of all members, two such
 texts share a member among the first n - ceil(similarity n) + 1 of each (n: members of the set), so those that share one of these meet, and no
-pair is missed. The order puts members last that stand in many texts. What meets is first held against an upper bound of the overlap (members
+pair is missed. The order puts members last that stand in many texts. The place of a member tells more: if it is the first that a pair shares, the overlap is at
+most what follows it, so that it serves partners up to some size only; members that serve no one they meet are left out before anything is compared (letters
+of one form that fall short of the similarity never meet). What meets is first held against an upper bound of the overlap (members
 counted in ``BUCKETS`` buckets), and what passes is verified with the whole sets.
 
 Links need to connect groups, not to name all pairs: crowds of more than ``SMALL`` texts first grow trees, and
@@ -33,6 +35,8 @@ from millrace.llm.components import components
 
 #: Texts with a shingle from which on it is ordered last; only the work depends on it.
 COMMON = 32
+#: Of so many texts one tells which members are common.
+SAMPLED = 8
 #: Members of a meeting up to which all are compared at once.
 SMALL = 64
 #: Crowded members of a text that are told to others, so that a pair which shares several is given once; pairs of texts with more may be given again.
@@ -91,6 +95,11 @@ def leading(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def reach(n: int, at: np.ndarray, similarity: float) -> np.ndarray:
+    """The greatest partner that members at some places of a set of n can be the first shared ones with: n - at must suffice for the overlap."""
+    return np.floor((n - at) * (1 + similarity) / similarity - n + 1e-6).astype(np.int32)
+
+
 def packed(found: np.ndarray) -> np.ndarray:
     """A set in five bytes a member: the leading 40 bits of its hashes, the highest eight apart (in order, they shrink to nothing)."""
     return np.concatenate(((found >> np.uint64(56)).astype(np.uint8), np.frombuffer((found >> np.uint64(24)).astype(np.uint32).tobytes(), np.uint8)))
@@ -133,14 +142,13 @@ def _named(docs: DataFrame, sets: Sets) -> DataFrame:
 
 
 def _common(docs: DataFrame, sets: Sets, similarity: float) -> np.ndarray:
-    """Marks of members that stand in many texts, among those that would come first by hash."""
+    """Marks of members that stand in many texts, told by the whole sets of one text in ``SAMPLED``; only the order of members depends on them."""
 
-    def first(text: str | None) -> tuple[np.ndarray]:
-        found = sets.members(text)
-        return (found[: leading(len(found), similarity) + len(found) // 10].view(np.int64),)
+    def some(text: str | None) -> tuple[np.ndarray] | None:
+        return (sets.members(text).view(np.int64),) if sets.name(text) % SAMPLED == 0 else None
 
-    counts = _per_text(docs, first, "key long").repartition("key").groupBy("key").agg(F.count("*").alias("n"))
-    return marks(counts.where(F.col("n") >= COMMON), "key")
+    counts = _per_text(docs, some, "key long").repartition("key").groupBy("key").agg(F.count("*").alias("n"))
+    return marks(counts.where(F.col("n") >= COMMON // SAMPLED), "key")
 
 
 def _keys(docs: DataFrame, common: np.ndarray, sets: Sets, similarity: float) -> DataFrame:
@@ -152,9 +160,10 @@ def _keys(docs: DataFrame, common: np.ndarray, sets: Sets, similarity: float) ->
         late = marked(sent.value, found)
         taken = np.concatenate((found[~late], found[late]))[: leading(len(found), similarity)]
         keys = sets.dealt(taken, len(found), similarity)
-        return keys.view(np.int64), np.full(len(keys), node, np.uint64).view(np.int64), np.full(len(keys), len(found))
+        most = np.tile(reach(len(found), np.arange(len(taken)), similarity), len(keys) // max(1, len(taken)))
+        return keys.view(np.int64), np.full(len(keys), node, np.uint64).view(np.int64), np.full(len(keys), len(found), np.int32), most
 
-    return _per_text(docs, first, "key long, node long, size long")
+    return _per_text(docs, first, "key long, node long, size int, most int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.ChunkedArray]]:
@@ -179,14 +188,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.ChunkedArray]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, size, n) of keys with n > 1 nodes, each node once. Rows come sorted by key and node."""
+    """(key, node, size, most, n) of keys with n > 1 nodes, each node once. Rows come sorted by key and node.
+
+    Nodes that find no partner under a key that both could share first are left out of it.
+    """
     for table in _groups(batches):
-        key, node, size = (c.to_numpy() for c in table.columns)
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-        key, node, size = key[fresh], node[fresh], size[fresh]
-        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
-        met = n[which] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(c[met], pa.int64()) for c in (key, node, size, n[which])], ["key", "node", "size", "n"])
+        key, node, size, most = (c.to_numpy() for c in table.columns)
+        kept = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        while True:
+            key, node, size, most = key[kept], node[kept], size[kept], most[kept]
+            if not key.size:
+                break
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = np.diff(np.append(starts, key.size))
+            least, reached, count = (np.repeat(x, n) for x in (np.minimum.reduceat(size, starts), np.maximum.reduceat(most, starts), n))
+            kept = (least <= most) & (reached >= size) & (count > 1)
+            if kept.all():
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size, pa.int32()), pa.array(most, pa.int32()), pa.array(count, pa.int64())], ["key", "node", "size", "most", "n"])
+                break
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
@@ -198,26 +217,29 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
 
 
 def _meet(similarity: float, trees: bool):
-    """Gives pairs of different roots that may be similar, from rows (key, node, size, root, sketch) sorted by key.
+    """Gives pairs of different roots that may be similar, from rows (key, node, size, most, root, sketch) sorted by key.
 
-    trees: crowds give only pairs that connect them. Otherwise all rows are of crowds and end with their text's first crowded keys.
+    trees: crowds give only pairs that connect them. Otherwise all rows are of crowds and end with their text's first crowded keys; a pair is then given under
+    the least crowded key that it shares, which need not be its first member, so that sizes alone bound it.
     """
     part = similarity / (1 + similarity)
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        key, node, size, root = (c.to_numpy() for c in table.columns[:4])
-        named = None if trees else _matrix(table.column(5).combine_chunks())
-        prints = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        key, node, size, most, root = (c.to_numpy() for c in table.columns[:5])
+        named = None if trees else _matrix(table.column(6).combine_chunks())
+        prints = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, BUCKETS)
 
         def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             """Which of pairs x, y may be similar."""
             low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
             may = (low >= similarity * high - 1e-9) & (root[x] != root[y])
+            if trees:
+                may &= (size[y] <= most[x]) & (size[x] <= most[y])
             at = np.flatnonzero(may)
             for i in range(0, len(at), 1 << 16):
                 a, b = x[at[i : i + (1 << 16)]], y[at[i : i + (1 << 16)]]
-                most = np.minimum(prints[a], prints[b]).sum(axis=1, dtype=np.int64)
-                may[at[i : i + (1 << 16)]] = most >= np.minimum(part * (size[a] + size[b]) - 1e-6, 255 * BUCKETS)
+                bound = np.minimum(prints[a], prints[b]).sum(axis=1, dtype=np.int64)
+                may[at[i : i + (1 << 16)]] = bound >= np.minimum(part * (size[a] + size[b]) - 1e-6, 255 * BUCKETS)
             return may
 
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -318,14 +340,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: Sets, similarity: float,
 def links(docs: DataFrame, scratch: Scratch, sets: Sets, similarity: float = 0.8) -> DataFrame:
     """(a, b): pairs of similar nodes that connect all nodes that similar pairs connect."""
     keys = _keys(docs, _common(docs, sets, similarity), sets, similarity)
-    shared = scratch.save(map_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), _shared, "key long, node long, size long, n long"), "shared")
+    shared = scratch.save(map_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), _shared, "key long, node long, size int, most int, n long"), "shared")
     sketches = scratch.save(_of_nodes(docs, sets, shared, sketch, "sketch"), "sketches")
 
     crowds = shared.where(F.col("n") > SMALL)
 
     def met(rows: DataFrame, trees: bool) -> DataFrame:
         rows = rows.join(sketches.hint("merge"), "node")
-        columns = ["key", "node", "size", "root", "sketch"]
+        columns = ["key", "node", "size", "most", "root", "sketch"]
         if not trees:
             listed = crowds.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LISTED).alias("named"))
             rows, columns = rows.join(listed.hint("merge"), "node"), [*columns, "named"]

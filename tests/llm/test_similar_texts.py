@@ -51,3 +51,38 @@ def test_components_equal_all_pairs_around_the_similarity(spark, documents, crow
 def test_sets_come_back_and_zero_is_one_of_them():
     found = np.concatenate((np.zeros(1, np.uint64), np.sort(np.random.default_rng(1).integers(0, 2**64, 999, np.uint64))))
     assert (set_join.unpacked(set_join.packed(found).tobytes()) == found >> np.uint64(24)).all()
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_first_shared_members_reach_every_similar_partner(similarity):
+    """Over all sizes and overlaps: the first shared member stands early enough in both sets, and its place admits the other's size."""
+    for n in range(1, 40):
+        for m in range(1, 40):
+            for both in range(1, min(n, m) + 1):
+                if both >= similarity * (n + m - both) - 1e-9:
+                    # At worst all members that are not shared come first.
+                    i, j = n - both, m - both
+                    assert i < set_join.leading(n, similarity) and j < set_join.leading(m, similarity)
+                    assert set_join.reach(n, np.array([i]), similarity)[0] >= m and set_join.reach(m, np.array([j]), similarity)[0] >= n
+
+
+def test_letters_of_one_form_do_not_meet(spark, documents):
+    rng = random.Random(3)
+    form = prose(rng, 120).split()
+
+    def letter(i):
+        words = list(form)
+        for place, kind in ((10, "name"), (50, "town"), (90, "day")):
+            words[place] = f"{kind}{i}"
+        return " ".join(words)
+
+    letters = [letter(i) for i in range(300)]
+    near = letters[7].split()
+    near[119] = "other"
+    docs = documents(*letters, " ".join(near))
+    scratch = Scratch(spark, "t")
+    sets = set_join.Shingles()
+    keys = set_join._keys(docs, set_join._common(docs, sets, 0.8), sets, 0.8)
+    left = set_join.map_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), set_join._shared, "key long, node long, size int, most int, n long")
+    assert left.where("n > 2").count() == 0 and left.select("node").distinct().count() == 2
+    assert {i: c for i, c in found(spark, docs).items() if c != i} == {300: 7}

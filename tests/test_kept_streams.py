@@ -1,4 +1,6 @@
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import similar, tuning
 from millrace.sources import tables
 from millrace.streaming import bursts
+from millrace.streaming import queries as streams
 from millrace.streaming.similarity import Similarity
 
 EVENT = "id string, user_id int, product_id int, event_type string, created_at string"
@@ -56,3 +59,24 @@ def test_bursts_equal_the_batch_form_and_end_in_silence(spark, tmp_path, files):
     assert [g for g in got if g[0] == "view"] == wanted
     # A source that falls silent is normal after 90 minutes: by the gap before its next sample, or by timer alone.
     assert [g for g in got if g[0] != "view"] == sorted([("purchase", "01 01:00", "burst", 25), ("purchase", "01 02:30", "normal", 0), ("purchase", "01 09:00", "burst", 30), ("purchase", "01 10:00", "normal", 2), ("cart", "01 03:00", "burst", 40), ("cart", "01 04:30", "normal", 0)])
+
+
+def test_two_queries_of_one_application(spark, tmp_path):
+    rows = [(str(i), 1, 1, "view", f"2024-01-01 {i:02d}:00:00") for i in range(10)]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.json(f"file://{tmp_path}/in")
+    running = threading.Thread(target=streams.run_all, args=(spark, tables.stream_files(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out"))
+    running.start()
+    try:
+        for _ in range(300):
+            active = spark.streams.active
+            if len(active) == 2 and all(q.lastProgress for q in active):
+                break
+            time.sleep(0.2)
+        # Each of them has read all events.
+        assert [streams.progress(q)["numInputRows"] for q in active] == [10, 10]
+    finally:
+        for q in spark.streams.active:  # the application ends with the first of them
+            q.stop()
+        running.join(30)
+    assert not running.is_alive()
+    assert all((tmp_path / "out" / "checkpoints" / k / "offsets" / "0").exists() for k in ("sessions", "anomalies"))

@@ -44,8 +44,9 @@ class _Bits:
 class FmIndex(Matches):
     """Backward search over a wavelet matrix: one bit vector for each bit of a symbol."""
 
-    def build(self, bwt: np.ndarray, order: np.ndarray) -> None:
-        self.places = order[self.start].astype(np.int32)
+    def build(self, bwt: np.ndarray, order: np.ndarray, at: np.ndarray, groups: np.ndarray) -> None:
+        self.places = order[groups].astype(np.int32)
+        bwt = np.repeat(bwt, np.diff(at))
         self.levels, self.zeros = [], []
         size = max(1, int(bwt.max(initial=0)).bit_length())
         self.shifts = range(size - 1, -1, -1)

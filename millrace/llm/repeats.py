@@ -8,11 +8,10 @@ windows meet in one shard, and a shard never needs another's text:
    left or its right, inside the window: the hashes of these two extensions are dealt into buckets and counted there, and runs
    of an extension that stands in two places are marked. Within a bucket hashes are told by 32 bits, so that one run in some
    hundred is marked for nothing at most, which costs a segment, at any size of the corpus;
-2. documents meet their marked runs, which are cut out as segments; equal segments of a batch leave one copy, as all windows of the others
-   start later;
-3. in each shard, blocks of segments are indexed and the segments streamed through the index: a window of a wide group that is not its
-   earliest is a repeat. Minimizers with very many segments have theirs dealt out as single windows first, so that no
-   shard takes an unbounded group.
+2. documents meet their marked runs, which are cut out as segments;
+3. in each shard, blocks of segments, copies too, are indexed and the segments streamed through the index: a window of a wide group that is not
+   its earliest is a repeat. Minimizers with very many segments have theirs dealt out as single windows first, of which each batch
+   sends first copies only, so that no shard takes an unbounded group.
 
 An extension that a batch holds many times goes to its bucket once, so no bucket takes an unbounded group. Ids are ordered as numbers, null first; rows with
 equal id and text are one document.
@@ -41,7 +40,7 @@ AT_ONCE, BLOCK = 1 << 20, 1 << 18
 MOST_WINDOWS = 255
 #: Segments of one minimizer beyond which they are dealt out as windows.
 CROWD = 20_000
-#: Bytes of text whose equal extensions and equal segments meet before any shuffle.
+#: Bytes of text whose equal extensions meet before any shuffle, and of crowded segments whose copies do.
 TOGETHER = 64 << 20
 #: Bytes of text whose extensions share a bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 16
@@ -309,7 +308,7 @@ def _emit(first: list, others: list, width: int) -> pa.RecordBatch:
 
 
 def _cut(met: DataFrame, kind: Symbols) -> DataFrame:
-    """Segments of marked runs, first copies of each batch; spans of other copies. met: (__id, __h, runs, text)."""
+    """Segments of marked runs, copies too. met: (__id, __h, runs, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -327,43 +326,73 @@ def _cut(met: DataFrame, kind: Symbols) -> DataFrame:
                         rows.append((xxhash.xxh3_64_intdigest(text[x[2] : x[3]]) - (1 << 63), text[x[0] : x[1]], i, h, x[4], x[5]))
                     size += len(text)
                     if size > TOGETHER:
-                        yield _emit(*_first_copies(rows), kind.window)
+                        yield _emit(rows, [], kind.window)
                         rows, size = [], 0
-        yield _emit(*_first_copies(rows), kind.window)
+        yield _emit(rows, [], kind.window)
 
     return map_arrow(met.select("__id", "__h", "runs", "text"), run, "m long, segment binary, __id long, __h long, start long, size long")
 
 
 def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
-    """Segments of crowded minimizers as single windows, each sent by its own hash."""
+    """Segments of crowded minimizers as single windows, each sent by its own hash; spans of all but a batch's first copies.
+
+    A crowd may hold a third of all rows, and copies of one text may be all of it. Equal segments of a batch leave one here, and equal windows
+    too, so that what is sent of a text grows with the batches and not with its copies.
+    """
+
+    def deal(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        segments, others = _first_copies(held)
+        yield _emit([], others, kind.window)
+        rows = []
+        for _, segment, i, h, start, size in segments:
+            begin, end = kind.bounds(segment + b"\x00")
+            for n in range(size):
+                part = segment[begin[n] : end[n + kind.window - 1]]
+                rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, i, h, start + n, 1))
+            if len(rows) > 200_000:
+                yield _emit(*_first_copies(rows), kind.window)
+                rows = []
+        yield _emit(*_first_copies(rows), kind.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                begin, end = kind.bounds(r["segment"] + b"\x00")
-                for n in range(r["size"]):
-                    part = r["segment"][begin[n] : end[n + kind.window - 1]]
-                    rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), part, r["__id"], r["__h"], r["start"] + n, 1))
-                if len(rows) > 200_000:
-                    yield _emit(*_first_copies(rows), kind.window)
-                    rows = []
-            yield _emit(*_first_copies(rows), kind.window)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                size += len(row[1])
+                if size > TOGETHER:
+                    yield from deal(held)
+                    held, size = [], 0
+        yield from deal(held)
 
-    return map_arrow(crowded, run, "m long, segment binary, __id long, __h long, start long, size long")
+    return map_arrow(crowded.select(*_CUTS.names), run, "m long, segment binary, __id long, __h long, start long, size long")
 
 
 def repeated_windows(kind: Symbols, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of windows that also start earlier among the segments, which come in the order of the corpus."""
-    symbols, sizes = kind.coded(segments)
+    """(segment, offset) of windows that also start earlier among the segments, which come in the order of the corpus.
+
+    The index holds all segments, equal ones too. What it tells of a text holds wherever that text stands, so each text streams once, and
+    all segments of it compare their own place with the earliest place that the index gives.
+    """
+    numbers: dict[bytes, int] = {}
+    text = np.fromiter((numbers.setdefault(s, len(numbers)) for s in segments), np.int64, len(segments))
+    times = np.bincount(text)
+    members = np.argsort(text, kind="stable")
+    lead = np.cumsum(times) - times
+    symbols, sizes = kind.coded(list(numbers))
     ends = np.cumsum(sizes + 1) - 1
     begins = ends - sizes
-    index = kind.index(symbols, kind.window)
+    index = kind.index(symbols, kind.window, np.repeat(times, sizes + 1))
     segment, offset = [], []
     for which, at, group in index.stream(symbols, begins, ends):
-        late = index.earliest(group) < at
-        segment.append(which[late])
-        offset.append(at[late] - begins[which[late]])
+        earliest = index.earliest(group)
+        home = np.searchsorted(ends, earliest)
+        count = times[which]
+        member = members[np.repeat(lead[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        first, ahead, into = (np.repeat(x, count) for x in (members[lead[home]], earliest - begins[home], at - begins[which]))
+        late = (first < member) | (first == member) & (ahead < into)
+        segment.append(member[late])
+        offset.append(into[late])
     return (np.concatenate(segment), np.concatenate(offset)) if segment else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -381,14 +410,10 @@ def _indexed(segments: DataFrame, kind: Symbols) -> DataFrame:
     """Spans of repeated windows, found in blocks of whole minimizers."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        first, others = _first_copies(rows)
-        if others:
-            ids, hs, starts, counts = (np.array(c, np.int64) for c in zip(*(r[2:6] for r in others), strict=True))
-            step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield _merged(np.repeat(ids, counts), np.repeat(hs, counts), np.repeat(starts, counts) + step, kind.window)
-        first.sort(key=lambda r: r[2:5])
-        ids, hs, starts = (np.array(c, np.int64) for c in list(zip(*(r[2:5] for r in first), strict=True)))
-        which, offset = repeated_windows(kind, [r[1] for r in first])
+        rows.sort(key=lambda r: r[2:5])
+        rows = [r for n, r in enumerate(rows) if not n or r[2:5] != rows[n - 1][2:5]]  # equal rows are one document
+        ids, hs, starts = (np.array(c, np.int64) for c in list(zip(*(r[2:5] for r in rows), strict=True)))
+        which, offset = repeated_windows(kind, [r[1] for r in rows])
         yield _merged(ids[which], hs[which], starts[which] + offset, kind.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

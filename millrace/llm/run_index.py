@@ -1,7 +1,8 @@
 """Run-length index: a run-compressed Burrows-Wheeler transform with samples at run ends.
 
 Runs are cut where a wide group begins, so that the first end of a group's first run is the group's earliest suffix: places come
-from these samples. For r runs and g wide groups an index holds 20 r + 12 g bytes, whatever the text's length.
+from these samples. For r runs and g wide groups an index holds 20 r + 12 g bytes, whatever the text's length: copies of a sequence
+make runs longer, not more.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from millrace.llm.suffixes import Matches
 class RunIndex(Matches):
     """Counts come from the runs of each symbol, places from suffixes sampled at the runs' first ends."""
 
-    def build(self, bwt: np.ndarray, order: np.ndarray) -> None:
+    def build(self, bwt: np.ndarray, order: np.ndarray, at: np.ndarray, groups: np.ndarray) -> None:
         fresh = np.concatenate(([True], bwt[1:] != bwt[:-1]))
-        fresh[self.start] = True
-        heads = np.flatnonzero(fresh)
-        self.samples = order[heads].astype(np.int32)
-        self.run = np.searchsorted(heads, self.start).astype(np.int32)
+        fresh[groups] = True
+        first = np.flatnonzero(fresh)
+        self.samples = order[first].astype(np.int32)
+        self.run = np.searchsorted(first, groups).astype(np.int32)
+        heads = at[first]
         lengths = np.diff(np.append(heads, self.n))
-        symbols = bwt[heads].astype(np.int64)
+        symbols = bwt[first].astype(np.int64)
         by_symbol = np.argsort(symbols, kind="stable")
         self.keys = symbols[by_symbol] * (self.n + 1) + heads[by_symbol]
         self.lengths = lengths[by_symbol].astype(np.int32)

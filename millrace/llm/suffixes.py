@@ -53,20 +53,31 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
 
 
 class Matches:
-    """What both indexes share: the text's symbol counts, and bounds of the wide groups."""
+    """What both indexes share: the text's symbol counts, and bounds of the wide groups.
 
-    def __init__(self, symbols: np.ndarray, depth: int) -> None:
-        self.n, self.depth = len(symbols), depth
+    A sequence may stand in the text several times. Suffixes of its copies are neighbours in the order, so that it is sorted once and
+    each of its suffixes takes as many places of the order and of the transform as there are copies.
+    """
+
+    def __init__(self, symbols: np.ndarray, depth: int, copies: np.ndarray | None = None) -> None:
+        """copies: for each symbol, how often its sequence stands in the text; once if not given."""
         order, starts = suffix_order(symbols, depth)
-        ends = np.append(starts[1:], self.n)
-        wide = ends - starts > 1
-        self.start, self.end = starts[wide].astype(np.int32), ends[wide].astype(np.int32)
-        counts = np.bincount(symbols, minlength=int(symbols.max(initial=0)) + 1)
+        copies = np.ones(len(symbols), np.int64) if copies is None else copies
+        at = np.concatenate(([0], np.cumsum(copies[order])))
+        self.n, self.depth = int(at[-1]), depth
+        start, end = at[starts], at[np.append(starts[1:], len(order))]
+        wide = end - start > 1
+        self.start, self.end = start[wide].astype(np.int32), end[wide].astype(np.int32)
+        counts = np.zeros(int(symbols.max(initial=0)) + 1, np.int64)
+        np.add.at(counts, symbols, copies)
         self.before = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int32)
-        self.build(symbols[order - 1], order)  # the last symbol is a separator, and stands before the first
+        self.build(symbols[order - 1], order, at, starts[wide])  # the last symbol is a separator, and stands before the first
 
-    def build(self, bwt: np.ndarray, order: np.ndarray) -> None:
-        """Keeps what ``count`` and ``earliest`` need of the transform and the suffix array."""
+    def build(self, bwt: np.ndarray, order: np.ndarray, at: np.ndarray, groups: np.ndarray) -> None:
+        """Keeps what ``count`` and ``earliest`` need of the transform and the suffix array.
+
+        bwt and order: without copies. at: the first place of each suffix with its copies. groups: which suffixes begin wide groups.
+        """
         raise NotImplementedError
 
     def count(self, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,8 @@ from millrace.llm import repeats
 from millrace.llm.common import Scratch
 from millrace.llm.fm_index import FmIndex
 from millrace.llm.run_index import RunIndex
-from millrace.llm.substrings import dedup_words
-from millrace.llm.suffix_array import dedup_bytes
+from millrace.llm.substrings import Words, dedup_words
+from millrace.llm.suffix_array import Bytes, dedup_bytes
 from millrace.llm.suffixes import suffix_order
 
 
@@ -81,6 +81,50 @@ def test_indexes_find_the_earliest_place_of_each_window(index, kind, depth):
         assert found == {p: min(q) for p, q in same.items() if len(q) > 1}
 
 
+@pytest.mark.parametrize(("index", "kind"), [(FmIndex, np.int64), (RunIndex, np.uint8)])
+def test_copies_count_as_if_they_stood_in_the_text(index, kind):
+    rng, depth = np.random.default_rng(8), 6
+    parts = [rng.integers(1, 4, n).astype(kind) for n in (30, 7, 6, 12, 3)]
+    times = np.array([3, 1, 4, 2, 5])
+    once = np.concatenate([np.append(p, 0) for p in parts]).astype(kind)
+    every = np.concatenate([np.append(p, 0) for p, n in zip(parts, times, strict=True) for _ in range(n)]).astype(kind)
+    made = index(once, depth, np.repeat(times, [len(p) + 1 for p in parts]))
+    assert made.n == len(every)
+    whole = every.tobytes()
+    windows = {whole[i * every.itemsize : (i + depth) * every.itemsize] for i in range(len(every) - depth) if every[i : i + depth].all()}
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    begins, found = ends - [len(p) for p in parts], {}
+    for _, at, group in made.stream(once, begins, ends):
+        for p, g in zip(at.tolist(), group.tolist(), strict=True):
+            found[once[p : p + depth].tobytes()] = int(made.end[g] - made.start[g])
+    counts = {w: sum((every[i : i + depth].tobytes() == w) for i in range(len(every))) for w in windows}
+    assert found == {w: n for w, n in counts.items() if n > 1}
+
+
+def test_runs_of_copies_take_no_more_room():
+    page = np.append(np.random.default_rng(9).integers(1, 200, 400), 0).astype(np.uint8)
+    sizes = {len(RunIndex(page, 100, np.full(len(page), n)).keys) for n in (2, 50, 4000)}
+    assert len(sizes) == 1
+
+
+@pytest.mark.parametrize("kind", [Words(5, 2), Bytes(16, 8)])
+def test_copies_are_judged_by_the_index(kind):
+    rng = np.random.default_rng(10)
+    pages = [b" ".join(b"abcdefgh"[x : x + 2] for x in rng.integers(0, 7, 30)) for _ in range(4)]
+    segments = [pages[n] for n in (0, 1, 0, 2, 2, 1, 0, 3)] + [pages[3][20:], pages[0][30:]]
+    seen, wanted = set(), set()
+    for number, segment in enumerate(segments):
+        symbols = segment.split(b" ") if isinstance(kind, Words) else list(segment)
+        for at in range(len(symbols) - kind.window + 1):
+            window = tuple(symbols[at : at + kind.window])
+            if window in seen:
+                wanted.add((number, at))
+            seen.add(window)
+    which, offset = repeats.repeated_windows(kind, segments)
+    found = list(zip(which.tolist(), offset.tolist(), strict=True))
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
 @pytest.mark.parametrize("index", [FmIndex, RunIndex])
 def test_counts_equal_the_transform(index):
     rng = np.random.default_rng(3)

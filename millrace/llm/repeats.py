@@ -34,8 +34,8 @@ from millrace.functions.workers import map_arrow
 from millrace.llm.common import Scratch, mark_words, row_keys, split_by_marks
 from millrace.llm.suffixes import Matches
 
-#: Bytes of text handled at once, and symbols of an indexed block.
-AT_ONCE, BLOCK = 1 << 20, 1 << 18
+#: Bytes of text handled at once, and symbols of an indexed block: of its different segments, and with their copies.
+AT_ONCE, BLOCK, WITH_COPIES = 1 << 20, 1 << 18, 1 << 21
 #: Windows of one segment; longer runs are cut.
 MOST_WINDOWS = 255
 #: Segments of one minimizer beyond which they are dealt out as windows.
@@ -396,14 +396,14 @@ def repeated_windows(kind: Symbols, segments: list[bytes]) -> tuple[np.ndarray,
     return (np.concatenate(segment), np.concatenate(offset)) if segment else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _merged(ids: np.ndarray, hs: np.ndarray, starts: np.ndarray, width: int) -> pa.RecordBatch:
-    """Spans of windows of ``width`` that overlap or touch, in documents."""
-    order = np.lexsort((starts, hs, ids))
-    ids, hs, starts = ids[order], hs[order], starts[order]
-    fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1]) | (starts[1:] > starts[:-1] + width))) if len(ids) else np.empty(0, bool)
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(ids))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[first], hs[first], starts[first], starts[last] + width - starts[first])], schema=_SPANS)
+def _merged(rows: np.ndarray, which: np.ndarray, offset: np.ndarray, width: int) -> pa.RecordBatch:
+    """Spans of windows of ``width`` that overlap or touch, in segments. rows: (id, hash, start) of each segment."""
+    places = np.sort(which << 9 | offset)  # a segment has no more than MOST_WINDOWS windows
+    which, offset = places >> 9, places & 0x1FF
+    first = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] > offset[:-1] + width)))[: len(places)])
+    last = np.append(first[1:], len(places))[: len(first)] - 1
+    ids, hs, starts = rows[:, which[first]]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hs, starts + offset[first], offset[last] + width - offset[first])], schema=_SPANS)
 
 
 def _indexed(segments: DataFrame, kind: Symbols) -> DataFrame:
@@ -412,20 +412,22 @@ def _indexed(segments: DataFrame, kind: Symbols) -> DataFrame:
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[2:5])
         rows = [r for n, r in enumerate(rows) if not n or r[2:5] != rows[n - 1][2:5]]  # equal rows are one document
-        ids, hs, starts = (np.array(c, np.int64) for c in list(zip(*(r[2:5] for r in rows), strict=True)))
-        which, offset = repeated_windows(kind, [r[1] for r in rows])
-        yield _merged(ids[which], hs[which], starts[which] + offset, kind.window)
+        places = np.array(list(zip(*(r[2:5] for r in rows), strict=True)), np.int64)
+        yield _merged(places, *repeated_windows(kind, [r[1] for r in rows]), kind.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, at = [], 0, None
+        rows, texts, size, whole, at = [], set(), 0, 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > BLOCK and row[0] != at:
+                if (size > BLOCK or whole > WITH_COPIES) and row[0] != at:
                     yield from solve(rows)
-                    rows, size = [], 0
+                    rows, texts, size, whole = [], set(), 0, 0
                 at = row[0]
                 rows.append(row)
-                size += row[5] + kind.window
+                whole += row[5] + kind.window
+                if row[1] not in texts:
+                    texts.add(row[1])
+                    size += row[5] + kind.window
         if rows:
             yield from solve(rows)
 

@@ -68,8 +68,7 @@ class Matches:
         start, end = at[starts], at[np.append(starts[1:], len(order))]
         wide = end - start > 1
         self.start, self.end = start[wide].astype(np.int32), end[wide].astype(np.int32)
-        counts = np.zeros(int(symbols.max(initial=0)) + 1, np.int64)
-        np.add.at(counts, symbols, copies)
+        counts = np.bincount(symbols, copies).astype(np.int64)
         self.before = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int32)
         self.build(symbols[order - 1], order, at, starts[wide])  # the last symbol is a separator, and stands before the first
 

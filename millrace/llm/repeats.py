@@ -310,8 +310,11 @@ def _emit(first: list, others: list, width: int) -> pa.RecordBatch:
 def _cut(met: DataFrame, kind: Symbols) -> DataFrame:
     """Segments of marked runs, copies too. met: (__id, __h, runs, text)."""
 
+    def columns(held: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if f.type == pa.int64() else [x for part in c for x in part], f.type) for c, f in zip(zip(*held, strict=True), _CUTS, strict=True)], schema=_CUTS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        held, size = [], 0
         for batch in batches:
             for given, texts in _groups(batch, kind):
                 for (i, h, runs), text in zip(given, texts, strict=True):
@@ -322,13 +325,14 @@ def _cut(met: DataFrame, kind: Symbols) -> DataFrame:
                     first, ahead, count = first[inside], ahead[inside], count[inside]
                     a, b = begin[first].tolist(), end[first + count + kind.window - 2].tolist()
                     c, d = begin[first + ahead].tolist(), end[first + ahead + kind.gram - 1].tolist()
-                    for x in zip(a, b, c, d, first.tolist(), count.tolist(), strict=True):
-                        rows.append((xxhash.xxh3_64_intdigest(text[x[2] : x[3]]) - (1 << 63), text[x[0] : x[1]], i, h, x[4], x[5]))
+                    grams = np.fromiter((xxhash.xxh3_64_intdigest(text[x:y]) for x, y in zip(c, d, strict=True)), np.uint64, len(c)).view(np.int64)
+                    held.append((grams, [text[x:y] for x, y in zip(a, b, strict=True)], np.full(len(a), i), np.full(len(a), h), first, count))
                     size += len(text)
                     if size > TOGETHER:
-                        yield _emit(rows, [], kind.window)
-                        rows, size = [], 0
-        yield _emit(rows, [], kind.window)
+                        yield columns(held)
+                        held, size = [], 0
+        if held:
+            yield columns(held)
 
     return map_arrow(met.select("__id", "__h", "runs", "text"), run, "m long, segment binary, __id long, __h long, start long, size long")
 
@@ -369,31 +373,45 @@ def _dealt(crowded: DataFrame, kind: Symbols) -> DataFrame:
 
 
 def repeated_windows(kind: Symbols, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of windows that also start earlier among the segments, which come in the order of the corpus.
+    """(segment, offset) of windows that also start earlier among the segments, which come in the order of the corpus."""
+    numbers: dict[bytes, int] = {}
+    text = np.fromiter((numbers.setdefault(s, len(numbers)) for s in segments), np.int64, len(segments))
+    return repeats_among(kind, list(numbers), text)
+
+
+def repeats_among(kind: Symbols, texts: list[bytes], text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of segments given by their texts, which are numbered as they first appear.
 
     The index holds all segments, equal ones too. What it tells of a text holds wherever that text stands, so each text streams once, and
     all segments of it compare their own place with the earliest place that the index gives.
     """
-    numbers: dict[bytes, int] = {}
-    text = np.fromiter((numbers.setdefault(s, len(numbers)) for s in segments), np.int64, len(segments))
-    times = np.bincount(text)
+    times = np.bincount(text, minlength=len(texts))
     members = np.argsort(text, kind="stable")
     lead = np.cumsum(times) - times
-    symbols, sizes = kind.coded(list(numbers))
+    symbols, sizes = kind.coded(texts)
     ends = np.cumsum(sizes + 1) - 1
     begins = ends - sizes
     index = kind.index(symbols, kind.window, np.repeat(times, sizes + 1))
-    segment, offset = [], []
-    for which, at, group in index.stream(symbols, begins, ends):
+
+    def judged(which: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         earliest = index.earliest(group)
         home = np.searchsorted(ends, earliest)
         count = times[which]
         member = members[np.repeat(lead[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         first, ahead, into = (np.repeat(x, count) for x in (members[lead[home]], earliest - begins[home], at - begins[which]))
         late = (first < member) | (first == member) & (ahead < into)
-        segment.append(member[late])
-        offset.append(into[late])
-    return (np.concatenate(segment), np.concatenate(offset)) if segment else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return member[late], into[late]
+
+    found, told, waiting = [], [], 0
+    for step in index.stream(symbols, begins, ends):
+        told.append(step)
+        waiting += int(times[step[0]].sum())
+        if waiting > AT_ONCE >> 2:
+            found.append(judged(*map(np.concatenate, zip(*told, strict=True))))
+            told, waiting = [], 0
+    if told:
+        found.append(judged(*map(np.concatenate, zip(*told, strict=True))))
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _merged(rows: np.ndarray, which: np.ndarray, offset: np.ndarray, width: int) -> pa.RecordBatch:
@@ -409,27 +427,50 @@ def _merged(rows: np.ndarray, which: np.ndarray, offset: np.ndarray, width: int)
 def _indexed(segments: DataFrame, kind: Symbols) -> DataFrame:
     """Spans of repeated windows, found in blocks of whole minimizers."""
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: r[2:5])
-        rows = [r for n, r in enumerate(rows) if not n or r[2:5] != rows[n - 1][2:5]]  # equal rows are one document
-        places = np.array(list(zip(*(r[2:5] for r in rows), strict=True)), np.int64)
-        yield _merged(places, *repeated_windows(kind, [r[1] for r in rows]), kind.window)
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = pa.Table.from_batches(held).combine_chunks()
+        places = np.stack([block.column(c).to_numpy() for c in ("__id", "__h", "start")])
+        segments = block.column("segment").combine_chunks()
+        segments = (segments.chunk(0) if isinstance(segments, pa.ChunkedArray) else segments).dictionary_encode()
+        order = np.lexsort(places[::-1])
+        places, text = places[:, order], segments.indices.to_numpy()[order]
+        fresh = np.concatenate(([True], (places[:, 1:] != places[:, :-1]).any(axis=0)))  # equal rows are one document
+        places, text = places[:, fresh], text[fresh]
+        values, first, text = np.unique(text, return_index=True, return_inverse=True)
+        rank = np.argsort(first)  # texts by their first place in the corpus
+        number = np.empty(len(rank), np.int64)
+        number[rank] = np.arange(len(rank))
+        return _merged(places, *repeats_among(kind, segments.dictionary.take(pa.array(values[rank])).to_pylist(), number[text]), kind.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, texts, size, whole, at = [], set(), 0, 0, None
+        held, size, whole, at = [], 0, 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (size > BLOCK or whole > WITH_COPIES) and row[0] != at:
-                    yield from solve(rows)
-                    rows, texts, size, whole = [], set(), 0, 0
-                at = row[0]
-                rows.append(row)
-                whole += row[5] + kind.window
-                if row[1] not in texts:
-                    texts.add(row[1])
-                    size += row[5] + kind.window
-        if rows:
-            yield from solve(rows)
+            n = batch.num_rows
+            if not n:
+                continue
+            m, long = batch.column(0).to_numpy(), batch.column(5).to_numpy() + kind.window
+            codes = batch.column(1).dictionary_encode().indices.to_numpy()
+            new = np.zeros(n, np.int64)
+            once = np.unique(codes, return_index=True)[1]
+            new[once] = long[once]
+            sizes, wholes = (np.concatenate(([0], np.cumsum(x))) for x in (new, long))
+            starts = np.flatnonzero(np.concatenate(([m[0] != at], m[1:] != m[:-1])))
+            at, begin = m[-1], 0
+            while True:
+                full = min(np.searchsorted(sizes, sizes[begin] + BLOCK - size, "right"), np.searchsorted(wholes, wholes[begin] + WITH_COPIES - whole, "right"))
+                cut = np.searchsorted(starts, max(full, begin))
+                if cut == len(starts):
+                    break
+                cut = int(starts[cut])
+                if cut > begin:
+                    held.append(batch.slice(begin, cut - begin))
+                if held:
+                    yield solve(held)
+                held, size, whole, begin = [], 0, 0, cut
+            held.append(batch.slice(begin))
+            size, whole = size + int(sizes[n] - sizes[begin]), whole + int(wholes[n] - wholes[begin])
+        if held:
+            yield solve(held)
 
     return map_arrow(segments.repartition("m").sortWithinPartitions("m"), run, "__id long, __h long, start long, size long")
 

@@ -15,13 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks of keys from 0, equal keys alike."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    ranks = np.empty(len(keys), np.int64)
-    ranks[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-    return ranks
+def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by their keys of so many bits, equal keys by place, and the keys in that order."""
+    width = len(keys).bit_length()
+    if bits + width < 64:  # key and place in one number: no indirect sort
+        packed = np.sort(keys << width | np.arange(len(keys)))
+        return packed & ((1 << width) - 1), packed >> width
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
 
 
 def _ahead(values: np.ndarray, by: int) -> np.ndarray:
@@ -37,19 +38,21 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
 
     symbols: positive integers; 0 separates sequences. Ranks of ever longer beginnings are made from those of shorter ones.
     """
-    if symbols.dtype == np.uint8 and depth >= 8:
+    if symbols.dtype == np.uint8 and depth >= 5:
         padded = np.concatenate((symbols, np.zeros(8, np.uint8)))
-        ranks, reach = _dense(np.ndarray((len(symbols),), ">u8", padded.tobytes(), 0, (1,)).astype(np.uint64)), 8
+        keys, reach = np.ndarray((len(symbols),), ">u8", padded.tobytes(), 0, (1,)).astype(np.int64) >> 24 & 0xFFFFFFFFFF, 5
     else:
-        ranks, reach = symbols.astype(np.int64), 1
-    while reach < depth:
+        keys, reach = symbols.astype(np.int64), 1
+    while True:
+        order, ordered = _sorted(keys, int(keys.max(initial=0)).bit_length())
+        fresh = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(order)]
+        if reach >= depth:
+            return order, np.flatnonzero(fresh)
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.cumsum(fresh) - 1
         more = min(reach, depth - reach)
-        ranks = _dense(ranks * (int(ranks.max()) + 1) + _ahead(ranks, more))
+        keys = ranks << int(fresh.sum()).bit_length() | _ahead(ranks, more)
         reach += more
-    n = len(ranks)
-    order = np.sort(ranks * n + np.arange(n))
-    ranks = order // n
-    return order - ranks * n, np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
 
 
 class Matches:
@@ -87,11 +90,26 @@ class Matches:
         """Where in the text the first suffix of wide groups begins."""
         raise NotImplementedError
 
-    def groups(self, at: np.ndarray) -> np.ndarray:
+    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Intervals with a symbol more before them. ``hint`` is what an index likes to know of ``low``."""
+        # An interval of one suffix goes on with the symbol before it: one count will do.
+        wide = np.flatnonzero(high - low > 1)
+        before, here = self.count(np.concatenate((symbol, symbol[wide])), np.concatenate((low, high[wide])))
+        first = self.before[symbol]
+        new_low = first + before[: len(low)]
+        new_high = new_low + here[: len(low)]
+        new_high[wide] = first[wide] + before[len(low) :]
+        return new_low, new_high, hint
+
+    def groups(self, at: np.ndarray, hint: np.ndarray) -> np.ndarray:
         """The wide group that each place of the order lies in, or -1."""
         found = np.searchsorted(self.start, at, "right") - 1
         return np.where((found >= 0) & (at < self.end[found]), found, -1) if len(self.start) else np.full(len(at), -1)
 
+    def hints(self, group: np.ndarray) -> np.ndarray:
+        """The hints of wide groups' starts."""
+        return np.zeros(len(group), np.int64)
+
     def stream(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of sequences that the index holds, from right to left, all sequences at once.
 
@@ -99,25 +117,17 @@ class Matches:
         """
         at = ends - 1
         low, high, length = np.zeros(len(starts), np.int64), np.full(len(starts), self.n), np.zeros(len(starts), np.int64)
+        hint = np.zeros(len(starts), np.int64)
         live = np.flatnonzero(at >= starts)
         while len(live):
-            symbol = symbols[at[live]].astype(np.int64)
-            low_, high_ = low[live], high[live]
-            # An interval of one suffix goes on with the symbol before it: one count will do.
-            wide = np.flatnonzero(high_ - low_ > 1)
-            before, here = self.count(np.concatenate((symbol, symbol[wide])), np.concatenate((low_, high_[wide])))
-            first = self.before[symbol]
-            new_low = first + before[: len(live)]
-            new_high = new_low + here[: len(live)]
-            new_high[wide] = first[wide] + before[len(live) :]
-            low[live], high[live] = new_low, new_high
+            low[live], high[live], hint[live] = self.step(symbols[at[live]].astype(np.int64), low[live], high[live], hint[live])
             length[live] += 1
             full = live[length[live] >= self.depth]
             if len(full):
-                group = self.groups(low[full])
+                group = self.groups(low[full], hint[full])
                 met = group >= 0
                 full, group = full[met], group[met]
-                low[full], high[full] = self.start[group], self.end[group]
+                low[full], high[full], hint[full] = self.start[group], self.end[group], self.hints(group)
                 yield full, at[full], group
             at[live] -= 1
             live = live[at[live] >= starts[live]]

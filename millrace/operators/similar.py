@@ -20,23 +20,24 @@ def popular(pairs: DataFrame, n: int | None = 10) -> DataFrame:
     return totals.limit(n) if n else totals
 
 
-#: Items of a user from which on the user's pairs are dealt out, and to how many tasks.
-BUSY, DEALS = 1000, 32
+#: Items of a user from which on the user's pairs are dealt out, and items of a group that meets another at once.
+BUSY, GROUP = 1000, 1000
 
 
-def cosine(pairs: DataFrame, busy: int = BUSY, deals: int = DEALS) -> DataFrame:
+def cosine(pairs: DataFrame, busy: int = BUSY, group: int = GROUP) -> DataFrame:
     """(a, b, score) for each two items that some user has both of, in both directions.
 
-    Users join with themselves, so items without a common user make no row. Each unordered pair is summed once. Pairs of users with more than
-    ``busy`` items are dealt out by their first item: no user's pairs are one task's work.
+    Users join with themselves, so items without a common user make no row. Each unordered pair is summed once. Items of users with more than
+    ``busy`` are dealt into groups of about ``group``, and each two groups meet by themselves: no user's pairs are one task's work, tasks are as
+    many as the square of a basket asks for, and an item goes to no more of them than the user has groups.
     """
-    many = pairs.groupBy("user_id").agg(F.count("*").alias("items")).where(F.col("items") > busy).select("user_id", F.lit(True).alias("many"))
-    dealt = pairs.join(many, "user_id", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    own = F.when(F.col("many"), F.pmod(F.hash("product_id"), F.lit(deals))).otherwise(0)
-    every = F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(deals - 1))).otherwise(F.array(F.lit(0))))
-    left = dealt.select("user_id", own.alias("deal"), F.col("product_id").alias("a"), F.col("weight").alias("wa"))
-    right = dealt.select("user_id", every.alias("deal"), F.col("product_id").alias("b"), F.col("weight").alias("wb"))
-    dots = left.join(right, ["user_id", "deal"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    items = F.count("*").over(Window.partitionBy("user_id"))
+    groups = F.when(items > busy, F.ceil(items / group)).otherwise(1).cast("int")
+    dealt = pairs.withColumn("groups", groups).withColumn("own", F.pmod(F.hash("product_id"), F.col("groups")))
+    left = dealt.select("user_id", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("groups") - 1)).alias("j"), F.col("product_id").alias("a"), F.col("weight").alias("wa"))
+    right = dealt.select("user_id", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("product_id").alias("b"), F.col("weight").alias("wb"))
+    met = left.join(right, ["user_id", "i", "j"]).where("i < j or a < b")
+    dots = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     norms = pairs.groupBy("product_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     scored = dots.join(norms.select(F.col("product_id").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("product_id").alias("b"), F.col("norm").alias("nb")), "b")
     scored = scored.select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score")).where("score > 0")

@@ -31,7 +31,7 @@ ROUNDS, SCALE_ROUNDS, KEEP, TEMPER = 12, 6, 0.5, 0.5
 SETTLED = 1e-9
 #: Languages times topics at most: their sums and factors pass through the driver, whose plan holds them as literals.
 MOST_PAIRS = 10_000
-ADDED = ("topic", "n_words", "probability", "kept")
+ADDED = ("topic", "n_words", "probability", "kept", "raking_error")
 
 
 def words(text: Column) -> Column:
@@ -137,15 +137,18 @@ def draw(doc_id: Column, salt: str = "mix") -> Column:
 
 
 def mix(docs: DataFrame, scratch: Scratch, topic: str | None = None, **targets) -> DataFrame:
-    """The documents with ``topic``, ``n_words``, ``probability`` and ``kept``."""
+    """The documents with ``topic``, ``n_words``, ``probability``, ``kept`` and ``raking_error``.
+
+    The last is one value: by how much of itself some factor still moved in the last round. Above ``SETTLED``, the shares are off by about as much.
+    """
     marked = cells_of(docs, topic)
     cells = marked.groupBy("__source", "__lang", "topic").agg(F.sum("n_words").alias("weight"))
-    rates, pairs, _ = rake(cells, scratch, **targets)
+    rates, pairs, moved = rake(cells, scratch, **targets)
     of_pair = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for (a, b), f in pairs.items() for x in (f"{a}\x1f{b}", f))), F.concat_ws("\x1f", "__lang", "topic")), F.lit(0.0)) if pairs else F.lit(0.0)
     # Sources are as few or many as the data has: Spark broadcasts their rates only if their size allows.
     met = marked.join(rates, "__source", "left")
     p = F.least(F.lit(1.0), F.coalesce(F.col("__rate"), F.lit(0.0)) * of_pair)
-    return met.withColumn("probability", p).withColumn("kept", draw(F.col("doc_id")) < F.col("probability")).drop("__source", "__lang", "__rate")
+    return met.withColumn("probability", p).withColumn("kept", draw(F.col("doc_id")) < F.col("probability")).withColumn("raking_error", F.lit(float(moved))).drop("__source", "__lang", "__rate")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

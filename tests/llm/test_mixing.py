@@ -40,3 +40,12 @@ def test_raking_settles_and_reports_its_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PAIRS", 2)
     with pytest.raises(ValueError, match="pairs of language and topic"):
         rake(cells, Scratch(spark, "t"))
+
+
+def test_documents_carry_the_raking_error(spark, empty):
+    rows = [(i, "word " * (3 + i % 4), ("en", "en", "de", "fr")[i % 4], ("a", "b")[i % 4 == 0 or i % 7 == 0], 9.0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, raking_error double")
+    errors = [{r.raking_error for r in mix(docs, Scratch(spark, "t"), rounds=n).collect()} for n in (1, 60)]
+    assert all(len(e) == 1 for e in errors)
+    assert errors[0].pop() > mixing.SETTLED > errors[1].pop() >= 0
+    assert "raking_error" in mix(empty, Scratch(spark, "t")).columns

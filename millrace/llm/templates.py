@@ -5,10 +5,8 @@ variable fields); under each leaf, lines alike in at least ``alike`` of their to
 template whose differing tokens become fields. Lines of fewer than ``min_tokens`` tokens are told from chance by all their tokens only: each
 is a template of its own, without fields.
 
-A leaf of more than ``CROWD`` different lines is parsed by shapes: a token that fewer than ``min_docs`` lines of the leaf have at its place is no part of a
-recurring template but in a field, so that lines which differ in such tokens only are one shape, and lines with more of them than ``alike`` allows can have no
-recurring template and go. What a field holds and where it stands makes no difference. Only if more than ``CROWD`` different shapes are left, of lines that frequent
-tokens tell apart, are these split by ever more of their leading tokens.
+A leaf is parsed whole, whatever its size: each of its lines is held against all templates so far. Beyond ``CROWD`` templates those that can be
+alike enough are looked up by the tokens at their places; the rest would fall short, so that only the work depends on it.
 
 A template recurs if at least ``min_docs`` documents that are different texts have it, and at least one in ``NOISE`` of the texts with it is one: copies and
 near-copies of one document are no boilerplate. What a document is beside a line is told by ``SKETCH`` least hashes of the word shingles
@@ -26,8 +24,10 @@ lines; other columns pass through unchanged (those named like the added ones are
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,11 +41,11 @@ from millrace.llm.common import Scratch, mark_words, marked, marks, row_keys, sp
 MIN_DOCS, MIN_TOKENS, DEPTH, ALIKE = 5, 4, 3, 0.7
 #: Least hashes that stand for a document, and texts with a template of which one at least must be different.
 SKETCH, NOISE = 8, 50
-#: Different lines of a leaf beyond which it is parsed by shapes, and shapes beyond which it is split.
-CROWD = 10_000
+#: Templates of a leaf beyond which those that can be alike enough are looked up; the templates stay the same.
+CROWD = 64
 #: Characters of text whose lines are hashed at once.
 AT_ONCE = 1 << 20
-FIELD, RARE = "<*>", "<?>"
+FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xA0B428DB36C2F9D7)]
 
@@ -153,100 +153,109 @@ def _lines(docs: DataFrame, busy: np.ndarray, min_tokens: int, depth: int) -> Da
 
 
 class Leaf:
-    """Templates of one leaf; fields match no token by themselves, and what is rare matches nothing."""
+    """Templates of one leaf; fields match no token by themselves."""
 
-    def __init__(self, alike: float) -> None:
-        self.alike, self.shapes, self.used, self.words = alike, np.zeros((4, 0), np.int64), 0, []
+    def __init__(self, alike: float, depth: int = DEPTH, crowd: int = CROWD) -> None:
+        self.alike, self.depth, self.crowd = alike, depth, crowd
+        self.shapes, self.used, self.lines = np.zeros((4, 0), np.int64), 0, []
+        #: Templates that have, or had, a token at a place; empty up to ``crowd`` templates.
+        self.having: dict[int, int | array] = {}
 
     def take(self, masked: str) -> int:
         """The template of a line, which is widened by it or made from it."""
-        tokens = masked.split(" ")
-        # Each template made so far has another code for what is rare.
-        codes = np.array([0 if t == FIELD else -2 - self.used if t == RARE else xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) >> 1 | 1 for t in tokens], np.int64)
+        codes = np.array([0 if t == FIELD else xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) >> 1 | 1 for t in masked.split(" ")], np.int64)
         if self.used:
-            same = self.shapes[: self.used] == codes
+            near = self._candidates(codes)
+            same = (self.shapes[: self.used] if near is None else self.shapes[near]) == codes
             score = same.sum(axis=1)
-            best = int(np.argmax(score))
-            if score[best] >= self.alike * len(tokens):
-                self.shapes[best][~same[best]] = 0
-                return best
+            best = int(np.argmax(score)) if len(score) else -1
+            if best >= 0 and score[best] >= self.alike * len(codes):
+                at = best if near is None else int(near[best])
+                self._widen(at, ~same[best])
+                return at
+        return self._add(codes, masked)
+
+    def _candidates(self, codes: np.ndarray) -> np.ndarray | None:
+        """Templates in order that hold all which are alike enough to a line; None for all of them.
+
+        All lines of a leaf agree in their leading tokens. Of the others, ``need`` at least must agree, so that a template which is alike enough
+        has two of any ``len - need + 2`` of them (one, if these are more than there are): the rarest are looked up.
+        """
+        need = math.ceil(self.alike * len(codes) - 1e-9) - self.depth
+        if self.used <= self.crowd or need <= 0:
+            return None
+        if not self.having:
+            for at in range(self.used):
+                self._index(at, range(self.depth, len(codes)))
+        found = [self.having.get(k, ()) for k in self._keys(codes, range(self.depth, len(codes)))]
+        found = sorted(([x] if isinstance(x, int) else x for x in found), key=len)[: len(codes) - self.depth - need + 2]
+        least = len(found) - (len(codes) - self.depth - need)
+        values, counts = np.unique(np.concatenate([np.array(x, np.int64) for x in found]), return_counts=True)
+        return values[counts >= least]
+
+    def _keys(self, codes: np.ndarray, places: Iterable[int]) -> list[int]:
+        """Tokens with their places."""
+        return [hash((p, int(codes[p]))) for p in places]
+
+    def _index(self, at: int, places: Iterable[int]) -> None:
+        for k in self._keys(self.shapes[at], places):
+            before = self.having.get(k)
+            if before is None:
+                self.having[k] = at
+            elif isinstance(before, int):
+                self.having[k] = array("q", (before, at))
+            else:
+                before.append(at)
+
+    def _widen(self, at: int, differ: np.ndarray) -> None:
+        """Makes places of a template fields."""
+        new = np.flatnonzero(differ & (self.shapes[at] != 0))
+        self.shapes[at, new] = 0
+        if self.having:
+            self._index(at, new.tolist())
+
+    def _add(self, codes: np.ndarray, masked: str) -> int:
         if self.used == len(self.shapes) or not self.used:
-            grown = np.zeros((max(4, 2 * self.used), len(tokens)), np.int64)
+            grown = np.zeros((max(4, 2 * self.used), len(codes)), np.int64)
             if self.used:
                 grown[: self.used] = self.shapes[: self.used]
             self.shapes = grown
         self.shapes[self.used] = codes
-        self.words.append(tokens)
+        self.lines.append(masked)
         self.used += 1
+        if self.having:
+            self._index(self.used - 1, range(self.depth, len(codes)))
         return self.used - 1
 
     def shown(self, template: int) -> str:
         """A template with its fields."""
-        return " ".join(w if c else FIELD for w, c in zip(self.words[template], self.shapes[template], strict=True))
+        return " ".join(w if c else FIELD for w, c in zip(self.lines[template].split(" "), self.shapes[template], strict=True))
 
 
-def _templates(distinct: DataFrame, alike: float) -> DataFrame:
-    """(leaf, line, at, template) for distinct (leaf, line, masked, at): numbers of templates within the leaf ``at``."""
+def _templates(distinct: DataFrame, depth: int, alike: float, crowd: int) -> DataFrame:
+    """(leaf, line, template) for distinct (leaf, line, masked): numbers of templates within the leaf."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaf = None, Leaf(alike)
+        at, leaf = None, Leaf(alike, depth, crowd)
         for batch in batches:
             found = []
-            for key, masked in zip(batch["at"].tolist(), batch["masked"], strict=True):
+            for key, masked in zip(batch["leaf"].tolist(), batch["masked"], strict=True):
                 if key != at:
-                    at, leaf = key, Leaf(alike)
+                    at, leaf = key, Leaf(alike, depth, crowd)
                 found.append(leaf.take(masked))
-            yield pd.DataFrame({"leaf": batch["leaf"], "line": batch["line"], "at": batch["at"], "template": np.array(found, np.int32)})
-
-    return map_pandas(distinct.repartition("at").sortWithinPartitions("at", "line"), run, "leaf long, line long, at long, template int")
-
-
-def _shapes(distinct: DataFrame, min_docs: int, depth: int, alike: float, scratch: Scratch) -> DataFrame:
-    """(leaf, line, shape, masked) of distinct lines (leaf, line, masked, times): a line's own in most leaves, its frequent tokens in crowded ones."""
-    crowded = scratch.save(distinct.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("leaf"), "crowded")
-    own = distinct.select("leaf", "line", F.col("line").alias("shape"), "masked")
-    if crowded.isEmpty():
-        return own
-    many = distinct.join(crowded.hint("merge"), "leaf", "left_semi")
-    tokens = F.split("masked", " ")
-    # The leading tokens are the same all over the leaf.
-    each = many.select("leaf", "line", "times", F.posexplode(F.slice(tokens, depth + 1, F.size(tokens))).alias("place", "token"))
-    often = each.groupBy("leaf", "place", "token").agg(F.sum("times").alias("f")).where(F.col("f") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("often"))
-    told = each.join(often, ["leaf", "place", "token"], "left").groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("often"), F.col("token")).otherwise(RARE).alias("t")))).alias("x"), F.count_if(F.col("often").isNull()).alias("rare"))
-    shaped = many.join(told, ["leaf", "line"], "left").where(F.coalesce("rare", F.lit(0)) <= (1 - alike) * F.size(tokens) + 1e-9)
-    shaped = shaped.withColumn("masked", F.array_join(F.concat(F.slice(tokens, 1, depth), F.coalesce(F.transform("x", lambda s: s["t"]), F.array().cast("array<string>"))), " "))
-    shaped = shaped.select("leaf", "line", F.xxhash64("masked").alias("shape"), "masked")
-    return scratch.save(shaped.unionByName(own.join(crowded.hint("merge"), "leaf", "left_anti")), "shapes")
-
-
-def _split(distinct: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
-    """The shapes (leaf, line, masked) with ``at``: their leaf, crowded ones split by more leading tokens."""
-    out = distinct.withColumn("at", F.col("leaf"))
-    tokens = F.split("masked", " ")
-    for turn in range(1, 32):
-        crowded = out.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(F.col("at").alias("crowded"))
-        words = scratch.save(mark_words(crowded, "crowded"), f"crowded-{turn}")
-        if words.isEmpty():
-            return out
-        many, rest = split_by_marks(out, words, "at")
-        # One token further at first, then ever more; lines whose tokens are all used are leaves of their own.
-        deep = depth + turn if turn <= 8 else depth + 8 << turn - 8
-        finer = many.withColumn("at", F.when(F.size(tokens) >= deep, F.xxhash64("at", F.slice(tokens, 1, deep))).otherwise(F.xxhash64("at", "line")))
-        out = scratch.save(finer.unionByName(rest), f"split-{turn}")
-    return out
+            yield pd.DataFrame({"leaf": batch["leaf"], "line": batch["line"], "template": np.array(found, np.int32)})
+
+    return map_pandas(distinct.repartition("leaf").sortWithinPartitions("leaf", "line"), run, "leaf long, line long, template int")
 
 
 def recurring(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, alike: float = ALIKE) -> DataFrame:
     """(__id, __h, number): the lines of recurring templates. docs: with row_keys."""
     busy = marks(_leaves(docs, min_tokens, depth).where(F.col("n") >= min_docs), "leaf")
     lines = scratch.save(_lines(docs, busy, min_tokens, depth), "lines")
-    distinct = scratch.save(lines.groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("times")), "distinct")
-    shapes = _shapes(distinct, min_docs, depth, alike, scratch)
-    different = shapes.groupBy("leaf", F.col("shape").alias("line")).agg(F.min("masked").alias("masked"))
-    templates = scratch.save(_templates(_split(different, depth, scratch), alike), "templates").withColumnRenamed("line", "shape")
-    templates = templates.join(shapes.select("leaf", "line", "shape").hint("merge"), ["leaf", "shape"]).drop("shape")
+    distinct = lines.groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
+    templates = scratch.save(_templates(distinct, depth, alike, CROWD), "templates")
     placed = lines.select("__id", "__h", "number", "leaf", "line", "kinds").join(templates.hint("merge"), ["leaf", "line"])
-    placed = scratch.save(placed.select("__id", "__h", "number", F.xxhash64("at", "template").alias("t"), "kinds"), "placed")
+    placed = scratch.save(placed.select("__id", "__h", "number", F.xxhash64("leaf", "template").alias("t"), "kinds"), "placed")
     # The first document with a hash stands for all; who stands for itself in half of them is a text of its own.
     each = placed.select("t", F.xxhash64("__id", "__h").alias("d"), F.posexplode("kinds").alias("j", "kind"))
     first = each.groupBy("t", "j", "kind").agg(F.min("d").alias("d"))

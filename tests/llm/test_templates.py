@@ -146,6 +146,32 @@ def test_against_a_plain_tree(spark, documents):
         assert found[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in wanted[i])
 
 
+@pytest.mark.parametrize("n", [4, 5, 6, 10, 17])
+def test_templates_looked_up_are_those_of_all(n):
+    rng = random.Random(n)
+    words = [w + "abc"[i % 3] for i, w in enumerate(prose(rng, 12).split())] + ["<*>"] * 3
+    lines = list({" ".join(["one", "<*>", "three", *(rng.choice(words[: rng.choice((3, 15))] + ["<*>"]) for _ in range(n - 3))]) for _ in range(1500)})
+    for alike in (0.7, 0.9):
+        plain, quick = Leaf(alike, crowd=10**9), Leaf(alike, crowd=5)
+        assert [plain.take(x) for x in lines] == [quick.take(x) for x in lines]
+        assert all(plain.shown(i) == quick.shown(i) for i in range(plain.used)) and plain.used == quick.used
+
+
+@pytest.mark.parametrize("crowd", [20, 10_000])
+def test_large_leaves_equal_a_plain_tree(spark, documents, monkeypatch, crowd):
+    """One leaf of lines that rare, common and variable tokens tell apart."""
+    monkeypatch.setattr(templates, "CROWD", crowd)
+    rng = random.Random(4)
+    texts = []
+    for i in range(150):
+        ends = [rng.choice((f"q{'abcdefghij'[i % 10]}{'abcdefghijklmno'[i // 10]}", "red", "blue", "green", "7")) for _ in range(14)]
+        texts.append("\n".join([prose(rng, 40), *(" ".join(["One", "of", "these", *ends[k : k + 7]]) for k in (0, 7))]))
+    found, wanted = kept(spark, documents(*texts)), naive(texts)
+    assert 0 < sum(map(len, wanted)) < 300
+    for i, t in enumerate(texts):
+        assert found[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in wanted[i])
+
+
 def test_awkward_and_empty(spark, awkward, empty):
     assert drop_recurring(awkward, Scratch(spark, "t")).count() == awkward.count()
     assert drop_recurring(empty, Scratch(spark, "t")).count() == 0

@@ -9,6 +9,7 @@ counted in ``BUCKETS`` buckets), and what passes is verified with the whole sets
 
 Links need to connect groups, not to name all pairs: crowds of more than ``SMALL`` texts first grow trees, and
 after these are verified, texts of a crowd are compared with all that they are not connected to yet, each pair under the first crowded member it shares.
+Where SimHash goes before (``firsts``), its links are verified in the same way, and the texts they connect are not compared again.
 
 Defined cases: null counts as empty. Texts without words are alike; texts of fewer words than a shingle are one shingle. Texts of equal sets' names
 (for shingles: of equal words) are one node, so copies make no pairs. Rows with equal id and text are one document; a null id is no component's name if there is another; other columns are
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.workers import map_arrow, map_pandas
+from millrace.llm import simhash
 from millrace.llm.common import Scratch, marked, marks, whole_texts
 from millrace.llm.components import components
 
@@ -337,8 +339,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: Sets, similarity: float,
     return found
 
 
-def links(docs: DataFrame, scratch: Scratch, sets: Sets, similarity: float = 0.8) -> DataFrame:
-    """(a, b): pairs of similar nodes that connect all nodes that similar pairs connect."""
+def links(docs: DataFrame, scratch: Scratch, sets: Sets, similarity: float = 0.8, likely: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs of similar nodes that connect all nodes that similar pairs connect.
+
+    likely: pairs (a, b) of nodes found in another way. They are verified first, and what they connect does not meet again.
+    """
+    known = None if likely is None else _verified(likely, docs, sets, similarity, scratch, "likely")
     keys = _keys(docs, _common(docs, sets, similarity), sets, similarity)
     shared = scratch.save(map_arrow(keys.repartition("key").sortWithinPartitions("key", "node"), _shared, "key long, node long, size int, most int, n long"), "shared")
     sketches = scratch.save(_of_nodes(docs, sets, shared, sketch, "sketch"), "sketches")
@@ -354,21 +360,29 @@ def links(docs: DataFrame, scratch: Scratch, sets: Sets, similarity: float = 0.8
         rows = rows.select(*columns)
         return map_arrow(rows.repartition("key").sortWithinPartitions("key"), _meet(similarity, trees), "a long, b long")
 
-    found = _verified(met(shared.withColumn("root", F.col("node")), True), docs, sets, similarity, scratch, "first")
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    first = shared.withColumn("root", F.col("node")) if known is None else rooted(shared, components(known, scratch))
+    found = _verified(met(first, True), docs, sets, similarity, scratch, "first")
+    if known is not None:
+        found = known.unionByName(found)
     if not crowds.isEmpty():
-        roots = components(found, scratch)
-        rooted = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = found.unionByName(_verified(met(rooted, False), docs, sets, similarity, scratch, "rest"))
+        found = found.unionByName(_verified(met(rooted(crowds, components(found, scratch)), False), docs, sets, similarity, scratch, "rest"))
     scratch.drop("shared")
     scratch.drop("sketches")
     return found
 
 
-def similar(docs: DataFrame, scratch: Scratch, sets: Sets = Shingles(), similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): component_id is the least id reachable over links of near-duplicates."""
+def similar(docs: DataFrame, scratch: Scratch, sets: Sets = Shingles(), similarity: float = 0.8, prints: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id): component_id is the least id reachable over links of near-duplicates.
+
+    prints: (doc_id, bits), SimHash fingerprints, which texts of equal sets' names must share. Pairs that they link are verified first; what they miss, this join finds.
+    """
     named = scratch.save(_named(docs, sets), "nodes")
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("first"))
-    roots = components(links(docs, scratch, sets, similarity), scratch)
+    likely = None if prints is None else simhash.spanning(nodes.join(prints.withColumnRenamed("doc_id", "first").distinct(), "first").select("node", "bits"), scratch)
+    roots = components(links(docs, scratch, sets, similarity, likely), scratch)
     rooted = scratch.save(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     found = scratch.save(rooted.join(least.hint("merge"), "root").select("node", "component_id"), "named")
@@ -376,8 +390,12 @@ def similar(docs: DataFrame, scratch: Scratch, sets: Sets = Shingles(), similari
 
 
 def firsts(docs: DataFrame, scratch: Scratch, sets: Sets = Shingles(), similarity: float = 0.8) -> DataFrame:
-    """(__id, __h) of one row of each group of similar texts: the least id, null last, then the least hash. docs: with row_keys."""
+    """(__id, __h) of one row of each group of similar texts: the least id, null last, then the least hash. docs: with row_keys.
+
+    SimHash links what it can, which is then verified; the join of sets finds the rest.
+    """
     alone = docs.select(F.col("__h").alias("doc_id"), "text")
-    groups = scratch.save(similar(alone, scratch, sets, similarity).distinct().withColumnsRenamed({"doc_id": "__h", "component_id": "__group"}), "groups")
+    prints = scratch.save(simhash.fingerprints(alone), "prints")
+    groups = scratch.save(similar(alone, scratch, sets, similarity, prints).distinct().withColumnsRenamed({"doc_id": "__h", "component_id": "__group"}), "groups")
     rows = docs.select("__id", "__h", F.col("doc_id").isNull().alias("unnamed")).join(groups.hint("merge"), "__h")
     return rows.groupBy("__group").agg(F.min(F.struct("unnamed", "__id", "__h")).alias("first")).select("first.__id", "first.__h")

@@ -170,8 +170,8 @@ def _halfway(crowd: DataFrame, distance: int) -> DataFrame:
     return met.select(F.col("bits").alias("a"), F.col("least").alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * (distance // 2 + distance % 2)).distinct()
 
 
-def linked(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int = 7) -> DataFrame:
-    """(bits, root): component of each fingerprint that has links and isn't its least one.
+def links(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """(a, b): fingerprints of at most ``distance`` differing bits, which connect all that such pairs connect; hubs are at b.
 
     prints: (bits), repeats allowed. ``distance`` must be even, for the halfway values of crowds.
     """
@@ -182,10 +182,23 @@ def linked(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int =
     met = map_arrow(spread.repartition("key").sortWithinPartitions("key", "bits"), _meetings(distance), "a long, b long")
     met = scratch.save(met, "met")
     crowd = scratch.save(met.where("b is null").select(F.col("a").alias("bits")).distinct(), "crowd")
-    links = met.where("b is not null")
-    if not crowd.isEmpty():
-        links = links.unionByName(_halfway(crowd, distance))
-    return components(links, scratch).select(F.col("node").alias("bits"), "root")
+    found = met.where("b is not null").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return found if crowd.isEmpty() else found.unionByName(_halfway(crowd, distance))
+
+
+def linked(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """(bits, root): component of each fingerprint that has links and isn't its least one."""
+    return components(links(prints, scratch, distance, blocks), scratch).select(F.col("node").alias("bits"), "root")
+
+
+def spanning(prints: DataFrame, scratch: Scratch, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """(a, b): pairs of nodes whose fingerprints are linked, which connect all nodes of linked fingerprints. prints: (node, bits)."""
+    first = scratch.save(prints.groupBy("bits").agg(F.min("node").alias("first")), "first-of-bits")
+    alike = prints.join(first.hint("merge"), "bits").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = links(first, scratch, distance, blocks).distinct()
+    for end in ("a", "b"):
+        found = found.join(first.select(F.col("bits").alias(end), F.col("first").alias(f"{end}_first")).hint("merge"), end)
+    return scratch.save(alike.unionByName(found.select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))), "spanning")
 
 
 def group(docs: DataFrame, scratch: Scratch, words: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:

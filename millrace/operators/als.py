@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.weights import CLICKSTREAM_WEIGHTS, weight
+from millrace.operators.inner_products import best
 
 #: Fixed values of the model.
 RANK, ROUNDS, REGULARISATION, ALPHA, SEED, TOP, LEAST_ITEMS = 10, 10, 0.1, 1.0, 42, 10, 5
@@ -44,9 +45,9 @@ def fit(train: DataFrame) -> ALSModel:
 
 
 def top(model: ALSModel, users: DataFrame, n: int) -> DataFrame:
-    """(user_id, product_id, score): the model's ``n`` best items of the given users, seen items included."""
-    found = model.recommendForUserSubset(users.select(F.col("user_id").cast("int").alias("user_id")).distinct(), n)
-    return found.select(F.col("user_id").cast("bigint").alias("user_id"), F.explode("recommendations").alias("r")).select("user_id", F.col("r.product_id").cast("bigint").alias("product_id"), F.col("r.rating").cast("double").alias("score"))
+    """(user_id, product_id, score): the model's ``n`` best items of the given users, seen items included; ties by id."""
+    wanted = users.select(F.col("user_id").cast("int").alias("id")).distinct()
+    return best(model.userFactors.join(wanted, "id", "left_semi"), model.itemFactors, n).withColumnsRenamed({"query": "user_id", "id": "product_id"})
 
 
 def precision(model: ALSModel, train: DataFrame, test: DataFrame, k: int = TOP) -> DataFrame:

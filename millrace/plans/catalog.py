@@ -12,7 +12,7 @@ from millrace.functions.schemas import EVENT_TYPES
 from millrace.operators import als, cleaning, demand, events, similar, store, tuning
 from millrace.plans import fixtures
 from millrace.sources import sinks, tables
-from millrace.sources.shared import fresh_path
+from millrace.sources.shared import fresh_path, saved
 from millrace.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,7 +319,7 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def als_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = tables.purchases(spark, sf_dir)
+    pairs = saved(tables.purchases(spark, sf_dir), "pairs")
     return als.top(als.fit(pairs), als.eligible(pairs), 10)
 
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +41,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
+
+
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """A frame as written to the shared folder and read back, so that what uses it several times makes it once."""
+    path, schema = fresh_path(frame.sparkSession, name), frame.schema
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(schema).parquet(path)

@@ -55,6 +55,19 @@ def _needs(longest: np.ndarray, n: int):
     return run
 
 
+def _dealt(bounds: list[float]):
+    """Rows (group, length, id, features) of queries; group g needs what its bound says at least. Equal needs are dealt to all groups that begin with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need, ids = batch.column("need").to_numpy(), batch.column("id").to_numpy()
+            low, high = np.searchsorted(bounds, need, "left"), np.searchsorted(bounds, need, "right")
+            group = low + ids % (high - low + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.nulls(batch.num_rows, pa.float64()), batch.column("id"), batch.column("features")], ["group", "length", "id", "features"])
+
+    return run
+
+
 class _Best:
     """The best so far of some queries; others come in the order of falling length."""
 
@@ -154,9 +167,9 @@ def best(queries: DataFrame, others: DataFrame, n: int) -> DataFrame:
     none = asked.where("length = 0").select(F.col("id").alias("query")).crossJoin(F.broadcast(others.select("id").orderBy("id").limit(n))).withColumn("score", F.lit(0.0))
     needs = saved(map_arrow(asked.where("length > 0").select("id", "features"), _needs(_vectors(longest), n), "id long, features array<float>, need double"), "needs")
     groups = max(1, math.ceil(needs.count() / TOGETHER))
-    dealt = saved(needs.repartitionByRange(groups, "need", "id").withColumn("group", F.spark_partition_id()), "dealt")
-    least = dealt.groupBy("group").agg(F.min("need").alias("need"))
+    bounds = needs.approxQuantile("need", [i / groups for i in range(groups)], 0.25 / groups)
+    dealt = map_arrow(needs, _dealt(bounds[1:]), "group long, length double, id long, features array<float>")
+    least = spark.createDataFrame(list(enumerate(bounds)), "group long, need double")
     sent = others.join(F.broadcast(least), others.length >= least.need).select("group", "length", "id", "features")
-    both = dealt.select("group", F.lit(None).cast("double").alias("length"), "id", "features").unionByName(sent)
-    met = both.repartition(groups, "group").sortWithinPartitions("group", F.desc_nulls_first("length"), "id")
+    met = dealt.unionByName(sent).repartition(groups, "group").sortWithinPartitions("group", F.desc_nulls_first("length"), "id")
     return map_arrow(met, _met(n), "query long, id long, score double").unionByName(none)

@@ -313,7 +313,7 @@ def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = als.split(tables.purchases(spark, sf_dir))
+    train, test = (saved(part, name) for part, name in zip(als.split(saved(tables.purchases(spark, sf_dir), "pairs")), ("train", "test"), strict=True))
     return als.precision(als.fit(train), train, test)
 
 

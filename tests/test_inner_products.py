@@ -40,6 +40,14 @@ def test_best_equals_brute_force(spark, monkeypatch, n, sign, together):
     assert all(r.score == pytest.approx(products[r.query, r.id], abs=1e-12) for r in found)
 
 
+def test_equal_needs_share_groups_and_no_bound_exceeds_a_need():
+    bounds = [-1.0, 0.5, 0.5, 2.0]
+    need = np.array([-1.0] * 6 + [0.5] * 6 + [1.0, 2.0, 3.0])
+    batch = ip.pa.RecordBatch.from_pydict({"id": np.arange(15), "features": [[1.0]] * 15, "need": need})
+    group = next(ip._dealt(bounds[1:])([batch])).column("group").to_numpy()
+    assert set(group[6:12]) == {0, 1, 2} and all(bounds[g] <= x for g, x in zip(group, need, strict=True)) and group[12:].tolist() == [2, 3, 3]
+
+
 def test_no_others_or_queries_give_nothing(spark):
     some, no = frame(spark, made(1, 40)), frame(spark, made(1, 40)[:0])
     assert ip.best(some, no, 3).count() == 0 and ip.best(no, some, 3).count() == 0
